@@ -1,0 +1,11 @@
+"""Even work for Python stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out anew if the scan gives fewer than half as many tasks as there are cores (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
