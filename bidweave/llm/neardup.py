@@ -216,13 +216,18 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     classes = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.approx_count_distinct("id").alias("about")).where("rep < last")
     members = stage(signed.join(classes, "copy").select("rep", "id", "about").distinct())
     alone = signed.join(members.where("id <> rep").select("id"), "id", "left_anti")
-    found = candidates(alone)
+    found = stage(candidates(alone))
     ids = found.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     texts = items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("name").alias("name"), F.first("content").alias("content"))
     one = texts.select(F.col("id").alias("x"), F.col("name").alias("id_x"), F.col("content").alias("content_x"))
     two = texts.select(F.col("id").alias("y"), F.col("name").alias("id_y"), F.col("content").alias("content_y"))
     joined = found.join(one, "x").join(two, "y").select("id_x", "id_y", F.col("x").alias("rep_x"), F.col("y").alias("rep_y"), "content_x", "content_y")
     linked = joined.mapInArrow(_similar(least), "id_x string, id_y string, rep_x bigint, rep_y bigint, similarity double")
+    cols = ["id_x", "id_y", "similarity"]
+    ordered = [F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "similarity"]
+    if members.isEmpty():
+        return linked.select(ordered)
+    linked = stage(linked)
     # Copies: small classes in full, large ones through their representative.
     names = members.join(items.select("id", "name").distinct(), "id")
     small = names.where(F.col("about") <= WHOLE)
@@ -232,9 +237,8 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     stand = lambda side, other: linked.join(inner.select(F.col("rep").alias(f"rep_{side}"), F.col("name").alias("copy_name")), f"rep_{side}").select(F.col("copy_name").alias("id_x"), F.col(f"id_{other}").alias("id_y"), f"rep_{other}", "similarity")
     left, right = stand("x", "y"), stand("y", "x")
     both = left.join(inner.select(F.col("rep").alias("rep_y"), F.col("name").alias("copy_name")), "rep_y").select("id_x", F.col("copy_name").alias("id_y"), "similarity")
-    cols = ["id_x", "id_y", "similarity"]
     pairs = linked.select(cols).unionByName(own).unionByName(among).unionByName(left.select(cols)).unionByName(right.select(cols)).unionByName(both)
-    return pairs.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "similarity")
+    return pairs.select(ordered)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
