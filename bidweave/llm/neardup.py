@@ -34,10 +34,12 @@ A_PAIRS, B_PAIRS = 13, 12
 HOT = 4096
 WHOLE = 32
 #: Least number of the 24 minhash bytes of B that a candidate must share; a pair of similarity 0.5 shares 12 of them in the mean.
-LEAST_SAME = 5
+LEAST_SAME = 7
+#: Further minhash bytes, and the least number of them that a candidate must share before its text is read: 16 in the mean at similarity 0.5.
+C_BYTES, LEAST_MORE = 32, 8
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_ODD = np.random.default_rng(20_240_601).integers(1, 2**63, 2 * (A_PAIRS + B_PAIRS), dtype=np.uint64) * U(2) + U(1)
+_ODD = np.random.default_rng(20_240_601).integers(1, 2**63, 2 * (A_PAIRS + B_PAIRS) + C_BYTES - 2 * A_PAIRS, dtype=np.uint64) * U(2) + U(1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 
@@ -94,7 +96,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least[:, k] = np.minimum.reduceat(runs * odd, first)
             least = _mix(least)
             pairs = _mix(least[:, 0 : 2 * A_PAIRS : 2] * U(5) + least[:, 1 : 2 * A_PAIRS : 2] + np.arange(A_PAIRS, dtype=U))
-            small = np.ascontiguousarray((least[:, 2 * A_PAIRS :] & U(255)).astype(np.uint8)).view(np.int64).reshape(len(have), -1)
+            # Bytes of B, then those of A and some more for a second look.
+            small = np.concatenate([least[:, 2 * A_PAIRS : 2 * (A_PAIRS + B_PAIRS)] & U(255), (least[:, : 2 * A_PAIRS] >> U(8)) & U(255), least[:, 2 * (A_PAIRS + B_PAIRS) :] & U(255)], axis=1)
+            small = np.ascontiguousarray(small.astype(np.uint8)).view(np.int64).reshape(len(have), -1)
             row = pa.array(have, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,12 +107,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * A_PAIRS), pa.array(pairs.view(np.int64).ravel())),
                     *[pa.array(small[:, k].copy()) for k in range(small.shape[1])],
                 ],
-                ["id", "copy", "a", *(f"b{k}" for k in range(small.shape[1]))],
+                ["id", "copy", "a", *B_COLS, *C_COLS],
             )
 
 
 B_WORDS = 2 * B_PAIRS // 8
 B_COLS = [f"b{k}" for k in range(B_WORDS)]
+C_COLS = [f"c{k}" for k in range(C_BYTES // 8)]
 
 
 def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: range | np.ndarray) -> np.ndarray:
@@ -179,7 +184,18 @@ def candidates(signed: DataFrame) -> DataFrame:
     divided = keys.join(hot, "key", "left_semi").select("key", "id", *B_COLS, parts)
     divided = divided.select(F.xxhash64("key", "j", "code").alias("key"), "id", *B_COLS, F.col("j").cast("long").alias("j"))
     out = [k.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "x bigint, y bigint") for k in (cold, divided)]
-    return out[0].unionByName(out[1]).distinct()
+    pairs = out[0].unionByName(out[1]).distinct()
+    for side in ("x", "y"):
+        pairs = pairs.join(signed.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in C_COLS]), side)
+    return pairs.mapInArrow(_alike, "x bigint, y bigint").distinct()
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share enough of the further minhash bytes."""
+    for b in batches:
+        x, y = (np.stack([b.column(f"{side}_{c}").to_numpy() for c in C_COLS], 1).copy().view(np.uint8).reshape(len(b), C_BYTES) for side in ("x", "y"))
+        keep = pa.array((x == y).sum(1) >= LEAST_MORE)
+        yield pa.RecordBatch.from_arrays([b.column("x").filter(keep), b.column("y").filter(keep)], ["x", "y"])
 
 
 def _similar(least: float):
@@ -211,7 +227,7 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     items = items.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("name"), F.col(content).alias("content"))
     items = items.withColumn("id", F.xxhash64("name"))
     signed = spread(items).select("id", F.xxhash64(F.lower("content")).alias("copy"), "content")
-    signed = stage(signed.mapInArrow(_signatures, "id bigint, copy bigint, a array<bigint>, " + ", ".join(f"{c} bigint" for c in B_COLS)))
+    signed = stage(signed.mapInArrow(_signatures, "id bigint, copy bigint, a array<bigint>, " + ", ".join(f"{c} bigint" for c in [*B_COLS, *C_COLS])))
     # Classes of copies; most contents are alone and leave here.
     classes = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.approx_count_distinct("id").alias("about")).where("rep < last")
     members = stage(signed.join(classes, "copy").select("rep", "id", "about").distinct())
