@@ -3,8 +3,8 @@
 Two collections of minhash pairs are drawn, A and B; a table key is a pair (A_i, B_j), so that ``A_PAIRS`` x
 ``B_PAIRS`` tables of four minhashes each cost only 2 (A_PAIRS + B_PAIRS) minhashes. The tables are not written out:
 rows are shuffled once per A_i and carry one byte of each minhash of B, and each bucket of A_i is divided
-by the B_j where it lies. Buckets with more than ``HOT`` rows are divided by (A_i, B_j) before they are shuffled, so a hot
-bucket becomes many. Candidates whose minhash bytes agree too little are left out, the others are verified on
+by the B_j where it lies. Buckets with more than ``HOT`` rows stream through and are divided by (A_i, B_j) in a
+second pass, so a hot bucket becomes many and none is held in memory. Candidates whose minhash bytes agree too little are left out, the others are verified on
 their whole texts.
 
 A pair of similarity s shares a key with probability (1 - (1 - s^2)^A_PAIRS) (1 - (1 - s^2)^B_PAIRS): 0.998 at 0.65 and
@@ -33,6 +33,8 @@ SHINGLE = 3
 A_PAIRS, B_PAIRS = 13, 12
 HOT = 4096
 WHOLE = 32
+#: Ids of candidates are broadcast up to this number (8 MB), beyond it joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Least number of the 24 minhash bytes of B that a candidate must share; a pair of similarity 0.5 shares 12 of them in the mean.
 LEAST_SAME = 7
 #: Further minhash bytes, and the least number of them that a candidate must share before its text is read: 16 in the mean at similarity 0.5.
@@ -145,46 +147,71 @@ def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: range | np.
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; a bucket that goes on in the next batch waits for it."""
-    rest: list[np.ndarray] = []
+PAIR, ROW = 0, 1
 
-    def emit(rows: np.ndarray, table_of_row: np.ndarray | None) -> pa.RecordBatch | None:
+
+def _bucket_pairs(divided: bool):
+    """Over rows sorted by key: pairs of each bucket, or its rows as they are where it is hot and not yet divided.
+
+    A bucket that goes on in the next batch waits for it; one that is known to be hot streams through.
+    """
+
+    def out(kind: int, x: np.ndarray, y: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        cols = [np.full(len(x), kind, np.int64), x, y, *(b[:, k] for k in range(B_WORDS))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["kind", "x", "y", *B_COLS])
+
+    def emit(rows: np.ndarray, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         key = rows[:, 0]
-        same = key[1:] == key[:-1]
-        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # most buckets hold one row
-        rows = rows[more]
-        tables = range(B_PAIRS) if table_of_row is None else table_of_row[more]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        many = np.repeat(size > HOT, size) if not divided else np.zeros(len(key), bool)
+        if hot is not None:
+            many |= key == hot
+        if many.any():
+            yield out(ROW, key[many], rows[many, 1], rows[many, 2 : 2 + B_WORDS])
+        rows = rows[np.repeat(size > 1, size) & ~many]  # most buckets hold one row
+        tables = rows[:, 2 + B_WORDS] if divided else range(B_PAIRS)
         p = _within(rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2 : 2 + B_WORDS], tables)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["x", "y"])
+        yield out(PAIR, p[:, 0], p[:, 1], np.zeros((len(p), B_WORDS), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+        hot = None
+        for batch in batches:
+            rest.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
+            if sum(map(len, rest)) < 100_000:
+                continue
+            rows = np.concatenate(rest)
+            if rows[0, 0] == rows[-1, 0]:
+                if divided:
+                    rest = [rows]
+                else:
+                    hot, rest = rows[0, 0], []
+                    yield out(ROW, rows[:, 0], rows[:, 1], rows[:, 2 : 2 + B_WORDS])
+                continue
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0], side="left")
+            yield from emit(rows[:cut], hot)
+            rest = [rows[cut:]]
+        if rest and sum(map(len, rest)):
+            yield from emit(np.concatenate(rest), hot)
 
-    def table_numbers(rows: np.ndarray) -> np.ndarray | None:
-        return rows[:, 2 + B_WORDS] if rows.shape[1] > 2 + B_WORDS else None
+    return run
 
-    for b in batches:
-        rest.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
-        if sum(map(len, rest)) < 100_000 or rest[0][0, 0] == rest[-1][-1, 0]:
-            continue
-        rows = np.concatenate(rest)
-        cut = np.searchsorted(rows[:, 0], rows[-1, 0], side="left")
-        yield emit(rows[:cut], table_numbers(rows[:cut]))
-        rest = [rows[cut:]]
-    if rest and sum(map(len, rest)):
-        rows = np.concatenate(rest)
-        yield emit(rows, table_numbers(rows))
+
+_OUT = "kind bigint, x bigint, y bigint, " + ", ".join(f"{c} bigint" for c in B_COLS)
+
+
+def _by_key(rows: DataFrame, divided: bool) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(divided), _OUT)
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(x, y), x < y: ids that share a key of some table."""
-    keys = signed.select("id", *B_COLS, F.explode("a").alias("key"))
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
-    cold = keys.join(hot, "key", "left_anti").select("key", "id", *B_COLS)
+    """(x, y), x < y: ids that share a key of some table and enough minhash bytes."""
+    first = stage(_by_key(signed.select(F.explode("a").alias("key"), "id", *B_COLS), False))
     codes = [F.expr(f"cast(shiftright(b{2 * j // 8}, {2 * j % 8 * 8}) & 65535 as int)") for j in range(B_PAIRS)]
-    parts = F.posexplode(F.array(*codes)).alias("j", "code")
-    divided = keys.join(hot, "key", "left_semi").select("key", "id", *B_COLS, parts)
-    divided = divided.select(F.xxhash64("key", "j", "code").alias("key"), "id", *B_COLS, F.col("j").cast("long").alias("j"))
-    out = [k.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "x bigint, y bigint") for k in (cold, divided)]
-    pairs = out[0].unionByName(out[1]).distinct()
+    hot = first.where(F.col("kind") == ROW).select(F.col("x").alias("key"), F.col("y").alias("id"), *B_COLS, F.posexplode(F.array(*codes)).alias("j", "code"))
+    hot = hot.select(F.xxhash64("key", "j", "code").alias("key"), "id", *B_COLS, F.col("j").cast("long").alias("j"))
+    pairs = first.where(F.col("kind") == PAIR).select("x", "y").unionByName(_by_key(hot, True).select("x", "y")).distinct()
     for side in ("x", "y"):
         pairs = pairs.join(signed.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in C_COLS]), side)
     return pairs.mapInArrow(_alike, "x bigint, y bigint").distinct()
@@ -233,7 +260,9 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     members = stage(signed.join(classes, "copy").select("rep", "id", "about").distinct())
     alone = signed.join(members.where("id <> rep").select("id"), "id", "left_anti")
     found = stage(candidates(alone))
-    ids = found.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    ids = stage(found.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("name").alias("name"), F.first("content").alias("content"))
     one = texts.select(F.col("id").alias("x"), F.col("name").alias("id_x"), F.col("content").alias("content_x"))
     two = texts.select(F.col("id").alias("y"), F.col("name").alias("id_y"), F.col("content").alias("content_y"))
