@@ -7,8 +7,8 @@ by the B_j where it lies. Buckets with more than ``HOT`` rows stream through and
 second pass, so a hot bucket becomes many and none is held in memory. Candidates whose minhash bytes agree too little are left out, the others are verified on
 their whole texts.
 
-A pair of similarity s shares a key with probability (1 - (1 - s^2)^A_PAIRS) (1 - (1 - s^2)^B_PAIRS): 0.998 at 0.65 and
-0.978 at 0.55. Exact copies (same content) are one class with one representative; only representatives are
+A pair of similarity s shares a key with probability (1 - (1 - s^2)^A_PAIRS) (1 - (1 - s^2)^B_PAIRS): 0.9999 at 0.65, 0.995 at
+0.55 and 0.984 at 0.5. Exact copies (same content) are one class with one representative; only representatives are
 compared. Classes of at most ``WHOLE`` copies are expanded into all their pairs, larger ones give one pair per copy with
 their representative, which is the membership.
 
@@ -30,18 +30,18 @@ from bidweave.llm.spread import spread
 from bidweave.session import stage, table
 
 SHINGLE = 3
-A_PAIRS, B_PAIRS = 13, 12
+A_PAIRS, B_PAIRS = 18, 16
 HOT = 4096
 WHOLE = 32
 #: Ids of candidates are broadcast up to this number (8 MB), beyond it joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Least number of the 24 minhash bytes of B that a candidate must share; a pair of similarity 0.5 shares 12 of them in the mean.
-LEAST_SAME = 7
-#: Further minhash bytes, and the least number of them that a candidate must share before its text is read: 16 in the mean at similarity 0.5.
+#: Least number of the 32 minhash bytes of B that a candidate must share; a pair of similarity 0.5 shares 16 of them in the mean.
+LEAST_SAME = 9
+#: Minhash bytes of A, and the least number of them that a candidate must share before its text is read: 16 in the mean at similarity 0.5.
 C_BYTES, LEAST_MORE = 32, 8
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_ODD = np.random.default_rng(20_240_601).integers(1, 2**63, 2 * (A_PAIRS + B_PAIRS) + C_BYTES - 2 * A_PAIRS, dtype=np.uint64) * U(2) + U(1)
+_ODD = np.random.default_rng(20_240_601).integers(1, 2**63, 2 * (A_PAIRS + B_PAIRS), dtype=np.uint64) * U(2) + U(1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 
@@ -98,8 +98,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     least[:, k] = np.minimum.reduceat(runs * odd, first)
             least = _mix(least)
             pairs = _mix(least[:, 0 : 2 * A_PAIRS : 2] * U(5) + least[:, 1 : 2 * A_PAIRS : 2] + np.arange(A_PAIRS, dtype=U))
-            # Bytes of B, then those of A and some more for a second look.
-            small = np.concatenate([least[:, 2 * A_PAIRS : 2 * (A_PAIRS + B_PAIRS)] & U(255), (least[:, : 2 * A_PAIRS] >> U(8)) & U(255), least[:, 2 * (A_PAIRS + B_PAIRS) :] & U(255)], axis=1)
+            # Bytes of B, then some of A for a second look.
+            small = np.concatenate([least[:, 2 * A_PAIRS :], least[:, :C_BYTES]], axis=1) & U(255)
             small = np.ascontiguousarray(small.astype(np.uint8)).view(np.int64).reshape(len(have), -1)
             row = pa.array(have, pa.int64())
             yield pa.RecordBatch.from_arrays(
