@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.functions import text as X
-from bidweave.session import table
+from bidweave.session import spread, table
 
 DOC = ["bid_id", "file_name"]
 
@@ -54,12 +54,12 @@ def strip_running(pages: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "parsed_pages").select("page_id", *DOC, "page_number", "raw_text", "cleaned_text").dropDuplicates(["page_id"])
+    return table(spark, d, "parsed_pages").select("page_id", *DOC, "page_number", "raw_text").dropDuplicates(["page_id"])
 
 
-def _digest(name: str, column: Column):
+def _digest(name: str, repair):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return table(spark, d, "parsed_pages").select("page_id", column.alias("s")).dropDuplicates(["page_id"]).select("page_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
+        return spread(table(spark, d, "parsed_pages").select("page_id", "raw_text")).select("page_id", repair("raw_text").alias("s")).dropDuplicates(["page_id"]).select("page_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
     run.__name__ = name
     return run
@@ -78,13 +78,13 @@ def q_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "clean_whitespace": _digest("clean_whitespace", X.normalize_whitespace("raw_text")),
-    "fix_hyphenation": _digest("fix_hyphenation", X.fix_hyphenation("raw_text")),
-    "fix_kerning": _digest("fix_kerning", X.fix_kerning("raw_text")),
-    "fix_fused_words": _digest("fix_fused_words", X.fix_fused_words("raw_text")),
-    "rejoin_split": _digest("rejoin_split", X.rejoin_split("raw_text")),
-    "reflow_lines": _digest("reflow_lines", X.reflow_lines("raw_text")),
-    "clean_text": _digest("clean_text", X.clean_text("raw_text")),
+    "clean_whitespace": _digest("clean_whitespace", X.normalize_whitespace),
+    "fix_hyphenation": _digest("fix_hyphenation", X.fix_hyphenation),
+    "fix_kerning": _digest("fix_kerning", X.fix_kerning),
+    "fix_fused_words": _digest("fix_fused_words", X.fix_fused_words),
+    "rejoin_split": _digest("rejoin_split", X.rejoin_split),
+    "reflow_lines": _digest("reflow_lines", X.reflow_lines),
+    "clean_text": _digest("clean_text", X.clean_text),
     "running_lines": q_running,
     "strip_running": q_strip,
     "page_labels": q_labels,

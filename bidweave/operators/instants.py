@@ -6,8 +6,8 @@ intervals of constant offset, exploded by (zone, year); the intervals that conta
 offset. Two mean an ambiguous time (the first holds), none a skipped one (the offset before the gap holds).
 
 Defined results: a cell that is null, blank, only a date, only a time or an impossible date gives a null
-instant; fraction digits finer than micro-seconds are cut off; two-digit years are 20xx; without an offset,
-label or zone name the default zone holds, and without that the instant is null.
+instant; fraction digits finer than micro-seconds are cut off; two-digit years are 20xx; a wall time in a zone needs a year from
+1970 to 2079; without an offset, label or zone name the default zone holds, and without that the instant is null.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bidweave.session import folded, table
 
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+FIRST_YEAR, LAST_YEAR = 1970, 2079
 
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 # Marks a date found in the text: «kind|a|b|c».
@@ -128,7 +128,7 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             offset, found = at.astimezone(zone).utcoffset(), []
             start = offset
             while at.year <= LAST_YEAR:
-                to = at + timedelta(days=10)
+                to = at + timedelta(days=20)
                 o = to.astimezone(zone).utcoffset()
                 if o != offset:
                     changes(zone, at, to, offset, o, found)
@@ -146,7 +146,7 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def zone_intervals(spark: SparkSession) -> DataFrame:
-    """Offset intervals of all IANA zones, exploded by year: at most 600 zones x 131 years."""
+    """Offset intervals of all IANA zones, exploded by year: at most 600 zones x 110 years."""
     from zoneinfo import available_timezones
 
     zones = spark.createDataFrame([(z,) for z in sorted(available_timezones()) if "/" in z or z in ("UTC", "GMT")], "zone string").repartition(8)

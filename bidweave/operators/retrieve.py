@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bidweave.config import SETTINGS, field_definitions
 from bidweave.functions import text as X
-from bidweave.session import stage, table
+from bidweave.session import spread, stage, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -32,8 +32,8 @@ class SparseIndex(NamedTuple):
 
 def build_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
     """Tokens are made once and written; all statistics are read from there."""
-    docs = chunks.select("chunk_id", text).dropDuplicates(["chunk_id"])
-    tokens = stage(docs.select("chunk_id", X.terms(text).alias("terms")))
+    docs = spread(chunks.select("chunk_id", text)).select("chunk_id", X.terms(text).alias("terms"))
+    tokens = stage(docs.dropDuplicates(["chunk_id"]))
     base = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     postings = tokens.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -214,7 +214,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", "text", "context_header", "bid_id", "file_name", "doc_type", "addendum_number", "is_table", "section").dropDuplicates(["chunk_id"])
+    return table(spark, d, "chunks").select("chunk_id", "text", "context_header", "bid_id", "file_name", "doc_type", "addendum_number", "is_table", "section")
 
 
 def q_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -256,14 +256,14 @@ def q_weighted(spark: SparkSession, d: str) -> DataFrame:
 def q_route(spark: SparkSession, d: str) -> DataFrame:
     """The package with the highest sum of a query's eight best scores."""
     chunks = _chunks(spark, d)
-    best = top_k(bm25_scores(build_index(chunks), _files(spark, d)), 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null"), "chunk_id")
+    best = top_k(bm25_scores(build_index(chunks), _files(spark, d)), 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null").distinct(), "chunk_id")
     per = best.groupBy("query_id", "bid_id").agg(F.round(F.sum("score"), 4).alias("total"))
     return top_k(per.where("total > 0.1"), 1, "bid_id", score="total").select("query_id", F.col("bid_id").alias("routed_bid"), "total")
 
 
 def q_metrics(spark: SparkSession, d: str) -> DataFrame:
     chunks, q = _chunks(spark, d), _files(spark, d)
-    best = top_k(bm25_scores(build_index(chunks), q), 5).join(chunks.select("chunk_id", "file_name"), "chunk_id").join(q.select("query_id", "own_file"), "query_id")
+    best = top_k(bm25_scores(build_index(chunks), q), 5).join(chunks.select("chunk_id", "file_name").distinct(), "chunk_id").join(q.select("query_id", "own_file"), "query_id")
     return metrics(best, F.col("file_name") == F.col("own_file"), q)
 
 

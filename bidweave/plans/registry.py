@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from bidweave.operators import history, instants
+from bidweave.operators import chunking, classify, clean, history, indexing, instants, retrieve, routing, tables, trace, validation
 
-QUERIES = {
-    "p1_found": instants.found,
-    "p6_found": history.found,
-}
+_MODULES = (clean, classify, chunking, tables, retrieve, indexing, validation, routing, trace)
 
-SQL = {
-    "p6_found": history.FOUND_SQL,
-}
+QUERIES = {"p1_found": instants.found, "p6_found": history.found}
+SQL = {"p6_found": history.FOUND_SQL}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
