@@ -17,9 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidweave.llm.spread import spread
 from bidweave.llm.tokens import VOCABULARY, with_count
-from bidweave.session import folded, stage, table
+from bidweave.session import folded, spread, stage, table
 
 #: Pieces of each source's order; the running sum over pieces is small, that within a piece is spread.
 PIECES = 4096
