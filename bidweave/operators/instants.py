@@ -165,9 +165,12 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     """Adds ``utc_us`` and ``wall_kind`` (``offset``, ``unique``, ``ambiguous``, ``skipped``, ``count``) to each row of ``cells``.
 
     ``labels`` (label, zone_id) is a small table that does not grow. An offset counts before a label or name.
-    No row is dropped or repeated; no shuffle is made, as both joined tables have a bounded size.
+    No row is dropped or repeated; no shuffle is made, as both joined tables have a bounded size. Columns of ``cells`` with
+    the names of the added ones are replaced.
     """
-    df = parse_wall(cells, text, order)
+    # The given row travels whole, so that none of its names can clash with those used here.
+    row = cells.select(F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("given"), F.col(text).alias("text"), F.col(default_zone).alias("default_zone"), F.col(order).alias("order"))
+    df = parse_wall(row, "text", "order")
     z = F.regexp_replace(F.coalesce("zone_text", F.lit("")), r"^[\s(\[,]+", "")
     df = df.withColumn("__z", z)
     shift = F.regexp_extract("__z", r"^(?:utc|gmt)?\s?([+-]\d{1,2}(?::?\d{2})?)(?!\d)", 1)
@@ -181,7 +184,7 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     later = F.expr("get(filter(__labels, l -> l.n > 1 and contains(__words, concat(' ', l.label, ' '))), 0)")
     name = F.regexp_extract("__z", r"(?:^|[\[\s(])([a-z]+(?:/[a-z0-9_+-]+)+)", 1)
     df = df.withColumns({"__shift": offset_seconds(shift), "__name": name, "__label": F.coalesce(first, later)["zone_id"]})
-    zone = F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("__label"), F.col(default_zone))
+    zone = F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("__label"), F.col("default_zone"))
     df = df.withColumn("__zone", zone).withColumn("__shift", F.coalesce("__shift", offset_seconds(F.col("__zone"))))
     df = df.withColumns({"zone_key": F.lower("__zone"), "wall_year": F.when(F.col("__shift").isNull(), F.expr("cast(extract(year from date_add(date'1970-01-01', cast(floor(wall_us / 86400000000) as int))) as int)"))})
     df = df.join(F.broadcast(zone_intervals(cells.sparkSession)), ["zone_key", "wall_year"], "left")
@@ -192,8 +195,8 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     offset = F.coalesce("__shift", fits)
     kind = F.when(F.col("epoch_us").isNotNull(), "count").when(F.col("wall_us").isNull() | offset.isNull(), None).when(F.col("__shift").isNotNull(), "offset").when(size == 1, "unique").when(size > 1, "ambiguous").otherwise("skipped")
     df = df.withColumns({"utc_us": F.coalesce("epoch_us", F.col("wall_us") - offset.cast("bigint") * 1_000_000), "wall_kind": kind})
-    keep = [*cells.columns, "utc_us", "wall_kind"]
-    return df.select(*[df[c] for c in keep])
+    added = ("utc_us", "wall_kind")
+    return df.select(*[F.col(f"given.`{c}`") for c in cells.columns if c not in added], *added)
 
 
 STATED_FIELDS = ("due date", "pre bid meeting", "delivery date")
