@@ -32,7 +32,7 @@ def line_hashes(text: Column) -> Column:
 
 
 def frequent_lines(pages: DataFrame, source: str = "portal_id", least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
-    """(source, hashes): the frequent lines of each source.
+    """(source, __frequent): the hashes of the frequent lines of each source.
 
     A source has at most (mean distinct lines of its documents) / ``share`` of them, however many documents it has.
     """
@@ -43,7 +43,7 @@ def frequent_lines(pages: DataFrame, source: str = "portal_id", least: int = LEA
     marks = base.select(source, "__doc", F.explode(F.concat(F.coalesce("__own", F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))).alias("h")).distinct()
     counts = marks.groupBy(source, "h").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) | F.col("h").isNull())
     per = counts.groupBy(source).agg(F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("total"), F.collect_list(F.when(F.col("h").isNotNull() & (F.col("n") >= least), F.struct("h", "n"))).alias("all"))
-    return per.select(source, F.transform(F.filter("all", lambda x: x["n"] >= F.col("total") * share), lambda x: x["h"]).alias("frequent"))
+    return per.select(source, F.transform(F.filter("all", lambda x: x["n"] >= F.col("total") * share), lambda x: x["h"]).alias("__frequent"))
 
 
 def hashed(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -57,7 +57,7 @@ def flag_lines(pages: DataFrame, source: str = "portal_id", least: int = LEAST_D
     The frequent lines are broadcast: sources are a small table that does not grow, and each has a bounded number.
     """
     both = pages.join(F.broadcast(frequent_lines(pages, source, least, share)), source, "left")
-    return both.withColumn("__drop", F.transform("__hashes", lambda h: F.coalesce(F.array_contains("frequent", h), F.lit(False)))).drop("__hashes", "frequent")
+    return both.withColumn("__drop", F.transform("__hashes", lambda h: F.coalesce(F.array_contains("__frequent", h), F.lit(False)))).drop("__hashes", "__frequent")
 
 
 def strip_lines(pages: DataFrame, text: str = "cleaned_text", source: str = "portal_id", least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:

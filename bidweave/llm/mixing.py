@@ -22,7 +22,7 @@ from bidweave.session import folded, spread, stage, table
 
 #: Pieces of each source's order; the running sum over pieces is small, that within a piece is spread.
 PIECES = 4096
-#: Difference of the tilts of the first and the last source.
+#: Difference of the tilts of the last and the first source: large sources come rather early, small ones late.
 TILT = 0.8
 
 
@@ -40,11 +40,11 @@ def plan(records: DataFrame, targets: DataFrame, total_tokens: int | None = None
     t = targets.select(folded(F.col("source")).alias("source"), "target_share", "max_repeats").join(have, "source", "left").na.fill(0, ["available", "records"])
     everything = Window.partitionBy(F.lit(1))
     share = F.when(F.col("available") > 0, F.col("target_share")).otherwise(0.0)
-    t = t.withColumn("share", share / F.sum(share).over(everything))
+    t = t.withColumn("share", F.coalesce(F.try_divide(share, F.sum(share).over(everything)), F.lit(0.0)))
     most = F.min(F.when(F.col("share") > 0, F.col("available") * F.col("max_repeats") / F.col("share"))).over(everything)
     t = t.withColumn("total", F.lit(float(total_tokens)) if total_tokens is not None else most)
     place = F.row_number().over(everything.orderBy(F.desc("share"), "source")) - 1
-    t = t.withColumn("raw_tilt", TILT * (F.lit(0.5) - place / F.greatest(F.count(F.lit(1)).over(everything) - 1, F.lit(1))))
+    t = t.withColumn("raw_tilt", TILT * (place / F.greatest(F.count(F.lit(1)).over(everything) - 1, F.lit(1)) - F.lit(0.5)))
     t = t.withColumn("tilt", F.col("raw_tilt") - F.sum(F.col("share") * F.col("raw_tilt")).over(everything))
     return t.withColumn("demand", F.col("share") * F.col("total")).drop("raw_tilt")
 
@@ -73,7 +73,7 @@ def shares(records: DataFrame, targets: DataFrame, total_tokens: int | None = No
     used = mix(records, targets, total_tokens).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("records_used"), F.max("copy").alias("most_uses"))
     p = plan(records, targets, total_tokens).select("source", "target_share", "max_repeats", "available", F.col("records").alias("records_there"))
     out = p.join(F.broadcast(used), "source", "left").na.fill(0, ["tokens", "records_used", "most_uses"])
-    reached = F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    reached = F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     return out.withColumn("reached_share", F.round(F.coalesce(reached, F.lit(0.0)), 6))
 
 

@@ -123,6 +123,8 @@ def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: range | np.
     ``tables``: all j, or one j for each row.
     """
     out = [np.empty((0, 2), np.int64)]
+    if not len(ids):
+        return out[0]
     bytes_ = np.ascontiguousarray(b).view(np.uint8).reshape(len(ids), -1)
     codes = bytes_.view(np.uint16)
     rounds = [(j, None) for j in tables] if isinstance(tables, range) else [(None, tables)]

@@ -82,12 +82,16 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
 
 def split(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Rows of ``df`` whose text is over the limit, once per piece: ``piece_no`` from 1, ``start_pos`` and ``end_pos``
-    (characters from 0, end excluded), ``n_tokens`` and ``piece`` are added.
+    (characters from 0, end excluded), ``n_tokens`` and ``piece`` are added (columns of these names are replaced).
 
     Tokens are counted in the JVM and only texts over the limit reach Python.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
+    names = ("piece_no", "start_pos", "end_pos", "n_tokens", "piece")
+    if text in names:
+        raise ValueError("the text's column must not have the name of an added one")
+    df = df.drop(*names)
     over = df.where((F.length(text) > limit) & (F.regexp_count(F.col(text), F.lit(rf"(?U){TOKEN}")) > limit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,11 +99,11 @@ def split(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap: int =
             cut = [pieces(t, limit, overlap) for t in pdf[text]]
             rows = pdf.loc[pdf.index.repeat([len(c) for c in cut])].reset_index(drop=True)
             flat = [(k + 1, a, b, n, t[a:b]) for t, c in zip(pdf[text], cut) for k, (a, b, n) in enumerate(c)]
-            yield pd.concat([rows, pd.DataFrame(flat, columns=["piece_no", "start_pos", "end_pos", "n_tokens", "piece"])], axis=1)
+            yield pd.concat([rows, pd.DataFrame(flat, columns=list(names))], axis=1)
 
     from pyspark.sql import types as T
 
-    added = [T.StructField(n, T.StringType() if n == "piece" else T.IntegerType()) for n in ("piece_no", "start_pos", "end_pos", "n_tokens", "piece")]
+    added = [T.StructField(n, T.StringType() if n == "piece" else T.IntegerType()) for n in names]
     return over.mapInPandas(run, T.StructType([*over.schema.fields, *added]))
 
 

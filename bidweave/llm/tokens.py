@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidweave.session import spread, table
@@ -105,9 +106,13 @@ def encoder(path: str = VOCABULARY) -> Encoder:
 
 
 def _per_text(df: DataFrame, text: str, name: str, kind: T.DataType, make, vocabulary: str) -> DataFrame:
-    """Adds column ``name``; ``make(encoder, texts)`` gives its Arrow array. The vocabulary is sent to the workers once."""
+    """Adds or replaces column ``name``; ``make(encoder, texts)`` gives its Arrow array. The vocabulary is sent to the workers once."""
     with open(vocabulary, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())
+    kept = [c for c in df.columns if c != name or c == text]
+    if name == text:
+        raise ValueError("the added column must not be the text's")
+    df = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
