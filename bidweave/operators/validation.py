@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bidweave.config import FIELDS, field_definitions
 from bidweave.functions import text as X
 from bidweave.operators.history import numbered
-from bidweave.session import folded, table
+from bidweave.session import folded, stage, table
 
 #: Dates that a date field may state.
 DATE = r"(?i)(\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}\b|\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b)"
@@ -45,14 +45,16 @@ def ground(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = o.where("quote is not null").select("output_id", "bid_id", X.quote_form("quote").alias("q1"), X.plain_form("quote").alias("q2"), "cited_file", "cited_page", "cited_chunk").where("q1 <> '' or q2 <> ''")
     c = chunks.select("chunk_id", "bid_id", "file_name", "page_number", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+", " ").alias("t1"), X.plain_form("text").alias("t2")).dropDuplicates(["chunk_id"])
     inside = ((F.col("q1") != "") & F.col("t1").contains(F.col("q1"))) | ((F.col("q2") != "") & F.col("t2").contains(F.col("q2")))
-    tiers = [F.col("cited_chunk") == F.col("chunk_id"), (F.col("cited_file") == F.col("file_name")) & (F.col("cited_page") == F.col("page_number")), F.col("cited_file") == F.col("file_name"), F.lit(True)]
-    hits = None
-    left = asked
-    for n, on in enumerate(tiers, 1):
-        part = left.join(c.drop("bid_id") if n < 4 else c, (on & inside) if n < 4 else ["bid_id"]).where(inside)
-        part = part.groupBy("output_id").agg(F.min_by(F.struct("chunk_id", "page_number"), "chunk_id").alias("m")).select("output_id", "m.chunk_id", "m.page_number", F.lit(n).alias("tier"))
-        hits = part if hits is None else hits.unionByName(part)
-        left = left.join(part.select("output_id"), "output_id", "left_anti")
+    tiers = [F.col("cited_chunk") == F.col("chunk_id"), (F.col("cited_file") == F.col("file_name")) & (F.col("cited_page") == F.col("page_number")), F.col("cited_file") == F.col("file_name")]
+    # The three cited tiers are equi-joins over one pass each; only quotes that they miss meet the whole package.
+    first = None
+    for n, on in enumerate(tiers[:3], 1):
+        part = asked.join(c.drop("bid_id"), on & inside).select("output_id", "chunk_id", "page_number", F.lit(n).alias("tier"))
+        first = part if first is None else first.unionByName(part)
+    best = lambda x: x.groupBy("output_id").agg(F.min_by(F.struct("chunk_id", "page_number", "tier"), F.struct("tier", "chunk_id")).alias("m")).select("output_id", "m.*")
+    first = stage(best(first))
+    rest = asked.join(first.select("output_id"), "output_id", "left_anti").join(c, "bid_id").where(inside)
+    hits = first.unionByName(best(rest.select("output_id", "chunk_id", "page_number", F.lit(4).alias("tier"))))
     matched = hits.select("output_id", F.col("chunk_id").alias("matched_chunk"), F.col("page_number").alias("matched_page"), "tier")
     return o.join(matched, "output_id", "left").withColumn("is_grounded", F.col("tier").isNotNull())
 
