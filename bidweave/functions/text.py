@@ -115,7 +115,8 @@ def terms(x: Column | str) -> Column:
         split = F.filter(F.split(t, r"[-_.@]+"), lambda p: (p != "") & (p != t))
         runs = F.regexp_extract_all(t, F.lit(r"[a-z]+|[0-9]+"), F.lit(0))
         runs = F.when(F.size(runs).between(2, 4), F.filter(runs, lambda p: (F.length(p) >= 2) & (p != t))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(t), F.array_distinct(F.concat(split, runs)))
+        # Plain words, by far the most, have no parts.
+        return F.when(t.rlike(r"[-_.@]|[a-z][0-9]|[0-9][a-z]"), F.concat(F.array(t), F.array_distinct(F.concat(split, runs)))).otherwise(F.array(t))
 
     return F.flatten(F.transform(tokens, parts))
 
