@@ -48,7 +48,9 @@ def bm25_scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) with score > 0: only postings of query terms are touched."""
     wanted = queries.select("query_id", F.explode(X.terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = wanted.join(index.term_stats, "term")
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    # The semi join is pushed below the postings' aggregation, so that only rows of query terms are shuffled.
+    needed = queries.select(F.explode(X.terms("query")).alias("term")).distinct()
+    hits = index.postings.join(needed, "term", "left_semi").join(wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
