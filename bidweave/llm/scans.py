@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ CONFUSIONS = [
 ]
 STRAY = "~^|¦·•`_*°¬"
 HYPHENS = "-‐‑¬\xad"
-#: A word of the vocabulary stands on at least 3 pages and on one of so many: so it has at most this many times a page's distinct words.
-PAGES_PER_WORD = 20_000
+#: A word of the vocabulary stands on at least so many pages, whatever the size of the corpus.
+MIN_PAGES = 3
+#: The words on most pages are broadcast, up to this number (some 20 MB a worker); all others are looked up by a join.
+BROADCAST_WORDS = 200_000
 
 #: Documents with pages of unknown kind are broadcast up to this number (some 10 MB), beyond it joined by a shuffle.
 BROADCAST_DOCUMENTS = 100_000
@@ -53,14 +56,13 @@ def roman(n: int) -> str:
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word): the corpus vocabulary, of bounded size; words are counted once a page, in lower case."""
+    """(word, pages): the corpus vocabulary; words are counted once a page, in lower case."""
     text = F.lower(F.concat_ws(" ", F.regexp_replace("raw_text", rf"[{HYPHENS}]\s*\n", " "), "cleaned_text"))
     words = pages.select(F.coalesce("is_scanned", F.lit(True)).alias("scanned"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("all_pages"), F.count(F.when(~F.col("scanned"), 1)).alias("clean_pages"))
-    size = pages.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.coalesce("is_scanned", F.lit(True)), 1)).alias("n_clean"))
+    size = pages.agg(F.count(F.when(~F.coalesce("is_scanned", F.lit(True)), 1)).alias("n_clean"))
     n = F.when(F.col("n_clean") > 0, F.col("clean_pages")).otherwise(F.col("all_pages"))
-    total = F.when(F.col("n_clean") > 0, F.col("n_clean")).otherwise(F.col("n"))
-    return counts.crossJoin(F.broadcast(size)).where((n >= 3) & (n >= total / PAGES_PER_WORD)).select("word")
+    return counts.crossJoin(F.broadcast(size)).where(n >= MIN_PAGES).select("word", n.alias("pages"))
 
 
 def edge_headers(texts: DataFrame) -> DataFrame:
@@ -92,16 +94,40 @@ def edge_headers(texts: DataFrame) -> DataFrame:
     return rows.join(running, [*doc, "form"]).groupBy("page_id", "text_field").agg(F.collect_set("line_no").alias("header_lines"))
 
 
+def undone(low: str) -> Iterator[list[str]]:
+    """What a form in lower case can be a misreading of: first by one usual confusion, then by two."""
+    seen, ring = {low}, [low]
+    for depth in range(2):
+        if depth and len(low) < 6:
+            break
+        ahead = []
+        for w in ring:
+            for wrong, right in CONFUSIONS:
+                at = w.find(wrong)
+                while at >= 0:
+                    x = w[:at] + right + w[at + len(wrong) :]
+                    if x not in seen:
+                        seen.add(x)
+                        ahead.append(x)
+                    at = w.find(wrong, at + 1)
+        yield ahead
+        ring = ahead
+
+
 class Reader:
-    """Judges words by a vocabulary."""
+    """Judges words by a vocabulary: ``words``, and of the rest of it at least those (``rare``) that the page in hand asks for."""
 
     def __init__(self, words: list[str]):
         self.words = frozenset(words)
+        self.rare: frozenset[str] = frozenset()
         self.memo: dict[str, str | None] = {}
 
+    def has(self, word: str | None) -> bool:
+        return word in self.words or word in self.rare
+
     def knows(self, word: str) -> bool:
         w = word.lower()
-        return w in self.words or ("-" in w and all(len(p) > 1 and p in self.words for p in w.split("-")))
+        return self.has(w) or ("-" in w and all(len(p) > 1 and self.has(p) for p in w.split("-")))
 
     def repaired(self, token: str) -> str | None:
         """The word that a misread token stands for; None if it isn't misread."""
@@ -125,29 +151,21 @@ class Reader:
             plain = token.translate(str.maketrans("OoIlSBZ", "0011582"))
             if plain != token and re.fullmatch(r"[$#]?\d{1,3}(?:,\d{3})*(?:\.\d+)?%?|\d{1,2}/\d{1,2}/\d{2,4}", plain) and sum(ch.isdigit() for ch in token) >= 1 and not re.fullmatch(r"\d+[A-Z]|[A-Z]\d+", token):
                 return plain
-        low, found = token.lower(), []
+        low = token.lower()
         if sum(ch.isalpha() for ch in low) < 2:
             return None
-        seen, ring = {low}, [low]
-        for depth in range(2):
-            if depth and len(low) < 6:
-                break
-            ahead = []
-            for w in ring:
-                for wrong, right in CONFUSIONS:
-                    at = w.find(wrong)
-                    while at >= 0:
-                        x = w[:at] + right + w[at + len(wrong) :]
-                        if x not in seen:
-                            seen.add(x)
-                            if self.knows(x):
-                                found.append(x)
-                            ahead.append(x)
-                        at = w.find(wrong, at + 1)
-            if found:
-                return found[0]
-            ring = ahead
-        return None
+        return next((x for ring in undone(low) for x in ring if self.knows(x)), None)
+
+    def asked(self, form: str, misread: bool) -> list[str]:
+        """The words outside ``words`` on which it depends whether a form in lower case is known or, with ``misread``, what it stands for."""
+        out = {form, *form.split("-")}
+        if misread and len(form) <= 80:
+            for ring in undone(form):
+                for x in ring:
+                    out.update((x, *x.split("-")))
+                if any(self.knows(x) for x in ring):
+                    break
+        return [x for x in out if x not in self.words and _WORD.fullmatch(x)]
 
 
 def _is_page_no(line: str, page: int | None) -> bool:
@@ -163,11 +181,8 @@ def _is_page_no(line: str, page: int | None) -> bool:
     return m[1] in (str(page), roman(page))
 
 
-def noise(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader) -> tuple[list[tuple[int, str]], str | None]:
-    """(line number, kind) of all noise of a text, and the text repaired into paragraphs."""
-    if text is None:
-        return [], None
-    lines = text.split("\n")
+def _parts(lines: list[str], header_lines: list[int] | None, page: int | None) -> tuple[list[tuple[int, str]], list[int]]:
+    """(line number, kind) of page numbers and running lines, and the places of all other lines with text."""
     full = [i for i, line in enumerate(lines) if line.strip()]
     edge = {*full[:EDGE], *full[-EDGE:]}
     headers = {n - 1 for n in header_lines or ()}
@@ -180,18 +195,51 @@ def noise(text: str | None, header_lines: list[int] | None, page: int | None, re
             out.append((i + 1, "header"))
         else:
             body.append(i)
+    return out, body
+
+
+def _at_end(left: str, right: str) -> tuple[str, str] | None:
+    """The two fragments of a word that may be cut between two lines."""
+    a, b = _LEFT.search(left), _RIGHT.match(right)
+    return (a[1], b[1]) if a and b and a[1][-1].isalpha() and b[1][0].isalpha() else None
+
+
+def forms(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader) -> set[tuple[str, bool]]:
+    """(form, misread) in lower case: all forms of a text that ``noise`` looks up and the reader's ``words`` don't settle."""
+    out: set[tuple[str, bool]] = set()
+    lines = (text or "").split("\n")
+    _, body = _parts(lines, header_lines, page)
+    for i, k in zip(body, body[1:]):
+        cut = _at_end(lines[i], lines[k])
+        if cut:
+            a, b = cut
+            out.update((x.lower(), True) for x in (f"{a}-{b}", a + b, a, b))
+    for i in body:
+        row = lines[i].split()
+        cores = [_CORE.match(t)[1] for t in row]
+        out.update((c.lower(), True) for c in cores if c and not reader.knows(c))
+        out.update(((cores[j] + cores[j + 1]).lower(), False) for j in range(len(row) - 1) if cores[j].isalpha() and cores[j + 1] and not (reader.knows(cores[j]) and reader.knows(cores[j + 1])))
+    return {x for x in out if x[0] not in reader.words}
+
+
+def noise(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader) -> tuple[list[tuple[int, str]], str | None]:
+    """(line number, kind) of all noise of a text, and the text repaired into paragraphs."""
+    if text is None:
+        return [], None
+    lines = text.split("\n")
+    out, body = _parts(lines, header_lines, page)
     tokens = {i: lines[i].split() for i in body}
     joins: set[int] = set()
     keeps: set[int] = set()  # the hyphen at the line's end belongs to the word
     for i, k in zip(body, body[1:]):
-        left, right = _LEFT.search(lines[i]), _RIGHT.match(lines[k])
-        if not left or not right or not left[1][-1].isalpha() or not right[1][0].isalpha():
+        fragments = _at_end(lines[i], lines[k])
+        if not fragments:
             continue
-        a, b = left[1], right[1]
+        a, b = fragments
         whole, joined = f"{a}-{b}".lower(), (a + b).lower()
-        if joined in reader.words or reader.repaired(joined) in reader.words:
-            cut = not (whole in reader.words and joined not in reader.words)
-        elif whole in reader.words or (reader.knows(a) and reader.knows(b)):
+        if reader.has(joined) or reader.has(reader.repaired(joined)):
+            cut = not (reader.has(whole) and not reader.has(joined))
+        elif reader.has(whole) or (reader.knows(a) and reader.knows(b)):
             cut = False
         else:
             fixed = reader.repaired(whole)
@@ -229,7 +277,7 @@ def noise(text: str | None, header_lines: list[int] | None, page: int | None, re
                 fixed = reader.repaired(core)
             if fixed is None and j + 1 < len(row) and not (j + 2 == len(row) and skip_last) and row[j][-1:].isalnum() and cores[j + 1] and row[j + 1][:1].isalnum():
                 a, b = cores[j], cores[j + 1]
-                if (a + b).lower() in reader.words and a.isalpha() and not (reader.knows(a) and reader.knows(b)):
+                if reader.has((a + b).lower()) and a.isalpha() and not (reader.knows(a) and reader.knows(b)):
                     flagged.add(i + 1)
                     row[j] = row[j] + row[j + 1]
                     row[j + 1] = ""
@@ -258,6 +306,32 @@ def noise(text: str | None, header_lines: list[int] | None, page: int | None, re
     return sorted(set(out)), "".join(parts)
 
 
+def _with_rare(texts: DataFrame, known: DataFrame, words: Broadcast) -> DataFrame:
+    """Adds ``rare``: the words of the vocabulary beyond the broadcast ones on which the judgement of a text depends.
+
+    Only forms that the broadcast words don't settle are shuffled; each form is looked up once.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(words.value)
+        for pdf in batches:
+            rows = []
+            for pid, number, field, text, heads in zip(pdf["page_id"], pdf["page_number"], pdf["text_field"], pdf["text"], pdf["header_lines"]):
+                rows += [(pid, field, f, m) for f, m in forms(text, None if heads is None else list(heads), None if pd.isna(number) else int(number), reader)]
+            yield pd.DataFrame(rows, columns=["page_id", "text_field", "form", "misread"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(words.value)
+        for pdf in batches:
+            yield pd.DataFrame([(f, m, w) for f, m in zip(pdf["form"], pdf["misread"]) for w in reader.asked(f, m)], columns=["form", "misread", "word"])
+
+    asked = stage(texts.mapInPandas(ask, "page_id bigint, text_field string, form string, misread boolean"))
+    hits = asked.select("form", "misread").distinct().mapInPandas(look, "form string, misread boolean, word string").join(known.select("word"), "word")
+    per = asked.join(hits, ["form", "misread"]).groupBy("page_id", "text_field").agg(F.collect_set("word").alias("rare"))
+    per = per.withColumnsRenamed({"page_id": "__p", "text_field": "__f"})
+    return texts.join(per, F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("text_field") == F.col("__f")), "left").drop("__p", "__f")
+
+
 def repair(pages: DataFrame) -> DataFrame:
     """(page_id, text_field, repaired, noise): the repaired text of both text fields of scanned pages, and each line's noise."""
     scanned = F.coalesce("is_scanned", F.lit(True))
@@ -269,15 +343,19 @@ def repair(pages: DataFrame) -> DataFrame:
     if unsure.count() <= BROADCAST_DOCUMENTS:
         unsure = F.broadcast(unsure)
     headers = edge_headers(texts.unionByName(by_field(pages.where(~scanned).join(unsure, ["bid_id", "file_name"], "left_semi"))))
-    # A dictionary: bounded by PAGES_PER_WORD times the distinct words of a page.
-    words = pages.sparkSession.sparkContext.broadcast([r[0] for r in vocabulary(pages).toLocalIterator()])
+    known = stage(vocabulary(pages))
+    rare = known.count() > BROADCAST_WORDS
+    head = known.orderBy(F.desc("pages"), "word").limit(BROADCAST_WORDS) if rare else known
+    words = pages.sparkSession.sparkContext.broadcast([r[0] for r in head.select("word").toLocalIterator()])
     joined = spread(texts.select("page_id", "page_number", "text_field", "text")).join(headers, ["page_id", "text_field"], "left")
+    joined = _with_rare(stage(joined), known, words) if rare else joined.withColumn("rare", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(words.value)
         for pdf in batches:
             rows = []
-            for pid, number, field, text, heads in zip(pdf["page_id"], pdf["page_number"], pdf["text_field"], pdf["text"], pdf["header_lines"]):
+            for pid, number, field, text, heads, more in zip(pdf["page_id"], pdf["page_number"], pdf["text_field"], pdf["text"], pdf["header_lines"], pdf["rare"]):
+                reader.rare = frozenset(() if more is None else more)
                 found, fixed = noise(text, None if heads is None else list(heads), None if pd.isna(number) else int(number), reader)
                 rows.append((pid, field, fixed, [{"line_no": n, "noise_kind": k} for n, k in found]))
             yield pd.DataFrame(rows, columns=["page_id", "text_field", "repaired", "noise"])

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bidweave.llm import boilerplate, mixing, neardup, personal, scans, split, tokens
 
@@ -231,6 +232,25 @@ def test_repair_frame(spark):
     assert scans.repair(df.limit(0)).collect() == []
 
 
+def test_vocabulary_keeps_words_of_three_pages(spark):
+    text = F.when(F.col("id") < 3, "Quillberg common").when(F.col("id") < 5, "twice common").otherwise("common")
+    pages = spark.range(90_000).select(F.col("id").alias("page_id"), text.alias("raw_text"), F.lit(None).cast("string").alias("cleaned_text"), F.lit(False).alias("is_scanned"))
+    assert {r.word: r.pages for r in scans.vocabulary(pages).collect()} == {"common": 90_000, "quillberg": 3}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 4])
+def test_rare_words_are_looked_up(spark, monkeypatch, limit):
+    clean = "the the vendor shall deliver walk-through sheets from Quillberg with additional manufacturer discount notes well-known to all"
+    scanned = "tbe vend0r shall de-\nliver walk-\nthrough sheets frorn Qui1lberg with additi-\nonal manu facturer disc-\nonnt notcs and vveII-kn0wn t0 a11 Zzyzx ve-\nnd0r well-\nkncwn"
+    rows = [(p, "b", "g", p, clean, None, False) for p in range(3)] + [(p, "b", "g", p, "the vendor", "shall deliver to all", False) for p in (3, 4)]
+    rows += [(7, "b", "f", 1, scanned, None, True), (8, "b", "h", 1, scanned.upper(), clean, True), (9, "b", "h", 2, None, "", None), (None, "b", "k", 1, "Qui1lberg", None, True)]
+    df = spark.createDataFrame(rows, "page_id long, bid_id string, file_name string, page_number int, raw_text string, cleaned_text string, is_scanned boolean")
+    want = sorted(map(repr, scans.repair(df).collect()))
+    assert any("Quillberg" in w and "vendor" in w for w in want)
+    monkeypatch.setattr(scans, "BROADCAST_WORDS", limit)
+    assert sorted(map(repr, scans.repair(df).collect())) == want
+
+
 # Personal information
 
 
