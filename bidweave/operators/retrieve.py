@@ -7,7 +7,7 @@ Defined results: empty and null queries and texts have no terms and no hits; chu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bidweave.config import SETTINGS, field_definitions
 from bidweave.functions import text as X
+from bidweave.plans.providers import Embedder, HashEmbedder, embed
 from bidweave.session import spread, stage, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -70,42 +71,54 @@ def metadata_filter(df: DataFrame, bid_id: str | None = None, doc_type: str | No
     return df
 
 
-def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:
+def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str | list[str] = "query_id", score: str = "score") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc(score), key)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, key: str = "vec_id", within: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k most similar vectors of each query (query_id, embedding); vectors and queries by the same ``vec_id`` apart.
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k most similar vectors of each query (query_id, embedding), itself apart.
-
-    Queries go in blocks of bounded size against all rows; each task keeps k rows per query before anything is shuffled.
+    With ``within`` (kept as a column) the k most similar of each group. Queries go in blocks of bounded size against all
+    rows; each task keeps k rows per query and group before anything is shuffled.
     """
     out = None
     chunk: list = []
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), key: vectors.schema[key].dataType.simpleString()}
+    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double" + (f", {within} {vectors.schema[within].dataType.simpleString()}" if within else "")
+    array = lambda x, name: np.array(x, dtype=np.int64 if kinds[name] in ("int", "bigint") else object)
+    needed = [key, "embedding", *([within] if within else [])]
 
     def against(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        ids = array([r[0] for r in rows], "query_id")
         matrix = np.array([r[1] for r in rows], dtype=np.float64)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
             q, m = sent.value
+            v = array(pdf[key].to_list(), key)
+            order = np.argsort(v, kind="stable")
+            v = v[order]
+            s = np.round(m @ np.stack(pdf["embedding"].to_numpy())[order].astype(np.float64).T, 6)
+            if key == "vec_id":
+                s[q[:, None] == v[None, :]] = -np.inf
+            n = min(k, len(v))
+            best = np.argsort(-s, axis=1, kind="stable")[:, :n]  # ties: smaller id first
+            return pd.DataFrame({"query_id": np.repeat(q, n), key: v[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                pdf = pdf[pdf["embedding"].notna()]
+                pdf = pdf[pdf["embedding"].notna() & pdf[key].notna()]
                 if not len(pdf):
                     continue
-                v = pdf["vec_id"].to_numpy(np.int64)
-                order = np.argsort(v, kind="stable")
-                v = v[order]
-                s = np.round(np.stack(pdf["embedding"].to_numpy())[order].astype(np.float64) @ m.T, 6)
-                s[v[:, None] == q[None, :]] = -np.inf
-                n = min(k, len(v))
-                best = np.argsort(-s, axis=0, kind="stable")[:n]  # ties: smaller id first
-                yield pd.DataFrame({"query_id": np.tile(q, n), "vec_id": v[best].ravel(), "score": np.take_along_axis(s, best, 0).ravel()})
+                if within:
+                    for group, part in pdf.groupby(within, sort=False):
+                        yield best_of(part).assign(**{within: group})
+                else:
+                    yield best_of(pdf)
 
-        return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, score double").where("score > double('-Infinity')")
+        return vectors.select(needed).mapInPandas(run, schema).where("score > double('-Infinity')")
 
     for row in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator():
         chunk.append(row)
@@ -113,9 +126,24 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
             part = against(chunk)
             out, chunk = part if out is None else out.unionByName(part), []
     if chunk or out is None:
-        part = against(chunk) if chunk else vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+        part = against(chunk) if chunk else vectors.sparkSession.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
-    return top_k(out, k, "vec_id")
+    return top_k(out, k, key, ["query_id", within] if within else "query_id")
+
+
+def vectors_of(chunks: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
+    """(chunk_id, embedding): each chunk with terms once, by the provider."""
+    docs = chunks.select("chunk_id", "text").where(F.size(X.terms("text")) > 0).dropDuplicates(["chunk_id"])
+    return embed(docs, "text", make).select("chunk_id", "embedding")
+
+
+def dense_list(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, make: Callable[[], Embedder] = HashEmbedder, vectors: DataFrame | None = None, within: str | None = None, **filters) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the candidates of each query (query_id, query) by cosine; filtered before they are ranked."""
+    allowed = metadata_filter(chunks.dropDuplicates(["chunk_id"]), **filters)
+    columns = ["chunk_id", *([within] if within else [])]
+    rows = vectors.join(allowed.select(columns), "chunk_id") if vectors is not None else vectors_of(allowed, make) if not within else vectors_of(allowed, make).join(allowed.select(columns), "chunk_id")
+    asked = embed(queries.where(F.size(X.terms("query")) > 0), "query", make)
+    return dense_scores(rows, asked, pool_size(k), key="chunk_id", within=within)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = SETTINGS.rrf_k, weights: tuple[float, float] = (1.0, 1.0), key: str = "chunk_id") -> DataFrame:
@@ -166,18 +194,23 @@ def overlap_score(query: str = "query", text: str = "text") -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
 
 
+def pool_size(k: int | None) -> int:
+    """How many candidates each list gives to a fusion."""
+    return max(SETTINGS.candidate_pool, 2 * (k or SETTINGS.top_k))
+
+
 MODES = ("bm25_only", "dense_only", "hybrid_norerank", "hybrid")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode: str = "bm25_only", index: SparseIndex | None = None, dense: DataFrame | None = None, expand_query: bool = True, weights: tuple[float, float] = (1.0, 1.0), **filters) -> DataFrame:
     """Ranked results of all queries, with text and citation.
 
-    ``dense`` is a ranked list (query_id, chunk_id, score, rank) from an embedding provider; modes that need it fall back
-    to the sparse list where it is missing.
+    ``dense`` is a ranked list (query_id, chunk_id, score, rank) from an embedding provider, such as ``dense_list`` with the
+    same filters; modes that need it fall back to the sparse list where it is missing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    pool = max(SETTINGS.candidate_pool, 2 * (k or SETTINGS.top_k))
+    pool = pool_size(k)
     index = index or build_index(chunks)
     known = chunks.dropDuplicates(["chunk_id"])
     allowed = metadata_filter(known, **filters).select("chunk_id")
@@ -200,6 +233,21 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
     return out.select("query_id", "rank", "chunk_id", "bid_id", "file_name", "doc_type", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 4).alias("rerank_score"), X.citation("file_name", start, F.coalesce("page_end", "page_number"), "section").alias("citation"), "text")
 
 
+def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, index: SparseIndex | None = None, make: Callable[[], Embedder] = HashEmbedder, vectors: DataFrame | None = None, **filters) -> DataFrame:
+    """(bid_id, query_id, chunk_id, rank, rrf_score, rerank_score): the hybrid search of every query in each package on its own."""
+    known = chunks.where("bid_id is not null").dropDuplicates(["chunk_id"])
+    allowed = metadata_filter(known, **filters)
+    slot = F.struct("bid_id", "query_id").alias("query_id")
+    asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query"))
+    scores = bm25_scores(index or build_index(chunks), asked).join(allowed.select("chunk_id", "bid_id"), "chunk_id")
+    sparse = top_k(scores.select(slot, "chunk_id", "score"), pool_size(k))
+    dense = dense_list(known, queries, k, make, vectors, "bid_id", **filters).select(slot, "chunk_id", "rank")
+    fused = fuse(sparse, dense).where(F.col("rank") <= pool_size(k)).select("query_id.*", "chunk_id", "rrf_score")
+    pairs = fused.join(known.select("chunk_id", "text"), "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    best = top_k(pairs.withColumn("rerank_score", F.round(overlap_score(), 6)), k, by=["bid_id", "query_id"], score="rerank_score")
+    return best.select("bid_id", "query_id", "chunk_id", "rank", "rrf_score", "rerank_score")
+
+
 def metrics(results: DataFrame, relevant: Column, queries: DataFrame) -> DataFrame:
     """Recall at 1, 3 and 5 and mean reciprocal rank over all queries; a query without a relevant result counts 0."""
     best = results.where(relevant).groupBy("query_id").agg(F.min("rank").alias("best"))
@@ -281,8 +329,9 @@ def q_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks")
-    return search(chunks, _files(spark, d).select("query_id", "query"), 5, "hybrid", exclude_doc_type="addendum").drop("text")
+    chunks, q = table(spark, d, "chunks"), _files(spark, d).select("query_id", "query")
+    dense = dense_list(spread(chunks), q, 5, exclude_doc_type="addendum")
+    return search(chunks, q, 5, "hybrid", dense=dense, exclude_doc_type="addendum").drop("text")
 
 
 _T = r"""

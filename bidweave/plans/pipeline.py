@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.config import SETTINGS, field_definitions
-from bidweave.operators.retrieve import SparseIndex, bm25_scores, build_index
+from bidweave.operators.retrieve import SparseIndex, build_index, search_within, vectors_of
 from bidweave.operators.routing import contact_scan, document_scan, evidence
 from bidweave.operators.trace import Tracer
 from bidweave.operators.validation import completeness, supersede, validate
@@ -25,14 +25,13 @@ class Result(NamedTuple):
     tracer: Tracer
 
 
-def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int = SETTINGS.top_k, only: DataFrame | None = None) -> DataFrame:
-    """(bid_id, field_name, passages): the scans first, then the best k chunks of the package that are no addenda, each once."""
+def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int = SETTINGS.top_k, only: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(bid_id, field_name, passages): the scans first, then the k chunks of the package that the hybrid search finds outside addenda, each once."""
     known = chunks.where("bid_id is not null").dropDuplicates(["chunk_id"])
     allowed = known.where("lower(coalesce(doc_type, '')) <> 'addendum'")
     queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), F.slice("hints", 1, 3)).alias("query"))
-    scores = bm25_scores(index, queries).join(allowed.select("chunk_id", "bid_id"), "chunk_id").join(F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name")), "query_id")
-    order = Window.partitionBy(*PACKAGE).orderBy(F.desc("score"), "chunk_id")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*PACKAGE, "chunk_id", "rank")
+    names = F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name"))
+    best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank")
     scans = contact_scan(allowed, max(2 * k, 8)).withColumn("field_name", F.lit("contact_info")).unionByName(document_scan(allowed, max(2 * k, 12)).withColumn("field_name", F.lit("Any Additional Documentation Required")))
     merged = evidence(scans, best, key=(*PACKAGE, "chunk_id"))
     text = known.select("chunk_id", "file_name", "page_number", "text")
@@ -46,8 +45,8 @@ def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFra
     spark, tracer = chunks.sparkSession, Tracer()
     definitions = definitions if definitions is not None else field_definitions(spark)
     with tracer.step("retrieval"):
-        index = build_index(chunks)
-        passages = stage(gather(chunks, definitions, index))
+        index, vectors = build_index(chunks), stage(vectors_of(chunks))
+        passages = stage(gather(chunks, definitions, index, vectors=vectors))
     with tracer.step("extraction"):
         found = stage(extract(passages, make_extractor))
     known = chunks.select("chunk_id", "bid_id", "file_name", "page_number", "text")
@@ -62,7 +61,7 @@ def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFra
         if failed.isEmpty():
             break
         with tracer.step("retry", n=n):
-            again = extract(gather(chunks, definitions, index, 8, failed), make_extractor)
+            again = extract(gather(chunks, definitions, index, 8, failed, vectors), make_extractor)
             found = stage(found.join(failed, PACKAGE, "left_anti").unionByName(again))
             checked = judged(found)
     accepted = None

@@ -35,13 +35,23 @@ class HashEmbedder:
 
     def __init__(self, size: int = 64):
         self.size = size
+        self.memo: dict[str, int] = {}
+
+    def _place(self, word: str) -> int:
+        """The word's place, beyond ``size`` if it counts negatively."""
+        if word not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+            self.memo[word] = h % self.size + (0 if h >> 32 & 1 else self.size)
+        return self.memo[word]
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size), np.float32)
         for i, t in enumerate(texts):
-            for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                out[i, h % self.size] += 1 if h >> 32 & 1 else -1
+            places = [self._place(w) for w in re.findall(r"[a-z0-9]+", (t or "").lower())]
+            n = np.bincount(np.array(places, np.int64), minlength=2 * self.size)
+            out[i] = n[: self.size] - n[self.size :]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

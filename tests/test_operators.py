@@ -230,6 +230,24 @@ def test_dense_matches_numpy(spark):
     assert retrieve.dense_scores(df, q.limit(0), 5).collect() == []
 
 
+def test_dense_by_chunk_id(spark):
+    v = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "x", [0.6, 0.8]), ("c", "y", [0.0, 1.0]), ("d", "y", None)], "chunk_id string, bid_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert [(r.chunk_id, r["rank"]) for r in retrieve.dense_scores(v, q, 2, key="chunk_id").orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+    assert {(r.bid_id, r.chunk_id) for r in retrieve.dense_scores(v, q, 1, key="chunk_id", within="bid_id").collect()} == {("x", "a"), ("y", "c")}
+    assert retrieve.dense_scores(v, q.limit(0), 2, key="chunk_id").collect() == []
+
+
+def test_hybrid_search_has_chunks_of_the_dense_list(spark, tmp_path):
+    text = lambda i: "alpha-beta units" if i == 1 else f"other words {i}"
+    rows = [(f"c{i}", text(i), "B", "f.pdf", "rfp" if i < 5 else "addendum", 1, 1, 1, "s") for i in range(1, 7)]
+    schema = "chunk_id string, text string, bid_id string, file_name string, doc_type string, page_number int, page_start int, page_end int, section string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(50, "B", "alpha.pdf"), (100, "B", "?.pdf")], "file_id long, bid_id string, file_name string").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = retrieve.q_search(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {50} and {r.chunk_id for r in got} == {"c1", "c2", "c3", "c4"} and got[0].chunk_id == "c1"
+
+
 def test_metrics(spark):
     r = spark.createDataFrame([(1, 1, True), (2, 1, False), (2, 3, True)], "query_id int, rank int, ok boolean")
     m = retrieve.metrics(r, F.col("ok"), spark.createDataFrame([(1,), (2,), (3,)], "query_id int")).first()

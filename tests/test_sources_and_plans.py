@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidweave import api
+from bidweave.operators import retrieve
 from bidweave.plans import pipeline, providers
 from bidweave.sources import files, html
 from bidweave.streaming import index_stream
@@ -94,6 +95,14 @@ def test_facade(spark):
     assert providers.embed(chunks.select("text").limit(1)).first().embedding is not None
 
 
+def test_searches_are_hybrid(spark):
+    chunks = spark.createDataFrame(CHUNKS, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string")})
+    assert {r.chunk_id for r in api.search(spark, chunks, "lamps").collect()} == {"c1", "c2", "c3", "c4"}
+    definitions = spark.createDataFrame([(0, "Lamps", ["lamps"])], "field_ord int, field_name string, hints array<string>")
+    got = {r.bid_id: [p.chunk_id for p in r.passages] for r in pipeline.gather(chunks, definitions, retrieve.build_index(chunks)).collect()}
+    assert got == {"Bid1": ["c1", "c2"], "Bid2": ["c3"]}
+
+
 def test_stream(spark, tmp_path):
     src, idx = tmp_path / "src", str(tmp_path / "idx")
     src.mkdir()
