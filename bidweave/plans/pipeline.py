@@ -25,15 +25,19 @@ class Result(NamedTuple):
     tracer: Tracer
 
 
-def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int = SETTINGS.top_k, only: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """(bid_id, field_name, passages): the scans first, then the k chunks of the package that the hybrid search finds outside addenda, each once."""
+def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int = SETTINGS.top_k, only: DataFrame | None = None, vectors: DataFrame | None = None, absence: bool = False) -> DataFrame:
+    """(bid_id, field_name, passages): the scans first, then the k chunks of the package that the hybrid search finds outside addenda, each once.
+
+    With ``absence`` the search that confirms an absence: by the third to fifth hints (fields of one or two hints: by those), without scans.
+    """
     known = chunks.where("bid_id is not null").dropDuplicates(["chunk_id"])
     allowed = known.where("lower(coalesce(doc_type, '')) <> 'addendum'")
-    queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), F.slice("hints", 1, 3)).alias("query"))
+    hints = F.when(F.size("hints") > 2, F.slice("hints", 3, 3)).otherwise(F.col("hints")) if absence else F.slice("hints", 1, 3)
+    queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), hints).alias("query"))
     names = F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name"))
     best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank")
     scans = contact_scan(allowed, max(2 * k, 8)).withColumn("field_name", F.lit("contact_info")).unionByName(document_scan(allowed, max(2 * k, 12)).withColumn("field_name", F.lit("Any Additional Documentation Required")))
-    merged = evidence(scans, best, key=(*PACKAGE, "chunk_id"))
+    merged = evidence(*([] if absence else [scans]), best, key=(*PACKAGE, "chunk_id"))
     text = known.select("chunk_id", "file_name", "page_number", "text")
     rows = merged.join(text, "chunk_id").groupBy(*PACKAGE).agg(F.sort_array(F.collect_list(F.struct("src", "rank", "chunk_id", "file_name", "page_number", "text"))).alias("passages"))
     wanted = only if only is not None else known.select("bid_id").distinct().crossJoin(F.broadcast(definitions.select("field_name")))
@@ -51,17 +55,29 @@ def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFra
         found = stage(extract(passages, make_extractor))
     known = chunks.select("chunk_id", "bid_id", "file_name", "page_number", "text")
 
+    def confirmed(x: DataFrame) -> DataFrame:
+        """Fields that weren't found are searched again by other hints; an error there counts, it isn't absence."""
+        status = F.coalesce("status", F.lit(""))
+        hinted = definitions.where(F.size("hints") > 0)
+        absent = stage(x.where((status != "ERROR") & (F.col("value").isNull() | (status == "NOT_FOUND"))).join(F.broadcast(hinted), "field_name", "left_semi").select(*PACKAGE))
+        if absent.isEmpty():
+            return x
+        again = extract(gather(chunks, hinted, index, SETTINGS.top_k, absent, vectors, True), make_extractor)
+        again = stage(again.where("status = 'ERROR' or (status = 'FOUND' and value is not null)"))
+        return stage(x.join(again.select(*PACKAGE), PACKAGE, "left_anti").unionByName(again))
+
     def judged(x: DataFrame) -> DataFrame:
         return stage(validate(x.withColumn("output_id", F.xxhash64(*PACKAGE)), known))
 
     with tracer.step("validation"):
+        found = confirmed(found)
         checked = judged(found)
     for n in range(1, retries + 1):
         failed = checked.where("bucket = 'failed'").select(*PACKAGE)
         if failed.isEmpty():
             break
         with tracer.step("retry", n=n):
-            again = extract(gather(chunks, definitions, index, 8, failed, vectors), make_extractor)
+            again = confirmed(stage(extract(gather(chunks, definitions, index, 8, failed, vectors), make_extractor)))
             found = stage(found.join(failed, PACKAGE, "left_anti").unionByName(again))
             checked = judged(found)
     accepted = None

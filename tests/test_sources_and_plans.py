@@ -87,6 +87,14 @@ def test_whole_run(spark):
     assert [s["agent"] for s in out.tracer.steps][:3] == ["retrieval", "extraction", "validation"]
 
 
+def test_absence_is_confirmed_by_other_hints(spark):
+    rows = [(f"c{i}", "Lamps alpha beta gamma", "B", "a.pdf", "rfp", 1) for i in range(9)] + [("c9", "delta epsilon\nLamps: forty", "B", "a.pdf", "rfp", 2), ("d0", "delta epsilon\nChairs: nine", "B", "a.pdf", "addendum", 3)]
+    definitions = spark.createDataFrame([(0, "Lamps", ["alpha", "beta", "gamma", "delta", "epsilon"]), (1, "Chairs", ["delta"]), (2, "Desks", [])], "field_ord int, field_name string, hints array<string>")
+    got = {r.field_name: r for r in pipeline.run(spark.createDataFrame(rows, SCHEMA), definitions=definitions).fields.collect()}
+    assert (got["Lamps"].value, got["Lamps"].bucket) == ("forty", "passed")
+    assert got["Chairs"].bucket == got["Desks"].bucket == "not_found" and len(got) == 3
+
+
 def test_facade(spark):
     chunks = spark.createDataFrame(CHUNKS, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string"), "addendum_number": F.lit(None).cast("int"), "is_table": F.lit(False)})
     packages = spark.createDataFrame([("Bid1", "RFP-1-23", "Oak Desks", "Oak County", 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
