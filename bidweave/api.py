@@ -9,6 +9,10 @@ from bidweave.operators import indexing, retrieve, routing
 from bidweave.plans import pipeline
 
 
+#: Passages of each package that a comparison gets.
+PER_PACKAGE = 5
+
+
 def health() -> dict:
     return {"status": "ok"}
 
@@ -25,15 +29,32 @@ def search(spark: SparkSession, chunks: DataFrame, text: str, bid_id: str | None
     return retrieve.search(chunks, q, top_k, mode, dense=dense, bid_id=bid_id, doc_type=doc_type)
 
 
+def _of_each_package(spark: SparkSession, chunks: DataFrame, text: str, k: int, **filters) -> DataFrame:
+    """The k best passages of every package, ranked in each on its own."""
+    q = spark.createDataFrame([(0, text)], "query_id long, query string")
+    best = retrieve.search_within(chunks, q, k, **filters)
+    return retrieve.projected(best.drop("bid_id").join(chunks.dropDuplicates(["chunk_id"]), "chunk_id"))
+
+
 def ask(spark: SparkSession, chunks: DataFrame, packages: DataFrame, question: str, bid_id: str | None = None, top_k: int = 3) -> DataFrame:
-    """The passages that answer a question, from the package it is routed to; a question on deadlines adds passages of addenda."""
+    """The passages that answer a question, from the package it is routed to; a question on deadlines adds passages of addenda.
+
+    A comparison gets the five best passages of every package (on deadlines also three of its addenda).
+    """
     q = spark.createDataFrame([(0, question)], "question_id long, question string")
     target = bid_id
     if target is None:
-        row = routing.route(q, routing.score_packages(q, routing.catalogue(chunks, packages))).first()
-        target = None if row is None or row["target"] == "COMPARISON" else row["target"]
+        scores = routing.score_packages(q, routing.catalogue(chunks, packages))
+        row = routing.route_all(q, scores, chunks).first()
+        target = None if row is None else row["target"]
+    on_dates = any(w in question.lower() for w in ("due", "deadline", "date", "when"))
+    if bid_id is None and target == "COMPARISON":
+        found = _of_each_package(spark, chunks, question, PER_PACKAGE)
+        if on_dates:
+            found = found.unionByName(_of_each_package(spark, chunks, question, 3, doc_type="addendum"))
+        return found.withColumn("routed_bid", F.lit(None).cast("string"))
     found = search(spark, chunks, question, target, None, top_k)
-    if any(w in question.lower() for w in ("due", "deadline", "date", "when")):
+    if on_dates:
         found = found.unionByName(search(spark, chunks, question, target, "addendum", 3))
     return found.withColumn("routed_bid", F.lit(target).cast("string"))
 

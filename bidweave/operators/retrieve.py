@@ -228,9 +228,13 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
         out = rerank(out, overlap_score(), k or SETTINGS.top_k)
     else:
         out = out.withColumn("rerank_score", F.lit(0.0))
+    return projected(out.where(F.col("rank") <= (k or SETTINGS.top_k)))
+
+
+def projected(found: DataFrame) -> DataFrame:
+    """Results as they are given out, with text and citation."""
     start = F.coalesce("page_start", "page_number")
-    out = out.where(F.col("rank") <= (k or SETTINGS.top_k))
-    return out.select("query_id", "rank", "chunk_id", "bid_id", "file_name", "doc_type", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 4).alias("rerank_score"), X.citation("file_name", start, F.coalesce("page_end", "page_number"), "section").alias("citation"), "text")
+    return found.select("query_id", "rank", "chunk_id", "bid_id", "file_name", "doc_type", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 4).alias("rerank_score"), X.citation("file_name", start, F.coalesce("page_end", "page_number"), "section").alias("citation"), "text")
 
 
 def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, index: SparseIndex | None = None, make: Callable[[], Embedder] = HashEmbedder, vectors: DataFrame | None = None, **filters) -> DataFrame:
@@ -248,6 +252,13 @@ def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k
     return best.select("bid_id", "query_id", "chunk_id", "rank", "rrf_score", "rerank_score")
 
 
+def route_by_sum(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, bid_id, total): the package with the highest sum of a query's eight best scores."""
+    best = top_k(bm25_scores(build_index(chunks), queries), 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null").distinct(), "chunk_id")
+    per = best.groupBy("query_id", "bid_id").agg(F.round(F.sum("score"), 4).alias("total"))
+    return top_k(per.where("total > 0.1"), 1, "bid_id", score="total").select("query_id", "bid_id", "total")
+
+
 def metrics(results: DataFrame, relevant: Column, queries: DataFrame) -> DataFrame:
     """Recall at 1, 3 and 5 and mean reciprocal rank over all queries; a query without a relevant result counts 0."""
     best = results.where(relevant).groupBy("query_id").agg(F.min("rank").alias("best"))
@@ -304,11 +315,7 @@ def q_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_route(spark: SparkSession, d: str) -> DataFrame:
-    """The package with the highest sum of a query's eight best scores."""
-    chunks = _chunks(spark, d)
-    best = top_k(bm25_scores(build_index(chunks), _files(spark, d)), 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null").distinct(), "chunk_id")
-    per = best.groupBy("query_id", "bid_id").agg(F.round(F.sum("score"), 4).alias("total"))
-    return top_k(per.where("total > 0.1"), 1, "bid_id", score="total").select("query_id", F.col("bid_id").alias("routed_bid"), "total")
+    return route_by_sum(_chunks(spark, d), _files(spark, d)).select("query_id", F.col("bid_id").alias("routed_bid"), "total")
 
 
 def q_metrics(spark: SparkSession, d: str) -> DataFrame:

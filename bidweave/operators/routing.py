@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from bidweave.config import CONTACT_WORDS, DOCUMENT_WORDS, FIELDS
 from bidweave.functions import text as X
+from bidweave.operators.retrieve import route_by_sum
 from bidweave.operators.validation import latest
-from bidweave.session import folded, table
+from bidweave.session import folded, stage, table
 
 #: Words too common in names of agencies and titles.
 AGENCY_STOP = ["state", "city", "county", "department", "office", "the", "and", "district", "public", "independent", "school", "schools", "board", "education", "commission", "authority", "division", "agency", "services"]
@@ -70,6 +71,17 @@ def route(questions: DataFrame, scores: DataFrame, fallback: DataFrame | None =
     return out.select("question_id", F.when(X.is_comparison("question"), "COMPARISON").otherwise(F.coalesce("best", second)).alias("target"))
 
 
+def route_all(questions: DataFrame, scores: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``route`` with the package of the highest sum of BM25 scores as fallback; the index is only built if a question needs it."""
+    scores = stage(scores)
+    first = route(questions, scores)
+    lost = stage(first.where("target is null").select("question_id").join(questions.where(F.size(X.terms("question")) > 0), "question_id"))
+    if lost.isEmpty():
+        return first
+    best = route_by_sum(chunks, lost.select(F.col("question_id").alias("query_id"), F.col("question").alias("query")))
+    return route(questions, scores, best.select(F.col("query_id").alias("question_id"), "bid_id"))
+
+
 def contact_scan(chunks: DataFrame, per_package: int = 10) -> DataFrame:
     """The chunks of each package that hold contacts: 2 for an address, 1 for a phone, 2 for a role, a half per word."""
     t = F.lower(F.coalesce("text", F.lit("")))
@@ -150,8 +162,8 @@ def q_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_route(spark: SparkSession, d: str) -> DataFrame:
-    q = _questions(spark, d)
-    return route(q, score_packages(q, catalogue(_chunks(spark, d).withColumn("text", F.lit("")), table(spark, d, "packages"))))
+    q, chunks = _questions(spark, d), _chunks(spark, d)
+    return route_all(q, score_packages(q, catalogue(chunks.withColumn("text", F.lit("")), table(spark, d, "packages"))), chunks)
 
 
 def q_contacts(spark: SparkSession, d: str) -> DataFrame:

@@ -310,6 +310,13 @@ def test_routing(spark, chunks):
     assert got == {1: "Bid1", 2: "COMPARISON", 3: "PKG-9", 4: None, 5: None, 6: "PKG-9"}
 
 
+def test_route_questions_falls_back_to_the_score_sum(spark, tmp_path):
+    spark.createDataFrame([("c1", "Bid1", "a.pdf", "rfp", "zirconium plates"), *((f"c{i}", "Bid2", "b.pdf", "rfp", f"steel {i}") for i in range(2, 8))], "chunk_id string, bid_id string, file_name string, doc_type string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(50, "zirconium.pdf"), (100, "unheard.pdf"), (150, "compare zirconium.pdf")], "file_id long, file_name string").write.parquet(str(tmp_path / "source_files.parquet"))
+    spark.createDataFrame([("Bid1", None, None, None)], "bid_id string, solicitation_number string, title string, agency string").write.parquet(str(tmp_path / "packages.parquet"))
+    assert {r.question_id: r.target for r in routing.q_route(spark, str(tmp_path)).collect()} == {50: "Bid1", 100: None, 150: "COMPARISON"}
+
+
 def test_comparison(spark):
     v = spark.createDataFrame([("a", "title", "x"), ("b", "title", "x"), ("a", "due date", "1")], "bid_id string, field_name string, value string")
     p = spark.createDataFrame([("a",), ("b",)], "bid_id string")

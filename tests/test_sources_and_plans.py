@@ -103,6 +103,15 @@ def test_facade(spark):
     assert providers.embed(chunks.select("text").limit(1)).first().embedding is not None
 
 
+def test_comparison_and_unnamed_package(spark):
+    rows = [(f"a{i}", f"warranty warranty years {i}", "Bid1", "a.pdf", "rfp", i) for i in range(9)] + [("b0", "long warranty text on other matters", "Bid2", "b.pdf", "rfp", 1), ("b1", "zirconium plates", "Bid2", "b.pdf", "addendum", 1)]
+    chunks = spark.createDataFrame(rows, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string")})
+    packages = spark.createDataFrame([("Bid1", None, None, None, 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
+    got = api.ask(spark, chunks, packages, "compare the warranty of all bids").collect()
+    assert sorted(r.bid_id for r in got) == ["Bid1"] * 5 + ["Bid2"] * 2 and {r["rank"] for r in got} == {1, 2, 3, 4, 5} and got[0].routed_bid is None
+    assert {(r.routed_bid, r.bid_id) for r in api.ask(spark, chunks, packages, "who makes zirconium plates").collect()} == {("Bid2", "Bid2")}
+
+
 def test_searches_are_hybrid(spark):
     chunks = spark.createDataFrame(CHUNKS, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string")})
     assert {r.chunk_id for r in api.search(spark, chunks, "lamps").collect()} == {"c1", "c2", "c3", "c4"}
