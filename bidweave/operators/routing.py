@@ -163,7 +163,7 @@ def q_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 def q_route(spark: SparkSession, d: str) -> DataFrame:
     q, chunks = _questions(spark, d), _chunks(spark, d)
-    return route_all(q, score_packages(q, catalogue(chunks.withColumn("text", F.lit("")), table(spark, d, "packages"))), chunks)
+    return route_all(q, score_packages(q, catalogue(chunks, table(spark, d, "packages"))), chunks)
 
 
 def q_contacts(spark: SparkSession, d: str) -> DataFrame:

@@ -317,6 +317,14 @@ def test_route_questions_falls_back_to_the_score_sum(spark, tmp_path):
     assert {r.question_id: r.target for r in routing.q_route(spark, str(tmp_path)).collect()} == {50: "Bid1", 100: None, 150: "COMPARISON"}
 
 
+def test_route_questions_reads_numbers_in_texts(spark, tmp_path):
+    rows = [("c1", "Bid1", "a.pdf", "rfp", "This is RFP-77-2041 of the county"), ("c2", "Bid2", "b.pdf", "rfp", "RFP 77 2041 steel"), ("c3", "Bid2", "b.pdf", "rfp", "more steel")]
+    spark.createDataFrame(rows, "chunk_id string, bid_id string, file_name string, doc_type string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(50, "rfp-77-2041 steel.pdf")], "file_id long, file_name string").write.parquet(str(tmp_path / "source_files.parquet"))
+    spark.createDataFrame([("Bid1", None, None, None), ("Bid2", "RFP-77-2O41", "Steel plates", None)], "bid_id string, solicitation_number string, title string, agency string").write.parquet(str(tmp_path / "packages.parquet"))
+    assert [r.target for r in routing.q_route(spark, str(tmp_path)).collect()] == ["Bid1"]
+
+
 def test_comparison(spark):
     v = spark.createDataFrame([("a", "title", "x"), ("b", "title", "x"), ("a", "due date", "1")], "bid_id string, field_name string, value string")
     p = spark.createDataFrame([("a",), ("b",)], "bid_id string")
