@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.session import spread, stage, table
@@ -68,8 +68,8 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 def edge_headers(texts: DataFrame) -> DataFrame:
     """(page_id, text_field, header_lines): numbers of the lines at page edges that run through the document.
 
-    Forms (letters only) are counted per document before any two are compared; a form is compared only with the forms of
-    its document that share a stretch of letters, and there with those that repeat or lead.
+    Forms (letters only) are counted per document before any two are compared; a form on one page is compared with all
+    forms of its document whose length allows it to be the same line misread.
     """
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     full = F.filter(lines, lambda x: x["line"].rlike(r"\S"))
@@ -83,13 +83,11 @@ def edge_headers(texts: DataFrame) -> DataFrame:
     rows = rows.select("page_id", *safe, "line_no", "form")
     forms = rows.groupBy(*doc, "form").agg(F.count_distinct("page_id").alias("pages"))
     n = F.length("form")
-    keys = F.array(F.concat(F.lit("<"), F.substring("form", 1, 8)), F.concat(F.lit(">"), F.expr("right(form, 8)")), F.concat(F.lit("="), F.expr("substring(form, cast(length(form) / 2 as int) - 3, 8)")))
-    keyed = forms.withColumn("key", F.explode(keys))
-    group = Window.partitionBy(*doc, "key")
-    keyed = keyed.withColumn("place", F.row_number().over(group.orderBy(F.desc("pages"), "form")))
-    heads = keyed.where("pages >= 2 or place <= 8").select(*doc, "key", F.col("form").alias("head"))
-    near = F.levenshtein("form", "head", 5).between(1, 5) & (F.levenshtein("form", "head") <= F.greatest(F.lit(2), n / 8))
-    fuzzy = keyed.where("pages = 1").join(heads, [*doc, "key"]).where(near).select(*doc, "form")
+    allowed = F.when(n <= 8, 1).otherwise(F.least(F.greatest(F.lit(2), F.floor(n / 8)), F.lit(5))).cast("int")
+    # Forms within the allowed distance differ by no more in length.
+    single = forms.where("pages = 1").withColumn("allowed", allowed).withColumn("length", F.explode(F.sequence(n - F.col("allowed"), n + F.col("allowed"))))
+    heads = forms.select(*doc, n.alias("length"), F.col("form").alias("head"))
+    fuzzy = single.join(heads, [*doc, "length"]).where(F.levenshtein("form", "head", 5).between(1, F.col("allowed"))).select(*doc, "form")
     running = forms.where("pages >= 2").select(*doc, "form").unionByName(fuzzy).distinct()
     return rows.join(running, [*doc, "form"]).groupBy("page_id", "text_field").agg(F.collect_set("line_no").alias("header_lines"))
 

@@ -251,6 +251,18 @@ def test_rare_words_are_looked_up(spark, monkeypatch, limit):
     assert sorted(map(repr, scans.repair(df).collect())) == want
 
 
+def test_running_lines_without_a_right_copy(spark):
+    other = ["quick brown foxes jump", "seven lazy dogs sleep", "nine pens of ink", "old maps and charts", "two empty crates here"]
+    head = {0: "Countv Notice of Request", 1: "County Notjce of Request", 2: "Leaflet", 3: "Leaflct"}
+    # More forms of the document end like the first line, and stand before it.
+    near = [f"a{'abcdefghijkl'[i] * 11} notice of request" for i in range(12)]
+    rows = [(p, "b", "f", p + 1, f"{h}\n{other[p]}", None, True) for p, h in head.items()]
+    rows += [(10 + p, "b", "f", 10 + p, x, None, True) for p, x in enumerate(near)]
+    df = spark.createDataFrame(rows, "page_id long, bid_id string, file_name string, page_number int, raw_text string, cleaned_text string, is_scanned boolean")
+    got = scans.edge_headers(df.select("page_id", "bid_id", "file_name", F.lit("raw_text").alias("text_field"), F.col("raw_text").alias("text"))).collect()
+    assert {r.page_id: r.header_lines for r in got} == {p: [1] for p in range(4)}
+
+
 # Personal information
 
 
