@@ -257,8 +257,8 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     signed = spread(items).select("id", F.xxhash64(F.lower("content")).alias("copy"), "content")
     signed = stage(signed.mapInArrow(_signatures, "id bigint, copy bigint, a array<bigint>, " + ", ".join(f"{c} bigint" for c in [*B_COLS, *C_COLS])))
     # Classes of copies; most contents are alone and leave here.
-    classes = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.approx_count_distinct("id").alias("about")).where("rep < last")
-    members = stage(signed.join(classes, "copy").select("rep", "id", "about").distinct())
+    classes = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    members = stage(signed.join(classes, "copy").select("rep", "id").distinct())
     alone = signed.join(members.where("id <> rep").select("id"), "id", "left_anti")
     found = stage(candidates(alone))
     ids = stage(found.select(F.explode(F.array("x", "y")).alias("id")).distinct())
@@ -275,8 +275,9 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
         return linked.select(ordered)
     linked = stage(linked)
     # Copies: small classes in full, large ones through their representative.
-    names = members.join(items.select("id", "name").distinct(), "id")
-    small = names.where(F.col("about") <= WHOLE)
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    names = members.join(sizes, "rep").join(items.select("id", "name").distinct(), "id")
+    small = names.where(F.col("size") <= WHOLE)
     own = names.join(names.where("id = rep").select("rep", F.col("name").alias("rep_name")), "rep").where("id <> rep").select(F.col("rep_name").alias("id_x"), F.col("name").alias("id_y"), F.lit(1.0).alias("similarity"))
     inner = small.where("id <> rep")
     among = inner.select("rep", F.col("name").alias("id_x")).join(inner.select("rep", F.col("name").alias("id_y")), "rep").where("id_x < id_y").select("id_x", "id_y", F.lit(1.0).alias("similarity"))

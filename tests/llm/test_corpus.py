@@ -177,6 +177,13 @@ def test_pairs_match_brute_force(spark, monkeypatch):
     assert neardup.similar_pairs(df.limit(0), "chunk", "content").collect() == []
 
 
+@pytest.mark.parametrize(("whole", "pairs"), [(300, 300 * 299 // 2), (299, 299)])
+def test_classes_of_copies_are_counted_exactly(spark, monkeypatch, whole, pairs):
+    monkeypatch.setattr(neardup, "WHOLE", whole)
+    df = spark.createDataFrame([(f"k{i}", "one and the same text of some words") for i in range(300)], "chunk string, content string")
+    assert neardup.similar_pairs(df, "chunk", "content").count() == pairs
+
+
 def test_hot_buckets_are_divided():
     import numpy as np
     import pyarrow as pa
