@@ -86,7 +86,12 @@ def confidence(retrieval: Column, rank: Column, grounded: Column, page_state: Co
 
 
 def validate(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Outputs with bucket, validity, grounding, confidence and the reason of a failure."""
+    """Outputs with bucket, validity, grounding, confidence and the reason of a failure.
+
+    ``retrieval_score`` and ``retrieval_rank`` (from 0) of the cited passage count where the outputs have them, else 0.5 and 0.
+    """
+    score = F.coalesce("retrieval_score", F.lit(0.5)) if "retrieval_score" in outputs.columns else F.lit(0.5)
+    rank = F.coalesce("retrieval_rank", F.lit(0)) if "retrieval_rank" in outputs.columns else F.lit(0)
     g = ground(outputs, chunks)
     lead = F.substring(F.lower(F.trim("value")), 1, 20)
     near = chunks.select("chunk_id", "bid_id", F.lower("text").alias("t")).dropDuplicates(["chunk_id"])
@@ -95,7 +100,7 @@ def validate(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     g = g.join(counts, "output_id", "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(0)))
     page = F.when(F.col("cited_page") > 0, F.when(F.col("matched_page") == F.col("cited_page"), 2).otherwise(1)).otherwise(0)
     fmt = format_ok(F.col("field_name"), F.col("value"))
-    sure = confidence(F.lit(0.5), F.lit(0), F.col("is_grounded"), page, fmt, F.col("quote"), F.col("value"), F.col("corroborated"))
+    sure = confidence(score, rank, F.col("is_grounded"), page, fmt, F.col("quote"), F.col("value"), F.col("corroborated"))
     none, error = F.col("value").isNull() | (F.coalesce("status", F.lit("")) == "NOT_FOUND"), F.coalesce("status", F.lit("")) == "ERROR"
     bare = F.size(F.coalesce("sources", F.array().cast("array<struct<file:string,page:int,quote:string,chunk_id:string>>"))) == 0
     valid = F.col("is_grounded") & fmt & ~bare

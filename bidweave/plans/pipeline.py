@@ -35,11 +35,14 @@ def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int
     hints = F.when(F.size("hints") > 2, F.slice("hints", 3, 3)).otherwise(F.col("hints")) if absence else F.slice("hints", 1, 3)
     queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), hints).alias("query"))
     names = F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name"))
-    best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank")
+    best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank", F.when(F.col("rerank_score") > 0, F.col("rerank_score")).otherwise(F.col("rrf_score")).alias("score"))
     scans = contact_scan(allowed, max(2 * k, 8)).withColumn("field_name", F.lit("contact_info")).unionByName(document_scan(allowed, max(2 * k, 12)).withColumn("field_name", F.lit("Any Additional Documentation Required")))
     merged = evidence(*([] if absence else [scans]), best, key=(*PACKAGE, "chunk_id"))
+    # Each passage keeps the score of the list that brought it.
+    given = [x.select(*PACKAGE, "chunk_id", F.lit(n).alias("src"), "score") for n, x in enumerate([best] if absence else [scans, best])]
+    merged = merged.join(given[0] if absence else given[0].unionByName(given[1]), [*PACKAGE, "chunk_id", "src"], "left")
     text = known.select("chunk_id", "file_name", "page_number", "text")
-    rows = merged.join(text, "chunk_id").groupBy(*PACKAGE).agg(F.sort_array(F.collect_list(F.struct("src", "rank", "chunk_id", "file_name", "page_number", "text"))).alias("passages"))
+    rows = merged.join(text, "chunk_id").groupBy(*PACKAGE).agg(F.sort_array(F.collect_list(F.struct("src", "rank", "chunk_id", "file_name", "page_number", "text", "score"))).alias("passages"))
     wanted = only if only is not None else known.select("bid_id").distinct().crossJoin(F.broadcast(definitions.select("field_name")))
     return wanted.join(rows, PACKAGE, "left")
 

@@ -114,7 +114,7 @@ def embed(df: DataFrame, text: str = "text", make: Callable[[], Embedder] = Hash
 
 
 def extract(evidence: DataFrame, make: Callable[[], Extractor] = PatternExtractor, per_minute: float | None = None) -> DataFrame:
-    """(bid_id, field_name, value, status, sources, error) from evidence rows (bid_id, field_name, passages); no evidence is NOT_FOUND without a call."""
+    """(bid_id, field_name, value, status, sources, error, retrieval_score, retrieval_rank) from evidence rows (bid_id, field_name, passages); no evidence is NOT_FOUND without a call."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, limit = make(), Limiter(per_minute) if per_minute else None
@@ -128,7 +128,9 @@ def extract(evidence: DataFrame, make: Callable[[], Extractor] = PatternExtracto
                 src = [{"file": x.get("file"), "page": x.get("page"), "quote": x.get("quote"), "chunk_id": x.get("chunk_id")}] if x.get("quote") else []
                 if x["status"] == "FOUND" and not src:
                     x["value"], x["status"] = None, "NOT_FOUND"  # a value without a citation is none
-                rows.append((r.bid_id, r.field_name, x["value"], x["status"], src, x.get("error")))
-            yield pd.DataFrame(rows, columns=["bid_id", "field_name", "value", "status", "sources", "error"])
+                cited = next(((p.get("score"), n) for n, p in enumerate(passages) if src and p["chunk_id"] == x.get("chunk_id")), (None, None))
+                rows.append((r.bid_id, r.field_name, x["value"], x["status"], src, x.get("error"), *cited))
+            out = pd.DataFrame(rows, columns=["bid_id", "field_name", "value", "status", "sources", "error", "retrieval_score", "retrieval_rank"])
+            yield out.astype({"retrieval_score": "float64", "retrieval_rank": "Int32"})
 
-    return evidence.mapInPandas(run, "bid_id string, field_name string, value string, status string, sources array<struct<file:string,page:int,quote:string,chunk_id:string>>, error string")
+    return evidence.mapInPandas(run, "bid_id string, field_name string, value string, status string, sources array<struct<file:string,page:int,quote:string,chunk_id:string>>, error string, retrieval_score double, retrieval_rank int")

@@ -95,6 +95,14 @@ def test_absence_is_confirmed_by_other_hints(spark):
     assert got["Chairs"].bucket == got["Desks"].bucket == "not_found" and len(got) == 3
 
 
+def test_confidence_counts_the_cited_passage(spark):
+    rows = [("c1", "Lamps alpha beta gamma", "B", "a.pdf", "rfp", 1), ("c2", "Lamps: forty", "B", "a.pdf", "rfp", 2)]
+    definitions = spark.createDataFrame([(0, "Lamps", ["alpha", "beta", "gamma"])], "field_ord int, field_name string, hints array<string>")
+    r = pipeline.run(spark.createDataFrame(rows, SCHEMA), definitions=definitions).fields.first()
+    assert (r.value, r.retrieval_score, r.retrieval_rank) == ("forty", 0.25, 1)
+    assert r.computed_confidence == 0.70
+
+
 def test_facade(spark):
     chunks = spark.createDataFrame(CHUNKS, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string"), "addendum_number": F.lit(None).cast("int"), "is_table": F.lit(False)})
     packages = spark.createDataFrame([("Bid1", "RFP-1-23", "Oak Desks", "Oak County", 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
