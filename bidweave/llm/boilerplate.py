@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.session import table
+from bidweave.session import stage, table
 
 LEAST_DOCUMENTS, LEAST_SHARE = 5, 0.2
+#: Sources, and frequent lines of all sources together, are broadcast up to these numbers (some 16 MB), beyond them joined by a shuffle.
+BROADCAST_SOURCES, BROADCAST_LINES = 500_000, 1_000_000
 
 
 def norm_line(line: Column) -> Column:
@@ -39,11 +41,13 @@ def frequent_lines(pages: DataFrame, source: str = "portal_id", least: int = LEA
     keyed = pages.where(F.col(source).isNotNull())
     doc = F.xxhash64("bid_id", "file_name", F.col("bid_id").isNull(), F.col("file_name").isNull())
     base = keyed.select(source, doc.alias("__doc"), F.array_distinct(F.filter("__hashes", lambda h: h.isNotNull())).alias("__own"))
-    # A row with a null hash stands for the document itself.
-    marks = base.select(source, "__doc", F.explode(F.concat(F.coalesce("__own", F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))).alias("h")).distinct()
-    counts = marks.groupBy(source, "h").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) | F.col("h").isNull())
-    per = counts.groupBy(source).agg(F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("total"), F.collect_list(F.when(F.col("h").isNotNull() & (F.col("n") >= least), F.struct("h", "n"))).alias("all"))
-    return per.select(source, F.transform(F.filter("all", lambda x: x["n"] >= F.col("total") * share), lambda x: x["h"]).alias("__frequent"))
+    totals = stage(base.select(source, "__doc").distinct().groupBy(source).agg(F.count(F.lit(1)).alias("total")))
+    if totals.count() <= BROADCAST_SOURCES:
+        totals = F.broadcast(totals)
+    # Lines are counted by (source, hash), and only those above the share are gathered by source.
+    counts = base.select(source, "__doc", F.explode("__own").alias("h")).distinct().groupBy(source, "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    often = counts.join(totals, source).where(F.col("n") >= F.col("total") * share)
+    return often.groupBy(source).agg(F.collect_list("h").alias("__frequent"))
 
 
 def hashed(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -54,9 +58,11 @@ def hashed(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
 def flag_lines(pages: DataFrame, source: str = "portal_id", least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
     """Adds ``__drop`` to hashed pages: for each line whether it is boilerplate of the page's source.
 
-    The frequent lines are broadcast: sources are a small table that does not grow, and each has a bounded number.
+    The frequent lines are broadcast while they are few; each source has a bounded number, but there may be many sources.
     """
-    both = pages.join(F.broadcast(frequent_lines(pages, source, least, share)), source, "left")
+    often = stage(frequent_lines(pages, source, least, share))
+    n = often.agg(F.coalesce(F.sum(F.size("__frequent")), F.lit(0)).alias("n")).first()["n"]
+    both = pages.join(F.broadcast(often) if n <= BROADCAST_LINES else often.hint("merge"), source, "left")
     return both.withColumn("__drop", F.transform("__hashes", lambda h: F.coalesce(F.array_contains("__frequent", h), F.lit(False)))).drop("__hashes", "__frequent")
 
 

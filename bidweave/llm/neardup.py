@@ -3,17 +3,19 @@
 Two collections of minhash pairs are drawn, A and B; a table key is a pair (A_i, B_j), so that ``A_PAIRS`` x
 ``B_PAIRS`` tables of four minhashes each cost only 2 (A_PAIRS + B_PAIRS) minhashes. The tables are not written out:
 rows are shuffled once per A_i and carry one byte of each minhash of B, and each bucket of A_i is divided
-by the B_j where it lies. Buckets with more than ``HOT`` rows stream through and are divided by (A_i, B_j) in a
-second pass, so a hot bucket becomes many and none is held in memory. Candidates whose minhash bytes agree too little are left out, the others are verified on
-their whole texts.
+by the B_j where it lies. Buckets with more than ``HOT`` rows stream through and are divided by the B_j over all tasks;
+what is still hot is divided again, level by level, by further pairs of minhash bytes (``LEVELS``), and rows that
+agree in all of them are compared block by block, so no task ever holds a hot bucket. Candidates whose minhash
+bytes agree too little are left out, the others are verified on their whole texts.
 
 A pair of similarity s shares a key with probability (1 - (1 - s^2)^A_PAIRS) (1 - (1 - s^2)^B_PAIRS): 0.9999 at 0.65, 0.995 at
 0.55 and 0.984 at 0.5. Exact copies (same content) are one class with one representative; only representatives are
 compared. Classes of at most ``WHOLE`` copies are expanded into all their pairs, larger ones give one pair per copy with
 their representative, which is the membership.
 
-Defined results: a null text has no content and no pair; a text of fewer than three words has no shingles and no pair
-but with its copies; an item that comes again (same id) counts once; a null name counts as empty.
+Defined results: a null text has no content and no pair; a text of fewer than three words has no shingles, hence no
+similarity and no pair; an item that comes again (same id) counts once; a null name counts as empty. Contents count as equal
+by 128 bits of hashes; two ids of one 64-bit hash are told apart when candidates are verified.
 """
 
 from __future__ import annotations
@@ -99,16 +101,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = _mix(least[:, 0 : 2 * A_PAIRS : 2] * U(5) + least[:, 1 : 2 * A_PAIRS : 2] + np.arange(A_PAIRS, dtype=U))
             # Bytes of B, then some of A for a second look.
             small = np.concatenate([least[:, 2 * A_PAIRS :], least[:, :C_BYTES]], axis=1) & U(255)
-            small = np.ascontiguousarray(small.astype(np.uint8)).view(np.int64).reshape(len(have), -1)
+            small = np.ascontiguousarray(small.astype(np.uint8)).view(np.int64).reshape(len(have), B_WORDS + C_BYTES // 8)
             row = pa.array(have, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id").take(row),
                     b.column("copy").take(row),
+                    b.column("copy2").take(row),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * A_PAIRS), pa.array(pairs.view(np.int64).ravel())),
                     *[pa.array(small[:, k].copy()) for k in range(small.shape[1])],
                 ],
-                ["id", "copy", "a", *B_COLS, *C_COLS],
+                ["id", "copy", "copy2", "a", *B_COLS, *C_COLS],
             )
 
 
@@ -117,21 +120,16 @@ B_COLS = [f"b{k}" for k in range(B_WORDS)]
 C_COLS = [f"c{k}" for k in range(C_BYTES // 8)]
 
 
-def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: range | np.ndarray) -> np.ndarray:
-    """Pairs (smaller id, larger id) of rows that share key and B_j for some j and have enough bytes in common.
-
-    ``tables``: all j, or one j for each row.
-    """
+def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
+    """Pairs (smaller id, larger id) of rows that share the key and, for some j below ``tables``, B_j (``tables`` 0: the key alone), and have enough bytes in common."""
     out = [np.empty((0, 2), np.int64)]
     if not len(ids):
         return out[0]
     bytes_ = np.ascontiguousarray(b).view(np.uint8).reshape(len(ids), -1)
     codes = bytes_.view(np.uint16)
-    rounds = [(j, None) for j in tables] if isinstance(tables, range) else [(None, tables)]
-    for j, own in rounds:
-        code = codes[:, j] if own is None else codes[np.arange(len(ids)), own]
-        bucket = _mix(key.view(U) + code.astype(U) * U(0x9E3779B97F4A7C15))
-        order = np.argsort(bucket)
+    for j in range(max(tables, 1)):
+        bucket = _mix(key.view(U) + codes[:, j].astype(U) * U(0x9E3779B97F4A7C15)) if tables else key.view(U)
+        order = np.argsort(bucket, kind="stable")
         sorted_ = bucket[order]
         at = np.flatnonzero(sorted_[1:] == sorted_[:-1])
         step = 1
@@ -151,10 +149,11 @@ def _within(key: np.ndarray, ids: np.ndarray, b: np.ndarray, tables: range | np.
 PAIR, ROW = 0, 1
 
 
-def _bucket_pairs(divided: bool):
-    """Over rows sorted by key: pairs of each bucket, or its rows as they are where it is hot and not yet divided.
+def _bucket_pairs(tables: int, most: int):
+    """Over rows (key, id, B) sorted by key: pairs of each bucket, or its rows as they are where it has more than ``most``.
 
-    A bucket that goes on in the next batch waits for it; one that is known to be hot streams through.
+    A bucket that goes on in the next batch waits for it; one that is known to be hot streams through, so that at most a
+    batch and ``most`` rows are held.
     """
 
     def out(kind: int, x: np.ndarray, y: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -165,13 +164,12 @@ def _bucket_pairs(divided: bool):
         key = rows[:, 0]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
-        many = np.repeat(size > HOT, size) if not divided else np.zeros(len(key), bool)
+        many = np.repeat(size > most, size)
         if hot is not None:
             many |= key == hot
         if many.any():
             yield out(ROW, key[many], rows[many, 1], rows[many, 2 : 2 + B_WORDS])
         rows = rows[np.repeat(size > 1, size) & ~many]  # most buckets hold one row
-        tables = rows[:, 2 + B_WORDS] if divided else range(B_PAIRS)
         p = _within(rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2 : 2 + B_WORDS], tables)
         yield out(PAIR, p[:, 0], p[:, 1], np.zeros((len(p), B_WORDS), np.int64))
 
@@ -184,11 +182,8 @@ def _bucket_pairs(divided: bool):
                 continue
             rows = np.concatenate(rest)
             if rows[0, 0] == rows[-1, 0]:
-                if divided:
-                    rest = [rows]
-                else:
-                    hot, rest = rows[0, 0], []
-                    yield out(ROW, rows[:, 0], rows[:, 1], rows[:, 2 : 2 + B_WORDS])
+                hot, rest = rows[0, 0], []
+                yield out(ROW, rows[:, 0], rows[:, 1], rows[:, 2 : 2 + B_WORDS])
                 continue
             cut = np.searchsorted(rows[:, 0], rows[-1, 0], side="left")
             yield from emit(rows[:cut], hot)
@@ -202,17 +197,52 @@ def _bucket_pairs(divided: bool):
 _OUT = "kind bigint, x bigint, y bigint, " + ", ".join(f"{c} bigint" for c in B_COLS)
 
 
-def _by_key(rows: DataFrame, divided: bool) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(divided), _OUT)
+def _by_key(rows: DataFrame, tables: int) -> DataFrame:
+    return rows.select("key", "id", *B_COLS).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(tables, HOT), _OUT)
+
+
+def _byte(columns: list[str], n: int) -> str:
+    n %= 8 * len(columns)
+    return f"(shiftright({columns[n // 8]}, {8 * (n % 8)}) & 255)"
+
+
+#: How hot buckets are divided, level by level: the bytes, and where the first code begins. Sixteen codes of two bytes each. A level
+#: makes 16 s^2 rows of one (s: what the rows share) and compares 16 s^4 times the pairs, so at most two pay off near the threshold.
+LEVELS = [(B_COLS, 0), (C_COLS, 1)]
+
+
+def _codes(level: int) -> list:
+    columns, first = LEVELS[level]
+    return [F.expr(f"cast({_byte(columns, first + 2 * k)} * 256 + {_byte(columns, first + 2 * k + 1)} as int)") for k in range(16)]
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that can't be divided, dealt out to blocks of less than ``HOT`` rows and repeated for each pair of blocks."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / HOT).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", *B_COLS)
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """(x, y), x < y: ids that share a key of some table and enough minhash bytes."""
-    first = stage(_by_key(signed.select(F.explode("a").alias("key"), "id", *B_COLS), False))
-    codes = [F.expr(f"cast(shiftright(b{2 * j // 8}, {2 * j % 8 * 8}) & 65535 as int)") for j in range(B_PAIRS)]
-    hot = first.where(F.col("kind") == ROW).select(F.col("x").alias("key"), F.col("y").alias("id"), *B_COLS, F.posexplode(F.array(*codes)).alias("j", "code"))
-    hot = hot.select(F.xxhash64("key", "j", "code").alias("key"), "id", *B_COLS, F.col("j").cast("long").alias("j"))
-    pairs = first.where(F.col("kind") == PAIR).select("x", "y").unionByName(_by_key(hot, True).select("x", "y")).distinct()
+    done = stage(_by_key(signed.select(F.explode("a").alias("key"), "id", *B_COLS), B_PAIRS))
+    pairs = done.where(F.col("kind") == PAIR).select("x", "y")
+    more = signed.select("id", *C_COLS)
+    for level in range(len(LEVELS) + 1):
+        hot = done.where(F.col("kind") == ROW).select(F.col("x").alias("key"), F.col("y").alias("id"), *B_COLS)
+        if hot.isEmpty():
+            break
+        if level == 0:
+            hot = hot.dropDuplicates(["key", "id"])  # an item that comes again and again
+        if level < len(LEVELS):
+            own = hot.join(more, "id") if LEVELS[level][0] is C_COLS else hot
+            split = own.select("key", "id", *B_COLS, F.posexplode(F.array(*_codes(level))).alias("k", "code"))
+            done = stage(_by_key(split.withColumn("key", F.xxhash64("key", "k", "code")), 0))
+        else:
+            done = _by_key(_in_blocks(hot), 0)
+        pairs = pairs.unionByName(done.where(F.col("kind") == PAIR).select("x", "y"))
+    pairs = pairs.distinct()
     for side in ("x", "y"):
         pairs = pairs.join(signed.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in C_COLS]), side)
     return pairs.mapInArrow(_alike, "x bigint, y bigint").distinct()
@@ -247,6 +277,12 @@ def _similar(least: float):
     return run
 
 
+def _copy_key() -> list:
+    """128 bits by which two contents are the same."""
+    low = F.lower("content")
+    return [F.xxhash64(low).alias("copy"), F.xxhash64(low, F.lit("copy")).alias("copy2")]
+
+
 def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5) -> DataFrame:
     """(id_a, id_b, similarity): pairs of ``key`` values, id_a < id_b, whose contents reach the similarity ``least``.
 
@@ -254,17 +290,17 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     """
     items = items.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("name"), F.col(content).alias("content"))
     items = items.withColumn("id", F.xxhash64("name"))
-    signed = spread(items).select("id", F.xxhash64(F.lower("content")).alias("copy"), "content")
-    signed = stage(signed.mapInArrow(_signatures, "id bigint, copy bigint, a array<bigint>, " + ", ".join(f"{c} bigint" for c in [*B_COLS, *C_COLS])))
+    signed = spread(items).select("id", *_copy_key(), "content")
+    signed = stage(signed.mapInArrow(_signatures, "id bigint, copy bigint, copy2 bigint, a array<bigint>, " + ", ".join(f"{c} bigint" for c in [*B_COLS, *C_COLS])))
     # Classes of copies; most contents are alone and leave here.
-    classes = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
-    members = stage(signed.join(classes, "copy").select("rep", "id").distinct())
+    classes = signed.groupBy("copy", "copy2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    members = stage(signed.join(classes, ["copy", "copy2"]).select("rep", "id", "copy", "copy2").distinct())
     alone = signed.join(members.where("id <> rep").select("id"), "id", "left_anti")
     found = stage(candidates(alone))
     ids = stage(found.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("name").alias("name"), F.first("content").alias("content"))
+    texts = items.join(ids, "id", "left_semi").groupBy("id", "name").agg(F.first("content").alias("content"))
     one = texts.select(F.col("id").alias("x"), F.col("name").alias("id_x"), F.col("content").alias("content_x"))
     two = texts.select(F.col("id").alias("y"), F.col("name").alias("id_y"), F.col("content").alias("content_y"))
     joined = found.join(one, "x").join(two, "y").select("id_x", "id_y", F.col("x").alias("rep_x"), F.col("y").alias("rep_y"), "content_x", "content_y")
@@ -276,7 +312,7 @@ def similar_pairs(items: DataFrame, key: str, content: str, least: float = 0.5)
     linked = stage(linked)
     # Copies: small classes in full, large ones through their representative.
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
-    names = members.join(sizes, "rep").join(items.select("id", "name").distinct(), "id")
+    names = members.join(sizes, "rep").join(items.select("id", "name", *_copy_key()).distinct(), ["id", "copy", "copy2"]).drop("copy", "copy2")
     small = names.where(F.col("size") <= WHOLE)
     own = names.join(names.where("id = rep").select("rep", F.col("name").alias("rep_name")), "rep").where("id <> rep").select(F.col("rep_name").alias("id_x"), F.col("name").alias("id_y"), F.lit(1.0).alias("similarity"))
     inner = small.where("id <> rep")
