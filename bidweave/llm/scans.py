@@ -1,7 +1,7 @@
 """Repair of text from scanned pages: running headers, page numbers, cut and misread words.
 
 Headers and footers are found by fuzzy repetition of lines at page edges within a document, page-number sequences by
-their form and the page's number. The vocabulary counts the pages on which each word stands, over the whole corpus;
+their form and their number, which is that of the page or runs ahead of it by the same count on several pages. The vocabulary counts the pages on which each word stands, over the whole corpus;
 a word cut at a line's end is joined if the vocabulary has the joined word, or lacks the hyphenated one; a word outside
 the vocabulary is misread if undoing one or two usual confusions, a stray sign or a split gives a word of it.
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.session import spread, stage, table
@@ -31,6 +31,8 @@ CONFUSIONS = [
 ]
 STRAY = "~^|¦·•`_*°¬"
 HYPHENS = "-‐‑¬\xad"
+#: Page numbers that aren't the page's own are a sequence if they lie equally far from it on so many pages of a document.
+SEQUENCE = 3
 #: A word of the vocabulary stands on at least so many pages, whatever the size of the corpus.
 MIN_PAGES = 3
 #: The words on most pages are broadcast, up to this number (some 20 MB a worker); all others are looked up by a join.
@@ -58,38 +60,70 @@ def roman(n: int) -> str:
 def vocabulary(pages: DataFrame) -> DataFrame:
     """(word, pages): the corpus vocabulary; words are counted once a page, in lower case."""
     text = F.lower(F.concat_ws(" ", F.regexp_replace("raw_text", rf"[{HYPHENS}]\s*\n", " "), "cleaned_text"))
-    words = pages.select(F.coalesce("is_scanned", F.lit(True)).alias("scanned"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0)))).alias("word"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0)))
+    # The null word stands for the page itself.
+    words = pages.select(F.coalesce("is_scanned", F.lit(True)).alias("scanned"), F.explode(F.concat(found, F.array(F.lit(None).cast("string")))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("all_pages"), F.count(F.when(~F.col("scanned"), 1)).alias("clean_pages"))
-    size = pages.agg(F.count(F.when(~F.coalesce("is_scanned", F.lit(True)), 1)).alias("n_clean"))
-    n = F.when(F.col("n_clean") > 0, F.col("clean_pages")).otherwise(F.col("all_pages"))
-    return counts.crossJoin(F.broadcast(size)).where(n >= MIN_PAGES).select("word", n.alias("pages"))
+    counts = stage(counts.where(F.col("word").isNull() | (F.col("all_pages") >= MIN_PAGES)))
+    unclean = counts.where("word is null and clean_pages > 0").isEmpty()
+    n = F.col("all_pages") if unclean else F.col("clean_pages")
+    return counts.where(F.col("word").isNotNull() & (n >= MIN_PAGES)).select("word", n.alias("pages"))
 
 
-def edge_headers(texts: DataFrame) -> DataFrame:
-    """(page_id, text_field, header_lines): numbers of the lines at page edges that run through the document.
+_DOC = ["bid_id", "file_name", "text_field"]
 
-    Forms (letters only) are counted per document before any two are compared; a form on one page is compared with all
-    forms of its document whose length allows it to be the same line misread.
+
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, bid_id, file_name, text_field, line_no, form, ahead): the lines at page edges of scanned pages, and of other pages of documents with pages of unknown kind.
+
+    ``form`` has the letters only, null where the line can't run; ``ahead`` says how far the number of a line that is a
+    page number lies beyond the page's. Null names count as one. Texts are read once; the lines are written for the passes over them.
     """
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    full = F.filter(lines, lambda x: x["line"].rlike(r"\S"))
-    edge = F.array_distinct(F.concat(F.slice(full, 1, EDGE), F.reverse(F.slice(F.reverse(full), 1, EDGE))))
-    rows = texts.where("text is not null").select("page_id", "bid_id", "file_name", "text_field", F.explode(edge).alias("e")).select("*", "e.line_no", "e.line").drop("e")
-    form = F.regexp_replace(F.lower("line"), r"[^\p{L}@]", "")
+    unsure = stage(pages.where("is_scanned is null").select("bid_id", "file_name").distinct()).withColumn("unsure", F.lit(True))
+    if unsure.count() <= BROADCAST_DOCUMENTS:
+        unsure = F.broadcast(unsure)
+
+    def edges(text: str) -> Column:
+        lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+        full = F.filter(lines, lambda x: x["line"].rlike(r"\S"))
+        return F.array_distinct(F.concat(F.slice(full, 1, EDGE), F.reverse(F.slice(F.reverse(full), 1, EDGE))))
+
+    fields = F.array(*[F.struct(F.lit(f).alias("text_field"), edges(f).alias("edges")) for f in ("raw_text", "cleaned_text")])
+    rows = pages.select("page_id", "bid_id", "file_name", "page_number", F.coalesce("is_scanned", F.lit(True)).alias("scanned"), fields.alias("f"))
+    # A page of unknown kind may lie among unscanned pages that carry the same running lines.
+    rows = rows.join(unsure, ["bid_id", "file_name"], "left").where("scanned or unsure").select("*", F.explode("f").alias("g")).select("*", "g.text_field", F.explode("g.edges").alias("e"))
+    line = F.col("e.line")
+    form = F.regexp_replace(F.lower(line), r"[^\p{L}@]", "")
     # The last line of a paragraph ends with a full stop; running lines don't.
-    rows = rows.withColumn("form", form).where((F.length("form") >= 4) & ~F.col("line").rlike(r"[.;,:]\s*$"))
-    doc = ["bid_id", "file_name", "text_field"]
-    safe = [F.coalesce(c, F.lit("\u0000")).alias(c) for c in doc]
-    rows = rows.select("page_id", *safe, "line_no", "form")
-    forms = rows.groupBy(*doc, "form").agg(F.count_distinct("page_id").alias("pages"))
+    form = F.when((F.length(form) >= 4) & ~line.rlike(r"[.;,:]\s*$"), form)
+    ahead = F.regexp_extract(F.lower(F.trim(line)), r"^\W*(?:(?:page|pg|p)\b\W*)?(\d{1,4})(?:\W*(?:of|/)\W*\d{1,4})?\W*$", 1).try_cast("int") - F.col("page_number")
+    rows = rows.select("page_id", *[F.coalesce(c, F.lit("\u0000")).alias(c) for c in _DOC], "e.line_no", form.alias("form"), ahead.alias("ahead"))
+    return stage(rows.where("form is not null or ahead <> 0"))
+
+
+def sequences(edges: DataFrame) -> DataFrame:
+    """(page_id, text_field, ahead): how far the page numbers of the page's document run ahead of its pages."""
+    rows = edges.where("ahead <> 0")
+    runs = rows.groupBy(*_DOC, "ahead").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= SEQUENCE)
+    return rows.join(runs, [*_DOC, "ahead"]).groupBy("page_id", "text_field").agg(F.collect_set("ahead").alias("ahead"))
+
+
+def edge_headers(edges: DataFrame) -> DataFrame:
+    """(page_id, text_field, header_lines): numbers of the edge lines that run through the document.
+
+    Forms are counted per document before any two are compared; a form on one page is compared with all
+    forms of its document whose length allows it to be the same line misread.
+    """
+    rows = edges.where("form is not null").select("page_id", *_DOC, "line_no", "form")
+    forms = rows.groupBy(*_DOC, "form").agg(F.count_distinct("page_id").alias("pages"))
     n = F.length("form")
     allowed = F.when(n <= 8, 1).otherwise(F.least(F.greatest(F.lit(2), F.floor(n / 8)), F.lit(5))).cast("int")
     # Forms within the allowed distance differ by no more in length.
     single = forms.where("pages = 1").withColumn("allowed", allowed).withColumn("length", F.explode(F.sequence(n - F.col("allowed"), n + F.col("allowed"))))
-    heads = forms.select(*doc, n.alias("length"), F.col("form").alias("head"))
-    fuzzy = single.join(heads, [*doc, "length"]).where(F.levenshtein("form", "head", 5).between(1, F.col("allowed"))).select(*doc, "form")
-    running = forms.where("pages >= 2").select(*doc, "form").unionByName(fuzzy).distinct()
-    return rows.join(running, [*doc, "form"]).groupBy("page_id", "text_field").agg(F.collect_set("line_no").alias("header_lines"))
+    heads = forms.select(*_DOC, n.alias("length"), F.col("form").alias("head"))
+    fuzzy = single.join(heads, [*_DOC, "length"]).where(F.levenshtein("form", "head", 5).between(1, F.col("allowed"))).select(*_DOC, "form")
+    running = forms.where("pages >= 2").select(*_DOC, "form").unionByName(fuzzy).distinct()
+    return rows.join(running, [*_DOC, "form"]).groupBy("page_id", "text_field").agg(F.collect_set("line_no").alias("header_lines"))
 
 
 def undone(low: str) -> Iterator[list[str]]:
@@ -166,20 +200,18 @@ class Reader:
         return [x for x in out if x not in self.words and _WORD.fullmatch(x)]
 
 
-def _is_page_no(line: str, page: int | None) -> bool:
+def _is_page_no(line: str, page: int | None, ahead: list[int] | None = None) -> bool:
+    """Whether a line is the number of its page, or of a page as far from it as ``ahead`` has; of a page without number any that says so."""
     s = line.strip().lower()
     if not s or len(s) > 24:
         return False
     m = _PAGE_NO.match(s) or _PAGE_NO.match(re.sub(r"^(\W*)pa?[gq9][ec3]?\b", r"\1page", s))
     if not m:
         return False
-    named = m[2] is not None or re.search(r"p(?:age|g|\.)", s) or not s[0].isalnum()
-    if page is None or named:
-        return True
-    return m[1] in (str(page), roman(page))
+    return page is None or m[1] in (str(page), roman(page)) or m[1] in {str(page + n) for n in ahead or ()}
 
 
-def _parts(lines: list[str], header_lines: list[int] | None, page: int | None) -> tuple[list[tuple[int, str]], list[int]]:
+def _parts(lines: list[str], header_lines: list[int] | None, page: int | None, ahead: list[int] | None = None) -> tuple[list[tuple[int, str]], list[int]]:
     """(line number, kind) of page numbers and running lines, and the places of all other lines with text."""
     full = [i for i, line in enumerate(lines) if line.strip()]
     edge = {*full[:EDGE], *full[-EDGE:]}
@@ -187,7 +219,7 @@ def _parts(lines: list[str], header_lines: list[int] | None, page: int | None) -
     out: list[tuple[int, str]] = []
     body: list[int] = []
     for i in full:
-        if i in edge and _is_page_no(lines[i], page):
+        if i in edge and _is_page_no(lines[i], page, ahead):
             out.append((i + 1, "page_no"))
         elif i in headers:
             out.append((i + 1, "header"))
@@ -202,11 +234,11 @@ def _at_end(left: str, right: str) -> tuple[str, str] | None:
     return (a[1], b[1]) if a and b and a[1][-1].isalpha() and b[1][0].isalpha() else None
 
 
-def forms(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader) -> set[tuple[str, bool]]:
+def forms(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader, ahead: list[int] | None = None) -> set[tuple[str, bool]]:
     """(form, misread) in lower case: all forms of a text that ``noise`` looks up and the reader's ``words`` don't settle."""
     out: set[tuple[str, bool]] = set()
     lines = (text or "").split("\n")
-    _, body = _parts(lines, header_lines, page)
+    _, body = _parts(lines, header_lines, page, ahead)
     for i, k in zip(body, body[1:]):
         cut = _at_end(lines[i], lines[k])
         if cut:
@@ -220,12 +252,12 @@ def forms(text: str | None, header_lines: list[int] | None, page: int | None, re
     return {x for x in out if x[0] not in reader.words}
 
 
-def noise(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader) -> tuple[list[tuple[int, str]], str | None]:
+def noise(text: str | None, header_lines: list[int] | None, page: int | None, reader: Reader, ahead: list[int] | None = None) -> tuple[list[tuple[int, str]], str | None]:
     """(line number, kind) of all noise of a text, and the text repaired into paragraphs."""
     if text is None:
         return [], None
     lines = text.split("\n")
-    out, body = _parts(lines, header_lines, page)
+    out, body = _parts(lines, header_lines, page, ahead)
     tokens = {i: lines[i].split() for i in body}
     joins: set[int] = set()
     keeps: set[int] = set()  # the hyphen at the line's end belongs to the word
@@ -304,6 +336,10 @@ def noise(text: str | None, header_lines: list[int] | None, page: int | None, re
     return sorted(set(out)), "".join(parts)
 
 
+def _listed(x) -> list | None:
+    return None if x is None else list(x)
+
+
 def _with_rare(texts: DataFrame, known: DataFrame, words: Broadcast) -> DataFrame:
     """Adds ``rare``: the words of the vocabulary beyond the broadcast ones on which the judgement of a text depends.
 
@@ -314,8 +350,8 @@ def _with_rare(texts: DataFrame, known: DataFrame, words: Broadcast) -> DataFram
         reader = Reader(words.value)
         for pdf in batches:
             rows = []
-            for pid, number, field, text, heads in zip(pdf["page_id"], pdf["page_number"], pdf["text_field"], pdf["text"], pdf["header_lines"]):
-                rows += [(pid, field, f, m) for f, m in forms(text, None if heads is None else list(heads), None if pd.isna(number) else int(number), reader)]
+            for pid, number, field, text, heads, ahead in zip(*(pdf[c] for c in ("page_id", "page_number", "text_field", "text", "header_lines", "ahead"))):
+                rows += [(pid, field, f, m) for f, m in forms(text, _listed(heads), None if pd.isna(number) else int(number), reader, _listed(ahead))]
             yield pd.DataFrame(rows, columns=["page_id", "text_field", "form", "misread"])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,29 +368,24 @@ def _with_rare(texts: DataFrame, known: DataFrame, words: Broadcast) -> DataFram
 
 def repair(pages: DataFrame) -> DataFrame:
     """(page_id, text_field, repaired, noise): the repaired text of both text fields of scanned pages, and each line's noise."""
-    scanned = F.coalesce("is_scanned", F.lit(True))
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("text_field"), F.col(f).alias("text")) for f in ("raw_text", "cleaned_text")])).alias("f")
-    by_field = lambda df: df.select("page_id", "bid_id", "file_name", "page_number", fields).select("page_id", "bid_id", "file_name", "page_number", "f.*")
-    texts = by_field(pages.where(scanned))
-    # A page of unknown kind may lie among unscanned pages that carry the same running lines.
-    unsure = stage(pages.where("is_scanned is null").select("bid_id", "file_name").distinct())
-    if unsure.count() <= BROADCAST_DOCUMENTS:
-        unsure = F.broadcast(unsure)
-    headers = edge_headers(texts.unionByName(by_field(pages.where(~scanned).join(unsure, ["bid_id", "file_name"], "left_semi"))))
+    texts = pages.where(F.coalesce("is_scanned", F.lit(True))).select("page_id", "page_number", fields).select("page_id", "page_number", "f.*")
+    edges = edge_lines(pages)
+    marks = edge_headers(edges).join(sequences(edges), ["page_id", "text_field"], "full_outer")
     known = stage(vocabulary(pages))
     rare = known.count() > BROADCAST_WORDS
     head = known.orderBy(F.desc("pages"), "word").limit(BROADCAST_WORDS) if rare else known
     words = pages.sparkSession.sparkContext.broadcast([r[0] for r in head.select("word").toLocalIterator()])
-    joined = spread(texts.select("page_id", "page_number", "text_field", "text")).join(headers, ["page_id", "text_field"], "left")
+    joined = spread(texts).join(marks, ["page_id", "text_field"], "left")
     joined = _with_rare(stage(joined), known, words) if rare else joined.withColumn("rare", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(words.value)
         for pdf in batches:
             rows = []
-            for pid, number, field, text, heads, more in zip(pdf["page_id"], pdf["page_number"], pdf["text_field"], pdf["text"], pdf["header_lines"], pdf["rare"]):
+            for pid, number, field, text, heads, ahead, more in zip(*(pdf[c] for c in ("page_id", "page_number", "text_field", "text", "header_lines", "ahead", "rare"))):
                 reader.rare = frozenset(() if more is None else more)
-                found, fixed = noise(text, None if heads is None else list(heads), None if pd.isna(number) else int(number), reader)
+                found, fixed = noise(text, _listed(heads), None if pd.isna(number) else int(number), reader, _listed(ahead))
                 rows.append((pid, field, fixed, [{"line_no": n, "noise_kind": k} for n, k in found]))
             yield pd.DataFrame(rows, columns=["page_id", "text_field", "repaired", "noise"])
 

@@ -306,10 +306,20 @@ def test_running_lines_without_a_right_copy(spark):
     rows = [(p, "b", "f", p + 1, f"{h}\n{other[p]}", None, True) for p, h in head.items()]
     rows += [(10 + p, "b", "f", 10 + p, x, None, True) for p, x in enumerate(near)]
     df = spark.createDataFrame(rows, "page_id long, bid_id string, file_name string, page_number int, raw_text string, cleaned_text string, is_scanned boolean")
-    got = scans.edge_headers(df.select("page_id", "bid_id", "file_name", F.lit("raw_text").alias("text_field"), F.col("raw_text").alias("text"))).collect()
+    got = scans.edge_headers(scans.edge_lines(df)).collect()
     assert {r.page_id: r.header_lines for r in got} == {p: [1] for p in range(4)}
 
 
+def test_page_number_sequences(spark):
+    assert not scans._is_page_no("Page 12 of 20", 3) and scans._is_page_no("Page 3 of 20", 3) and scans._is_page_no("iii", 3)
+    assert scans._is_page_no("Page 12 of 20", 3, [9]) and scans._is_page_no("Page 12", None)
+    numbers = {1: "- 11 -", 2: "- 12 -", 3: "Page 13 of 20", 4: "Page 9", 5: "5"}
+    rows = [(p, "b", "f", p, f"The vendor shall deliver.\n{x}", None, True) for p, x in numbers.items()]
+    df = spark.createDataFrame(rows, "page_id long, bid_id string, file_name string, page_number int, raw_text string, cleaned_text string, is_scanned boolean")
+    got = {r.page_id: [tuple(n) for n in r.noise] for r in scans.repair(df).where("text_field = 'raw_text'").collect()}
+    assert {p for p, n in got.items() if (2, "page_no") in n} == {1, 2, 3, 5}
+
+
 # Personal information
 
 
