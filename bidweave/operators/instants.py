@@ -6,12 +6,14 @@ intervals of constant offset, exploded by (zone, year); the intervals that conta
 offset. Two mean an ambiguous time (the first holds), none a skipped one (the offset before the gap holds).
 
 Defined results: a cell that is null, blank, only a date, only a time or an impossible date gives a null
-instant; fraction digits finer than micro-seconds are cut off; two-digit years are 20xx; a wall time in a zone needs a year from
-1970 to 2079; without an offset, label or zone name the default zone holds, and without that the instant is null.
+instant; fraction digits finer than micro-seconds are cut off; two-digit years are 20xx; any year from 1 to 9999 counts, years beyond
+a zone's table by its last rule; without an offset, label or zone name the default zone holds, and without that, or where it
+is no IANA zone, the instant is null.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -19,9 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.session import folded, table
+from bidweave.session import folded, stage, table
 
-FIRST_YEAR, LAST_YEAR = 1970, 2079
+#: Years of zones are broadcast up to this number (some 20 MB), beyond it joined by a shuffle.
+BROADCAST_YEARS = 100_000
 
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 # Marks a date found in the text: «kind|a|b|c».
@@ -95,62 +98,64 @@ def parse_wall(df: DataFrame, text: str, order: str) -> DataFrame:
     return df.withColumns({"wall_us": wall, "epoch_us": count.cast("bigint")}).drop(*[x for x in df.columns if x.startswith("__")])
 
 
-def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Offset intervals of each zone by year of the wall time: arrays of (wall from, wall to, offset), in time's order."""
-    from zoneinfo import ZoneInfo
-
-    def changes(zone: ZoneInfo, lo: datetime, hi: datetime, a: timedelta, b: timedelta, out: list) -> None:
-        while hi - lo > timedelta(seconds=1):
-            mid = lo + (hi - lo) / 2
-            mid = mid.replace(microsecond=0)
-            if mid in (lo, hi):
-                break
-            o = mid.astimezone(zone).utcoffset()
-            if o == a:
-                lo = mid
-            elif o == b:
-                hi = mid
-            else:
-                changes(zone, lo, mid, a, o, out)
-                lo, a = mid, o
-        out.append((hi, b))
-
-    epoch = datetime(1970, 1, 1, tzinfo=UTC)
+def _spans(zone, year: int) -> list[tuple[int, int, int]]:
+    """(wall from, wall to, offset) in seconds of the intervals of constant offset that touch a year of wall time, and of the one before."""
+    epoch, second = datetime(1970, 1, 1, tzinfo=UTC), timedelta(seconds=1)
+    first, last = datetime(1, 1, 3, tzinfo=UTC), datetime(9999, 12, 28, tzinfo=UTC)
+    # Five weeks before the year hold the interval before any gap at its start.
+    at = first if year < 2 else datetime(year, 1, 1, tzinfo=UTC) - timedelta(days=35)
+    end = last if year > 9998 else datetime(year + 1, 1, 1, tzinfo=UTC) + timedelta(days=4)
+    offset_at = lambda t: t.astimezone(zone).utcoffset()
     sec = lambda t: round((t - epoch).total_seconds())
+    cuts = []
+    offset = offset_at(at)
+    begin = (at, offset)
+    while at < end:
+        to = min(end, at + timedelta(days=7))
+        while (there := offset_at(to)) != offset:
+            lo, hi = at, to  # the first change between them
+            while hi - lo > second:
+                mid = (lo + (hi - lo) / 2).replace(microsecond=0)
+                if mid in (lo, hi):
+                    break
+                lo, hi = (mid, hi) if offset_at(mid) == offset else (lo, mid)
+            offset = offset_at(hi)
+            cuts.append((hi, offset))
+            at = hi
+            if offset == there:
+                break
+        at = to
+    out, margin = [], 30 * 86_400
+    start, now = sec(begin[0]) - margin, round(begin[1].total_seconds())
+    for t, o in cuts:
+        out.append((start + now, sec(t) + now, now))
+        start, now = sec(t), round(o.total_seconds())
+    return [*out, (start + now, sec(end) + margin + now, now)]
+
+
+def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from zoneinfo import ZoneInfo, available_timezones
+
+    names = {z.lower(): z for z in available_timezones()}
     for pdf in batches:
         rows = []
-        for name in pdf["zone"]:
-            try:
-                zone = ZoneInfo(name)
-            except Exception:  # noqa: BLE001, S112
-                continue
-            at = datetime(FIRST_YEAR - 1, 12, 1, tzinfo=UTC)
-            offset, found = at.astimezone(zone).utcoffset(), []
-            start = offset
-            while at.year <= LAST_YEAR:
-                to = at + timedelta(days=20)
-                o = to.astimezone(zone).utcoffset()
-                if o != offset:
-                    changes(zone, at, to, offset, o, found)
-                at, offset = to, o
-            spans, begin, now = [], sec(datetime(FIRST_YEAR - 1, 12, 1, tzinfo=UTC)), round(start.total_seconds())
-            for t, o in [*found, (at, offset)]:
-                spans.append((begin + now, sec(t) + now, now))
-                begin, now = sec(t), round(o.total_seconds())
-            for year in range(FIRST_YEAR, LAST_YEAR + 1):
-                lo, hi = (sec(datetime(y, 1, 1, tzinfo=UTC)) for y in (year, year + 1))
-                # One interval before the year comes along, for times skipped at its start.
-                own = [i for i, (f, t, _) in enumerate(spans) if f < hi and t > lo - 172_800]
-                rows.append((name.lower(), year, [{"from_us": spans[i][0] * 1_000_000, "to_us": spans[i][1] * 1_000_000, "offset_s": spans[i][2]} for i in own]))
+        for key, year in zip(pdf["zone_key"], pdf["wall_year"]):
+            if key in names:
+                spans = [{"from_us": a * 1_000_000, "to_us": b * 1_000_000, "offset_s": o} for a, b, o in _spans(ZoneInfo(names[key]), int(year))]
+                rows.append((key, year, spans))
         yield pd.DataFrame(rows, columns=["zone_key", "wall_year", "spans"])
 
 
-def zone_intervals(spark: SparkSession) -> DataFrame:
-    """Offset intervals of all IANA zones, exploded by year: at most 600 zones x 110 years."""
+def zone_intervals(keys: DataFrame) -> DataFrame:
+    """(zone_key, wall_year, spans): the offset intervals of the given zones (IANA names in lower case) in the given years."""
+    return keys.mapInPandas(_intervals, "zone_key string, wall_year int, spans array<struct<from_us:bigint,to_us:bigint,offset_s:int>>")
+
+
+def compound_zones(spark: SparkSession) -> DataFrame:
+    """(label, zone_id): IANA names such as EST5EDT, which a text can state as it does a label."""
     from zoneinfo import available_timezones
 
-    zones = spark.createDataFrame([(z,) for z in sorted(available_timezones()) if "/" in z or z in ("UTC", "GMT")], "zone string").repartition(8)
-    return zones.mapInPandas(_intervals, "zone_key string, wall_year int, spans array<struct<from_us:bigint,to_us:bigint,offset_s:int>>")
+    return spark.createDataFrame([(z, z) for z in sorted(available_timezones()) if re.fullmatch(r"[A-Z]{3}\d[A-Z]{3}", z)], "label string, zone_id string")
 
 
 def offset_seconds(c: Column) -> Column:
@@ -165,7 +170,7 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     """Adds ``utc_us`` and ``wall_kind`` (``offset``, ``unique``, ``ambiguous``, ``skipped``, ``count``) to each row of ``cells``.
 
     ``labels`` (label, zone_id) is a small table that does not grow. An offset counts before a label or name.
-    No row is dropped or repeated; no shuffle is made, as both joined tables have a bounded size. Columns of ``cells`` with
+    No row is dropped or repeated. Only the zones and years that occur are built, in a first pass over the cells. Columns of ``cells`` with
     the names of the added ones are replaced.
     """
     # The given row travels whole, so that none of its names can clash with those used here.
@@ -174,7 +179,8 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     z = F.regexp_replace(F.coalesce("zone_text", F.lit("")), r"^[\s(\[,]+", "")
     df = df.withColumn("__z", z)
     shift = F.regexp_extract("__z", r"^(?:utc|gmt)?\s?([+-]\d{1,2}(?::?\d{2})?)(?!\d)", 1)
-    listed = labels.where("label is not null and zone_id is not null").select(F.struct(F.length("label").alias("n"), F.lower("label").alias("label"), "zone_id").alias("__l"))
+    known = labels.where("label is not null and zone_id is not null").select("label", "zone_id").unionByName(compound_zones(cells.sparkSession))
+    listed = known.select(F.struct(F.length("label").alias("n"), F.lower("label").alias("label"), "zone_id").alias("__l"))
     listed = listed.agg(F.sort_array(F.collect_list("__l"), asc=False).alias("__labels"))
     df = df.crossJoin(F.broadcast(listed))
     # The longest label that stands right after the time; else one that stands anywhere as a word.
@@ -187,7 +193,8 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     zone = F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("__label"), F.col("default_zone"))
     df = df.withColumn("__zone", zone).withColumn("__shift", F.coalesce("__shift", offset_seconds(F.col("__zone"))))
     df = df.withColumns({"zone_key": F.lower("__zone"), "wall_year": F.when(F.col("__shift").isNull(), F.expr("cast(extract(year from date_add(date'1970-01-01', cast(floor(wall_us / 86400000000) as int))) as int)"))})
-    df = df.join(F.broadcast(zone_intervals(cells.sparkSession)), ["zone_key", "wall_year"], "left")
+    years = stage(zone_intervals(df.select("zone_key", "wall_year").where("zone_key is not null and wall_year is not null").distinct()))
+    df = df.join(F.broadcast(years) if years.count() <= BROADCAST_YEARS else years, ["zone_key", "wall_year"], "left")
     hits = F.expr("filter(spans, s -> wall_us >= s.from_us and wall_us < s.to_us)")
     df = df.withColumn("__hits", hits)
     size = F.size("__hits")

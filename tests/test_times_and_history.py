@@ -1,7 +1,7 @@
 """Stated times and attribute histories against stated cases and a plain fold."""
 
 import random
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 
@@ -29,6 +29,15 @@ CASES = [
     ("12/09/23 @ 12:00 noon", NY, "MDY", "2023-12-09T17:00:00"),
     ("Jan 1 2026 12:00 a.m.", NY, "MDY", "2026-01-01T05:00:00"),
     ("  \xa0June 3, 2025 10:00 AM\n", NY, "MDY", "2025-06-03T14:00:00"),
+    ("December 31, 2085 5:00 PM", NY, "MDY", "2085-12-31T22:00:00"),
+    ("July 4, 2085 5:00 PM", NY, "MDY", "2085-07-04T21:00:00"),
+    ("March 5, 1965 10:00 AM", NY, "MDY", "1965-03-05T15:00:00"),
+    ("March 5, 0001 10:00 AM", "UTC", "MDY", "0001-03-05T10:00:00"),
+    ("Dec 31, 9999 10:00 PM", "UTC", "MDY", "9999-12-31T22:00:00"),
+    ("June 3, 2025 10:00 AM", "EST5EDT", "MDY", "2025-06-03T14:00:00"),
+    ("June 3, 2025 10:00 AM", "Japan", "MDY", "2025-06-03T01:00:00"),
+    ("June 3, 2025 10:00 AM PST8PDT", NY, "MDY", "2025-06-03T17:00:00"),
+    ("June 3, 2025 10:00 AM", "Nowhere/Land", "MDY", None),
     ("June 3, 2025 10:00 AM", None, "MDY", None),
     ("February 30, 2024 at 2:00 PM", NY, "MDY", None),
     ("2025-13-19 10:00", NY, "MDY", None),
@@ -55,18 +64,35 @@ def test_instants(spark, labels):
     got = {r.k: r for r in instants.to_instants(df, labels).collect()}
     assert len(got) == len(CASES) and got[0].spans == "kept"
     for i, (value, _, _, want) in enumerate(CASES):
-        at = None if got[i].utc_us is None else datetime.fromtimestamp(got[i].utc_us // 10**6, UTC).replace(microsecond=got[i].utc_us % 10**6, tzinfo=None).isoformat()
+        at = None if got[i].utc_us is None else (datetime(1970, 1, 1) + timedelta(microseconds=got[i].utc_us)).isoformat()
         assert at == want, value
     kinds = {CASES[i][0]: r.wall_kind for i, r in got.items()}
     assert kinds["Nov 2, 2025 at 1:30 AM"] == "ambiguous" and kinds["March 9, 2025 at 2:15 AM"] == "skipped"
     assert instants.to_instants(df.limit(0), labels).collect() == []
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_every_zone_and_many_years(spark, labels, monkeypatch, limit):
+    """Noon of the first of March in every zone and in years of every century, against the zones' rules."""
+    from zoneinfo import ZoneInfo, available_timezones
+
+    monkeypatch.setattr(instants, "BROADCAST_YEARS", limit)
+    zones = sorted(available_timezones())
+    cells = [(z, y) for i, z in enumerate(zones) for y in (1850 + i % 100, 1990 + i % 60, 2100 + i)]
+    df = spark.createDataFrame([(i, f"1 March {y} 12:00", z, "MDY") for i, (z, y) in enumerate(cells)], "k int, value string, tz_name string, date_order string")
+    for r in instants.to_instants(df, labels).collect():
+        z, y = cells[r.k]
+        want = datetime(y, 3, 1, 12, tzinfo=ZoneInfo(z)) - datetime(1970, 1, 1, tzinfo=UTC)
+        assert r.utc_us == round(want.total_seconds()) * 10**6, (z, y)
+
+
 def test_intervals_match_zone_rules(spark):
     """Every hour of some years: the intervals give the offset that the zone's rules give."""
     from zoneinfo import ZoneInfo
 
-    rows = {(r.zone_key, r.wall_year): r.spans for r in instants.zone_intervals(spark).where("wall_year in (1985, 2025) and zone_key in ('america/new_york', 'africa/casablanca', 'asia/kolkata')").collect()}
+    zones = ("america/new_york", "africa/casablanca", "asia/kolkata")
+    keys = spark.createDataFrame([(z, y) for z in (*zones, "no/zone") for y in (1985, 2025)], "zone_key string, wall_year int")
+    rows = {(r.zone_key, r.wall_year): r.spans for r in instants.zone_intervals(keys).collect()}
     assert len(rows) == 6
     for (key, year), spans in rows.items():
         zone = ZoneInfo({"america/new_york": NY, "africa/casablanca": "Africa/Casablanca", "asia/kolkata": "Asia/Kolkata"}[key])
