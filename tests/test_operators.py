@@ -103,7 +103,46 @@ def test_packing_matches_loop(spark):
     texts = ["", None, "one"]
     for _ in range(30):
         texts.append("\n\n".join(" ".join(rng.choice(["alpha", "beta.", "gamma", "delta!"]) for _ in range(rng.randrange(1, 300))) for _ in range(rng.randrange(1, 9))))
-    assert apply(spark, lambda c: chunking.pack(F.col(c), 120, 30), texts) == [pack(t or "", 120, 30) for t in texts]
+    texts.append("\n\n".join(["one short segment."] * 3000))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = chunking.bodies("text", 120, 30)(df).orderBy("i").collect()
+    assert [r.bodies for r in got] == [pack(t or "", 120, 30) for t in texts]
+
+
+PAGE = "page_id int, bid_id string, file_name string, doc_type string, addendum_number int, page_number int, cleaned_text string"
+
+
+def test_tables_become_chunks(spark):
+    table = "| a | b |\n|---|---|\n| 1 | 2 |"
+    long = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {'x' * 30} |" for i in range(200))
+    pages = [(1, "b", "f", "specs", None, 1, "a\nb\nc\nd\nSome prose." + f"\n\n{chunking.TABLE_MARKER}\n\n{table}\n\n{long}"), (2, "b", "f", "specs", None, 2, None), (3, "b", "g", "rfp", None, 1, f"{chunking.TABLE_MARKER}\n\n{table}")]
+    rows = chunking.chunk_pages(spark.createDataFrame(pages, PAGE)).orderBy("page_id", "seq").collect()
+    first = [r for r in rows if r.page_id == 1]
+    assert first[0].text.endswith("\n" + table) and first[0].section == "Specifications" and first[0].is_table
+    assert not first[-1].is_table and first[-1].text.endswith("\nSome prose.") and len(first) > 4 and first[-1].section == "General"
+    assert sum(r.text.count("x" * 30) for r in first) == 200
+    assert [r.section for r in rows if r.page_id == 3] == ["Specification / Bid Tables:"] and not any(r.page_id == 2 for r in rows)
+    assert len({r.chunk_id for r in rows}) == len(rows)
+
+
+def test_section_of_each_chunk(spark):
+    """The heading in force where a chunk begins, also within a page and on the pages after it."""
+    prose = lambda n: " ".join(["word"] * n)
+    pages = [(1, "b", "f", "rfp", None, 1, "\n\n".join(["SCOPE OF WORK", prose(200), prose(200), "PAYMENT TERMS\n" + prose(180), prose(200), prose(200)])), (2, "b", "f", "rfp", None, 2, prose(50)), (3, "b", "h", "rfp", None, 1, prose(5))]
+    rows = chunking.chunk_pages(spark.createDataFrame(pages, PAGE)).orderBy("page_id", "seq").collect()
+    assert [r.section for r in rows if r.page_id == 1] == ["Scope Of Work", "Payment Terms", "Payment Terms", "Payment Terms"]
+    assert [r.section for r in rows if r.page_id > 1] == ["Payment Terms", "General"]
+
+
+def test_chunks_of_documents(spark):
+    prose = " ".join(f"word{i}" for i in range(100))
+    blank = "[Unfilled/BLANK] field " * 5
+    pages = [(1, "b", "f", "rfp", None, 1, f"{prose}\n\n{chunking.TABLE_MARKER}\n\n{prose}"), (2, "b", "f", "rfp", None, 2, blank), (3, "b", "f", "rfp", None, 3, "tiny"), (4, None, None, None, None, None, "tiny"), (5, None, None, None, None, None, "tiny")]
+    rows = chunking.chunk_document(spark.createDataFrame(pages, PAGE)).collect()
+    # The prose is a near-copy of the table text before it on the page.
+    assert [r.is_table for r in rows if r.page_number == 1] == [True] and not any(r.page_number == 2 for r in rows)
+    assert [r.n_parts for r in rows if r.page_number == 3] == [1] and sum(r.n_parts for r in rows if r.page_number is None) == 2
+    assert chunking.chunk_document(spark.createDataFrame([], PAGE)).collect() == []
 
 
 def test_headings(spark):
