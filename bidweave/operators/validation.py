@@ -1,9 +1,10 @@
 """Grounding of quotes, format checks, confidence and buckets of extracted fields; supersession by addenda; gold audit.
 
 A quote is looked for in the cited chunk, else in the cited page, else in the cited file, else in the whole package, so a
-misattributed citation is still found. Containment is tested only between rows that
-share a package.
-Defined results: of repeated outputs the last ingested row holds; outputs without source are not grounded; null quotes match nothing.
+misattributed citation is still found. All are those of the output's own package: containment is tested only between rows
+that share it. Corroboration counts the passages that were retrieved for a field, or where none are recorded the chunks of its cited pages.
+Defined results: of repeated outputs the last ingested row holds; outputs without source or package are not grounded; null quotes
+match nothing; chunks that come again count once.
 """
 
 from __future__ import annotations
@@ -35,30 +36,62 @@ def format_ok(field: Column, value: Column) -> Column:
     return ~(date | contact)
 
 
+#: Cited files and chunks are broadcast up to this number (some 50 MB), so that only their texts are shuffled; beyond it all are.
+BROADCAST_CITED = 500_000
+
+
+def _of(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """The chunks that have one of the keys; few keys are broadcast."""
+    keys = stage(keys.distinct())
+    return chunks.join(F.broadcast(keys) if keys.count() <= BROADCAST_CITED else keys, keys.columns, "left_semi")
+
+
 def ground(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Outputs with ``is_grounded``, ``matched_chunk``, ``matched_page`` and ``tier`` (1 chunk, 2 page, 3 file, 4 package).
+    """Outputs with ``is_grounded``, ``matched_chunk``, ``matched_page`` and ``tier`` (1 the cited chunk, 2 its page, 3 its file, 4 the package).
 
-    Candidates come from equi-joins per tier, the last of them only for quotes that no earlier tier grounds.
+    Quotes meet the chunks of their cited file and their cited chunk in equi-joins within the package; only those that none of these has meet the whole package.
     """
     src = F.get("sources", F.lit(0))
     o = outputs.withColumns({"quote": src["quote"], "cited_file": src["file"], "cited_page": src["page"], "cited_chunk": src["chunk_id"]})
-    asked = o.where("quote is not null").select("output_id", "bid_id", X.quote_form("quote").alias("q1"), X.plain_form("quote").alias("q2"), "cited_file", "cited_page", "cited_chunk").where("q1 <> '' or q2 <> ''")
-    c = chunks.select("chunk_id", "bid_id", "file_name", "page_number", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+", " ").alias("t1"), X.plain_form("text").alias("t2")).dropDuplicates(["chunk_id"])
-    inside = ((F.col("q1") != "") & F.col("t1").contains(F.col("q1"))) | ((F.col("q2") != "") & F.col("t2").contains(F.col("q2")))
-    tiers = [F.col("cited_chunk") == F.col("chunk_id"), (F.col("cited_file") == F.col("file_name")) & (F.col("cited_page") == F.col("page_number")), F.col("cited_file") == F.col("file_name")]
-    # The three cited tiers are equi-joins over one pass each; only quotes that they miss meet the whole package.
-    first = None
-    for n, on in enumerate(tiers[:3], 1):
-        part = asked.join(c.drop("bid_id"), on & inside).select("output_id", "chunk_id", "page_number", F.lit(n).alias("tier"))
-        first = part if first is None else first.unionByName(part)
+    asked = o.where("quote is not null and bid_id is not null").select("output_id", "bid_id", X.quote_form("quote").alias("q1"), X.plain_form("quote").alias("q2"), F.col("cited_file").alias("file_name"), "cited_page", F.col("cited_chunk").alias("chunk_id"))
+    asked = stage(asked.where("q1 <> '' or q2 <> ''"))
+    # Texts without marks need one form only.
+    marked = F.col("text").rlike(r"[\*_#>`|]")
+    forms = lambda c: c.select("bid_id", "chunk_id", "file_name", "page_number", F.regexp_replace(F.lower("text"), r"(?U)\s+", " ").alias("t1"), F.when(marked, X.plain_form("text")).alias("t2"))
+    c = chunks.select("bid_id", "chunk_id", "file_name", "page_number", "text").where("bid_id is not null and text is not null")
+    inside = ((F.col("q1") != "") & F.col("t1").contains(F.col("q1"))) | ((F.col("q2") != "") & F.coalesce("t2", "t1").contains(F.col("q2")))
     best = lambda x: x.groupBy("output_id").agg(F.min_by(F.struct("chunk_id", "page_number", "tier"), F.struct("tier", "chunk_id")).alias("m")).select("output_id", "m.*")
-    first = stage(best(first))
-    rest = asked.join(first.select("output_id"), "output_id", "left_anti").join(c, "bid_id").where(inside)
-    hits = first.unionByName(best(rest.select("output_id", "chunk_id", "page_number", F.lit(4).alias("tier"))))
+
+    def tried(keys: list[str], tier, quotes: DataFrame) -> DataFrame:
+        quotes = quotes.dropna(subset=keys).withColumnsRenamed({k: f"cited_{k}" for k in ("file_name", "chunk_id") if k not in keys})
+        found = quotes.join(forms(_of(c, quotes.select(*keys))), keys).where(inside)
+        return found.select("output_id", "chunk_id", "page_number", tier.alias("tier"))
+
+    by_file = F.when(F.col("cited_chunk_id") == F.col("chunk_id"), 1).when(F.col("cited_page") == F.col("page_number"), 2).otherwise(3)
+    first = stage(best(tried(["bid_id", "file_name"], by_file, asked).unionByName(tried(["bid_id", "chunk_id"], F.lit(1), asked))))
+    rest = stage(asked.join(first.select("output_id"), "output_id", "left_anti"))
+    hits = first if rest.isEmpty() else first.unionByName(best(tried(["bid_id"], F.lit(4), rest)))
     matched = hits.select("output_id", F.col("chunk_id").alias("matched_chunk"), F.col("page_number").alias("matched_page"), "tier")
     return o.join(matched, "output_id", "left").withColumn("is_grounded", F.col("tier").isNotNull())
 
 
+#: How many characters of a value corroborate it in a passage.
+LEAD = 20
+
+
+def lead(value: Column | str) -> Column:
+    return F.substring(F.lower(F.trim(value)), 1, LEAD)
+
+
+def corroborated(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(output_id, corroborated): how many chunks of the pages that an output cites contain the start of its value."""
+    pages = outputs.where(~X.is_absent("value") & F.col("bid_id").isNotNull()).select("output_id", "bid_id", lead("value").alias("lead"), F.explode("sources").alias("s"))
+    pages = pages.where("lead <> ''").select("output_id", "bid_id", "lead", F.col("s.file").alias("file_name"), F.col("s.page").alias("page_number")).dropna().distinct()
+    keys = ["bid_id", "file_name", "page_number"]
+    own = _of(chunks.select(*keys, "chunk_id", F.lower("text").alias("t")), pages.select(*keys))
+    return pages.join(own, keys).where(F.col("t").contains(F.col("lead"))).groupBy("output_id").agg(F.count_distinct("chunk_id").alias("corroborated"))
+
+
 def confidence(retrieval: Column, rank: Column, grounded: Column, page_state: Column, fmt: Column, quote: Column, value: Column, corroborated: Column, secondary: Column | None = None) -> Column:
     """Weighted confidence in [0, 1]: 0.25 retrieval + 0.45 validation + 0.30 agreement; a third or less where anything failed.
 
@@ -88,19 +121,19 @@ def confidence(retrieval: Column, rank: Column, grounded: Column, page_state: Co
 def validate(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Outputs with bucket, validity, grounding, confidence and the reason of a failure.
 
-    ``retrieval_score`` and ``retrieval_rank`` (from 0) of the cited passage count where the outputs have them, else 0.5 and 0.
+    ``retrieval_score`` and ``retrieval_rank`` (from 0) of the cited passage count where the outputs have them, else 0.5 and 0;
+    so does ``corroborated``, the number of retrieved passages with the value's start, else the chunks of cited pages are counted.
+    A column ``secondary_value`` is a second reading of the field, whose agreement counts.
     """
     score = F.coalesce("retrieval_score", F.lit(0.5)) if "retrieval_score" in outputs.columns else F.lit(0.5)
     rank = F.coalesce("retrieval_rank", F.lit(0)) if "retrieval_rank" in outputs.columns else F.lit(0)
     g = ground(outputs, chunks)
-    lead = F.substring(F.lower(F.trim("value")), 1, 20)
-    near = chunks.select("chunk_id", "bid_id", F.lower("text").alias("t")).dropDuplicates(["chunk_id"])
-    found = g.where(~X.is_absent("value")).select("output_id", "bid_id", lead.alias("lead")).where("lead <> ''").join(near, "bid_id").where(F.col("t").contains(F.col("lead")))
-    counts = found.groupBy("output_id").agg(F.count(F.lit(1)).alias("corroborated"))
-    g = g.join(counts, "output_id", "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(0)))
+    if "corroborated" not in outputs.columns:
+        g = g.join(corroborated(outputs, chunks), "output_id", "left")
+    g = g.withColumn("corroborated", F.coalesce("corroborated", F.lit(0)))
     page = F.when(F.col("cited_page") > 0, F.when(F.col("matched_page") == F.col("cited_page"), 2).otherwise(1)).otherwise(0)
     fmt = format_ok(F.col("field_name"), F.col("value"))
-    sure = confidence(score, rank, F.col("is_grounded"), page, fmt, F.col("quote"), F.col("value"), F.col("corroborated"))
+    sure = confidence(score, rank, F.col("is_grounded"), page, fmt, F.col("quote"), F.col("value"), F.col("corroborated"), F.col("secondary_value") if "secondary_value" in outputs.columns else None)
     none, error = F.col("value").isNull() | (F.coalesce("status", F.lit("")) == "NOT_FOUND"), F.coalesce("status", F.lit("")) == "ERROR"
     bare = F.size(F.coalesce("sources", F.array().cast("array<struct<file:string,page:int,quote:string,chunk_id:string>>"))) == 0
     valid = F.col("is_grounded") & fmt & ~bare
@@ -110,6 +143,15 @@ def validate(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     return g.withColumns({"bucket": bucket, "is_valid": valid & ~error & ~none, "issue": issue, "computed_confidence": conf})
 
 
+def finalize(outputs: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """Outputs as they are given out: a value without a citation is none, and what wasn't found has no source and confidence 0."""
+    bare = F.coalesce(F.size("sources"), F.lit(-1)) <= 0
+    uncited = F.col("value").isNotNull() & bare
+    gone = uncited | F.col("value").isNull() | (F.coalesce("status", F.lit("")) == "NOT_FOUND")
+    kept = {"value": F.when(~uncited, F.col("value")), "status": F.when(uncited, "NOT_FOUND").otherwise(F.col("status")), confidence: F.when(gone, 0.0).otherwise(F.col(confidence)), "sources": F.when(gone, F.slice("sources", 1, 0)).otherwise(F.col("sources"))}
+    return outputs.withColumns(kept | {"finalized": F.when(uncited, "uncited").when(gone, "not_found").otherwise("kept")})
+
+
 def completeness(validated: DataFrame) -> DataFrame:
     """Per package: fields by bucket and the share of those with a value, in per cent."""
     n = lambda b: F.count(F.when(F.col("bucket") == b, 1)).alias(f"n_{b}")
@@ -180,9 +222,11 @@ def q_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_complete(spark: SparkSession, d: str) -> DataFrame:
-    status = F.coalesce("status", F.lit(""))
-    bucket = F.when(status == "ERROR", "errors").when(F.col("value").isNull() | (status == "NOT_FOUND"), "not_found").when(format_ok(F.col("field_name"), F.col("value")), "passed").otherwise("failed")
-    return completeness(_outputs(spark, d).withColumn("bucket", bucket))
+    return completeness(validate(_outputs(spark, d), _chunks(spark, d)))
+
+
+def q_final(spark: SparkSession, d: str) -> DataFrame:
+    return finalize(_outputs(spark, d)).select("output_id", "value", "status", "confidence", F.greatest(F.size("sources"), F.lit(0)).alias("n_sources"), "finalized")
 
 
 def q_hist(spark: SparkSession, d: str) -> DataFrame:
@@ -226,10 +270,35 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}
 _GROUPS = ", ".join(f"('{n.lower()}', '{s}')" for n, (s, _) in FIELDS.items())
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
-QUERIES = {"ground_quotes": q_ground, "validate_fields": q_validate, "completeness": q_complete, "confidence_hist": q_hist, "supersede_latest": q_supersede, "gold_audit": q_gold, "specialist_groups": q_specialists, "addendum_groups": q_groups, "format_checks": q_format}
+_WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_qf = lambda x: f"regexp_replace(regexp_replace(lower({x}), '" + _WS + """', ' ', 'g'), '^[ "''“”‘’:,;]+|[ "''“”‘’:,;]+$', '', 'g')"""
+_pf = lambda x: _qf(f"regexp_replace({x}, '[*_#>`|]', '', 'g')")
+_GROUND = f"""{_O},
+a as (select output_id, bid_id, {_qf("sources[1].quote")} q1, {_pf("sources[1].quote")} q2, sources[1].file f, sources[1].page p, sources[1].chunk_id i from o where sources[1].quote is not null),
+c as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(page_number) page_number, any_value(coalesce(text, '')) t from chunks group by 1),
+n as (select c.*, regexp_replace(lower(t), '{_WS}', ' ', 'g') t1, {_pf("t")} t2 from c),
+m as (select output_id, chunk_id, page_number, case when i = chunk_id then 1 when f = file_name and p = page_number then 2 when f = file_name then 3 else 4 end tier from a join n using (bid_id) where (q1 <> '' and contains(t1, q1)) or (q2 <> '' and contains(t2, q2))),
+b as (select * from m qualify row_number() over (partition by output_id order by tier, chunk_id) = 1)"""
+_VALID = rf"""{_GROUND},
+pg as (select distinct output_id, bid_id, substring(lower(trim(value)), 1, {LEAD}) ld, s.file file_name, s.page page_number from (select output_id, bid_id, value, unnest(sources) s from o where not {_ABS})),
+co as (select output_id, count(distinct chunk_id) k from pg join c using (bid_id, file_name, page_number) where ld <> '' and contains(lower(t), ld) group by 1),
+w0 as (select o.*, sources[1].quote quote, coalesce(k, 0) k, chunk_id is not null gr, case when sources[1].page > 0 then case when page_number = sources[1].page then 0.20 else 0.14 end else 0.05 end pg, {_OK} fmt, lower(trim(coalesce(value, ''))) vl, lower(coalesce(sources[1].quote, '')) ql, length(trim(coalesce(sources[1].quote, ''))) qn from o left join b using (output_id) left join co using (output_id)),
+w1 as (select *, list_distinct(regexp_extract_all(vl, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')) vt, list_distinct(regexp_extract_all(ql, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')) qt from w0),
+w2 as (select *, case when len(vt) > 0 then len(list_intersect(vt, qt)) / len(vt) end sh from w1),
+w3 as (select *, round(case when gr then 0.40 else 0.0 end + pg + case when fmt then 0.25 else 0.0 end + case when qn >= 30 and not contains(coalesce(value, ''), '...') then 0.15 when qn >= 15 then 0.10 else 0.05 end, 3) f2,
+  round(case when vl <> '' and contains(ql, vl) then 0.45 when sh = 1 then 0.40 when sh is not null then round(0.15 + sh * 0.25, 3) else 0.15 end + case when k >= 3 then 0.35 when k = 2 then 0.25 else 0.15 end + case when fmt then 0.20 else 0.05 end, 3) f3 from w2),
+w4 as (select *, cast(0.25 * 0.5 as double) + cast(0.45 as double) * f2 + cast(0.30 as double) * f3 rw, coalesce(status, '') = 'ERROR' er, value is null or coalesce(status, '') = 'NOT_FOUND' nn, coalesce(len(sources), 0) = 0 ba from w3),
+v as (select output_id, bid_id, case when er then 'errors' when nn then 'not_found' when gr and fmt and not ba then 'passed' else 'failed' end bucket, gr and fmt and not ba and not er and not nn is_valid, case when er then 'api_error' when nn then null when ba then 'no_source' when not gr then 'not_grounded' when not fmt then 'format' end issue,
+  case when er or nn then 0.0 when ba then 0.20 when gr and fmt then greatest(least(round(rw, 2), 0.98), 0.45) else least(round(rw * 0.4, 2), 0.39) end computed_confidence from w4)"""
+
+QUERIES = {"ground_quotes": q_ground, "validate_fields": q_validate, "completeness": q_complete, "finalize_outputs": q_final, "confidence_hist": q_hist, "supersede_latest": q_supersede, "gold_audit": q_gold, "specialist_groups": q_specialists, "addendum_groups": q_groups, "format_checks": q_format}
 SQL = {
-    "completeness": f"""with {_O}, b as (select bid_id, case when coalesce(status, '') = 'ERROR' then 'e' when value is null or coalesce(status, '') = 'NOT_FOUND' then 'n' when {_OK} then 'p' else 'f' end b from o)
-select bid_id, count(*) n_fields, count(*) filter (where b = 'p') n_passed, count(*) filter (where b = 'f') n_failed, count(*) filter (where b = 'n') n_not_found, count(*) filter (where b = 'e') n_errors, round(count(*) filter (where b in ('p', 'f')) / count(*) * 100, 1) completeness from b group by 1""",
+    "ground_quotes": f"with {_GROUND} select output_id, chunk_id is not null is_grounded, chunk_id matched_chunk, tier from o left join b using (output_id)",
+    "validate_fields": f"with {_VALID} select output_id, bucket, is_valid, issue, computed_confidence from v",
+    "completeness": f"with {_VALID} select bid_id, count(*) n_fields, count(*) filter (where bucket = 'passed') n_passed, count(*) filter (where bucket = 'failed') n_failed, count(*) filter (where bucket = 'not_found') n_not_found, count(*) filter (where bucket = 'errors') n_errors, round(count(*) filter (where bucket in ('passed', 'failed')) / count(*) * 100, 1) completeness from v group by 1",
+    "finalize_outputs": f"""with {_O} select output_id, case when value is null or len(sources) > 0 then value end as value, case when value is not null and coalesce(len(sources), 0) = 0 then 'NOT_FOUND' else status end status,
+case when value is null or coalesce(len(sources), 0) = 0 or coalesce(status, '') = 'NOT_FOUND' then 0.0 else confidence end confidence, cast(case when value is null or coalesce(len(sources), 0) = 0 or coalesce(status, '') = 'NOT_FOUND' then 0 else len(sources) end as integer) n_sources,
+case when value is not null and coalesce(len(sources), 0) = 0 then 'uncited' when value is null or coalesce(status, '') = 'NOT_FOUND' then 'not_found' else 'kept' end finalized from o""",
     "confidence_hist": f"with {_O} select min(confidence) min, max(confidence) max, round(avg(confidence), 4) mean, count(distinct confidence) n_distinct, count(*) filter (where confidence <= 0.3) to_03, count(*) filter (where confidence > 0.3 and confidence <= 0.6) to_06, count(*) filter (where confidence > 0.6 and confidence <= 0.8) to_08, count(*) filter (where confidence > 0.8 and confidence <= 1.0) to_10 from o",
     "format_checks": f"with {_O} select output_id, {_OK} ok, {_ABS} absent from o",
     "specialist_groups": f"with {_O}, g(k, s) as (values {_GROUPS}) select bid_id, coalesce(s, 'commercial_legal') specialist_group, count(*) n_outputs, count(distinct field_name) n_fields from o left join g on k = lower({_STRIP.format('field_name')}) group by 1, 2",
