@@ -25,8 +25,7 @@ def index(chunks: DataFrame, manifest: DataFrame, index_dir: str) -> DataFrame:
 
 def search(spark: SparkSession, chunks: DataFrame, text: str, bid_id: str | None = None, doc_type: str | None = None, top_k: int = 5, mode: str = "hybrid") -> DataFrame:
     q = spark.createDataFrame([(0, text)], "query_id long, query string")
-    dense = None if mode == "bm25_only" else retrieve.dense_list(chunks, q, top_k, bid_id=bid_id, doc_type=doc_type)
-    return retrieve.search(chunks, q, top_k, mode, dense=dense, bid_id=bid_id, doc_type=doc_type)
+    return retrieve.search(chunks, q, top_k, mode, bid_id=bid_id, doc_type=doc_type)
 
 
 def _of_each_package(spark: SparkSession, chunks: DataFrame, text: str, k: int, **filters) -> DataFrame:

@@ -108,17 +108,18 @@ def count_tokens(x: Column | str) -> Column:
 
 
 def terms(x: Column | str) -> Column:
-    """Index terms: compound tokens with, once each, their parts at separators and at changes of letters and digits."""
+    """Index terms: all tokens, then of each compound one, once each, its parts at separators and at changes of letters and digits."""
     tokens = F.regexp_extract_all(F.lower(_or_empty(x)), F.lit(r"[a-z0-9]+(?:[-_.@][a-z0-9]+)*"), F.lit(0))
 
     def parts(t: Column) -> Column:
         split = F.filter(F.split(t, r"[-_.@]+"), lambda p: (p != "") & (p != t))
         runs = F.regexp_extract_all(t, F.lit(r"[a-z]+|[0-9]+"), F.lit(0))
         runs = F.when(F.size(runs).between(2, 4), F.filter(runs, lambda p: (F.length(p) >= 2) & (p != t))).otherwise(F.array().cast("array<string>"))
-        # Plain words, by far the most, have no parts.
-        return F.when(t.rlike(r"[-_.@]|[a-z][0-9]|[0-9][a-z]"), F.concat(F.array(t), F.array_distinct(F.concat(split, runs)))).otherwise(F.array(t))
+        return F.array_distinct(F.concat(split, runs))
 
-    return F.flatten(F.transform(tokens, parts))
+    # Plain words, by far the most, have no parts.
+    compound = F.filter(tokens, lambda t: t.rlike(r"[-_.@]|[a-z][0-9]|[0-9][a-z]"))
+    return F.concat(tokens, F.flatten(F.transform(compound, parts)))
 
 
 def slug(x: Column | str) -> Column:

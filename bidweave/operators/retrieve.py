@@ -12,47 +12,74 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidweave.config import SETTINGS, field_definitions
+from bidweave.config import FIELDS, SETTINGS, field_definitions
 from bidweave.functions import text as X
-from bidweave.plans.providers import Embedder, HashEmbedder, embed
+from bidweave.plans.providers import Embedder, HashEmbedder, Reranker, embed
 from bidweave.session import spread, stage, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Query terms are broadcast up to this number (some 60 MB), beyond it postings and query terms meet by a shuffle.
+BROADCAST_TERMS = 1_000_000
+
+
 class SparseIndex(NamedTuple):
-    """``postings`` (term, chunk_id, tf, dl), ``term_stats`` (term, df, idf), ``corpus`` (one row: n, avgdl, avg_idf)."""
+    """``rows`` (chunk_id, dl, terms, tfs: a row for each chunk), ``term_stats`` (term, df, idf), ``corpus`` (one row: n, avgdl, avg_idf, vocabulary)."""
 
-    postings: DataFrame
+    rows: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, dl, term, tf)."""
+        return self.rows.select("chunk_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).toDF("chunk_id", "dl", "term", "tf")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct terms with their counts, on Arrow arrays as they are."""
+    for b in batches:
+        lists = b.column("terms")
+        words = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        key = np.repeat(np.arange(len(sizes)), sizes) * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+        own, tf = np.unique(key, return_counts=True)
+        row, word = np.divmod(own, max(1, len(words.dictionary)))
+        ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(word)))
+        tfs = pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(sizes.astype(np.int32)), terms, tfs], ["chunk_id", "dl", "terms", "tfs"])
+
 
 def build_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
-    """Tokens are made once and written; all statistics are read from there."""
-    docs = spread(chunks.select("chunk_id", text)).select("chunk_id", X.terms(text).alias("terms"))
-    tokens = stage(docs.dropDuplicates(["chunk_id"]))
-    base = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    postings = tokens.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """Terms are made and counted inside each chunk's row and written once; all statistics are read from there.
+
+    Only partial counts by term are shuffled, never the postings.
+    """
+    docs = spread(chunks.select("chunk_id", text).dropDuplicates(["chunk_id"])).select("chunk_id", X.terms(text).alias("terms"))
+    rows = stage(docs.mapInArrow(_counted, "chunk_id string, dl int, terms array<string>, tfs array<int>"))
+    base = stage(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(base)).withColumn("raw", raw)
+    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = stage(df.crossJoin(F.broadcast(base)).withColumn("raw", raw))
     corpus = base.crossJoin(F.broadcast(stats.agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("vocabulary"))))
     floor = F.broadcast(corpus.select("avg_idf"))
     term_stats = stats.crossJoin(floor).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, term_stats, corpus)
+    return SparseIndex(rows, term_stats, corpus)
 
 
 def bm25_scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) with score > 0: only postings of query terms are touched."""
+    """(query_id, chunk_id, score) with score > 0: postings of other terms leave before anything is shuffled, and a chunk's parts are summed where its row lies."""
     wanted = queries.select("query_id", F.explode(X.terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = wanted.join(index.term_stats, "term")
-    # The semi join is pushed below the postings' aggregation, so that only rows of query terms are shuffled.
-    needed = queries.select(F.explode(X.terms("query")).alias("term")).distinct()
-    hits = index.postings.join(needed, "term", "left_semi").join(wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    wanted = stage(wanted.join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    few = wanted.count() <= BROADCAST_TERMS
+    hits = index.postings.join(F.broadcast(wanted) if few else wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
@@ -142,7 +169,10 @@ def dense_list(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, m
     allowed = metadata_filter(chunks.dropDuplicates(["chunk_id"]), **filters)
     columns = ["chunk_id", *([within] if within else [])]
     rows = vectors.join(allowed.select(columns), "chunk_id") if vectors is not None else vectors_of(allowed, make) if not within else vectors_of(allowed, make).join(allowed.select(columns), "chunk_id")
-    asked = embed(queries.where(F.size(X.terms("query")) > 0), "query", make)
+    # Models that are trained so put words before a query, never before a passage.
+    ahead = getattr(make(), "query_prefix", "")
+    asked = queries.where(F.size(X.terms("query")) > 0)
+    asked = embed(asked.withColumn("query", F.concat(F.lit(ahead), "query")) if ahead else asked, "query", make)
     return dense_scores(rows, asked, pool_size(k), key="chunk_id", within=within)
 
 
@@ -194,6 +224,23 @@ def overlap_score(query: str = "query", text: str = "text") -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
 
 
+def model_score(make: Callable[[], Reranker], query: str = "query", text: str = "text") -> Column:
+    """Scores of a provider's model for (query, text) pairs; the model is made once per worker."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for q, t in batches:
+            yield pd.Series(model.scores([(a or "", b or "") for a, b in zip(q, t)]), dtype="float64")
+
+    return run(F.col(query), F.col(text))
+
+
+def shown_score(rerank_score: str = "rerank_score", rrf_score: str = "rrf_score") -> Column:
+    """The score a result goes on with: that of the reranker, or the fusion's where the reranker gave none or 0."""
+    return F.coalesce(F.nullif(F.col(rerank_score), F.lit(0.0)), F.col(rrf_score))
+
+
 def pool_size(k: int | None) -> int:
     """How many candidates each list gives to a fusion."""
     return max(SETTINGS.candidate_pool, 2 * (k or SETTINGS.top_k))
@@ -202,11 +249,11 @@ def pool_size(k: int | None) -> int:
 MODES = ("bm25_only", "dense_only", "hybrid_norerank", "hybrid")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode: str = "bm25_only", index: SparseIndex | None = None, dense: DataFrame | None = None, expand_query: bool = True, weights: tuple[float, float] = (1.0, 1.0), **filters) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode: str = "bm25_only", index: SparseIndex | None = None, dense: DataFrame | None = None, expand_query: bool = True, weights: tuple[float, float] = (1.0, 1.0), make: Callable[[], Embedder] = HashEmbedder, make_reranker: Callable[[], Reranker] | None = None, **filters) -> DataFrame:
     """Ranked results of all queries, with text and citation.
 
-    ``dense`` is a ranked list (query_id, chunk_id, score, rank) from an embedding provider, such as ``dense_list`` with the
-    same filters; modes that need it fall back to the sparse list where it is missing.
+    ``dense`` is a ranked list (query_id, chunk_id, score, rank) from an embedding provider; where a mode needs one and none is
+    given, it is ``dense_list`` by the provider's default with the same filters.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -216,7 +263,9 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
     allowed = metadata_filter(known, **filters).select("chunk_id")
     asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query")) if expand_query else queries
     sparse = top_k(bm25_scores(index, asked).join(allowed, "chunk_id", "left_semi"), pool)
-    if mode == "bm25_only" or dense is None:
+    if mode != "bm25_only" and dense is None:
+        dense = dense_list(spread(known), queries, k, make, **filters)
+    if mode == "bm25_only":
         ranked = sparse.select("query_id", "chunk_id", F.col("score").alias("rrf_score"), "rank")
     elif mode == "dense_only":
         ranked = dense.join(allowed, "chunk_id", "left_semi").select("query_id", "chunk_id", F.col("score").alias("rrf_score"), "rank")
@@ -225,7 +274,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
     cols = ["chunk_id", "text", "file_name", "page_number", "page_start", "page_end", "section", "bid_id", "doc_type"]
     out = ranked.join(known.select(*cols), "chunk_id").join(queries, "query_id")
     if mode == "hybrid":
-        out = rerank(out, overlap_score(), k or SETTINGS.top_k)
+        out = rerank(out, overlap_score() if make_reranker is None else model_score(make_reranker), k or SETTINGS.top_k)
     else:
         out = out.withColumn("rerank_score", F.lit(0.0))
     return projected(out.where(F.col("rank") <= (k or SETTINGS.top_k)))
@@ -337,8 +386,7 @@ def q_expand(spark: SparkSession, d: str) -> DataFrame:
 
 def q_search(spark: SparkSession, d: str) -> DataFrame:
     chunks, q = table(spark, d, "chunks"), _files(spark, d).select("query_id", "query")
-    dense = dense_list(spread(chunks), q, 5, exclude_doc_type="addendum")
-    return search(chunks, q, 5, "hybrid", dense=dense, exclude_doc_type="addendum").drop("text")
+    return search(chunks, q, 5, "hybrid", exclude_doc_type="addendum").drop("text")
 
 
 _T = r"""
@@ -376,6 +424,41 @@ def _sql(text: str = "text", where: str = "true", names: str = "") -> str:
     return body
 
 
+def _expansions() -> str:
+    """The expansion table as SQL rows, made without Spark."""
+    rows: dict[str, tuple[int, list[str]]] = {}
+    for i, (name, _, hints) in enumerate(FIELDS):
+        rows.setdefault(name.lower(), (i * 1000, hints[:3]))
+    for i, (name, _, hints) in enumerate(FIELDS):
+        for k, h in enumerate(hints):
+            rows.setdefault(h.lower(), (i * 1000 + k + 1, [name, *(x for x in hints if x != h)][:3]))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "(values " + ", ".join(f"({quoted(k)}, {o}, [{', '.join(map(quoted, h))}])" for k, (o, h) in rows.items()) + ")"
+
+
+#: CTEs from q (query_id, qx) to xp (query_id, ex), the expanded queries.
+_EXPAND = rf"""
+xt(key, ord, hints) as {_expansions()},
+x0 as (select *, lower(coalesce(qx, '')) ql, ' ' || regexp_replace(lower(coalesce(qx, '')), '[^a-z0-9]+', ' ', 'g') || ' ' w from q),
+x1 as (select query_id, ql, ord, unnest(hints) h, generate_subscripts(hints, 1) j from x0 join xt on contains(ql, key) and contains(w, ' ' || regexp_replace(key, '[^a-z0-9]+', ' ', 'g') || ' ')),
+x2 as (select query_id, h, min(ord * 10 + j) o from x1 where not contains(ql, lower(h)) group by 1, 2 qualify row_number() over (partition by query_id order by min(ord * 10 + j)) <= 4),
+xp as (select query_id, case when coalesce(qx, '') = '' then '' else qx || coalesce(' ' || (select string_agg(h, ' ' order by o) from x2 where x2.query_id = q.query_id), '') end ex from q)"""
+
+
+def _terms_of(source: str, key: str, text: str, name: str) -> str:
+    return rf"""{name}0 as (select {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+(?:[-_.@][a-z0-9]+)*')) t from {source}),
+{name}1 as (select *, regexp_extract_all(t, '[a-z]+|[0-9]+') r from {name}0),
+{name} as (select {key}, t term from {name}1 union all
+  select {key}, unnest(list_distinct(list_concat(list_filter(string_split_regex(t, '[-_.@]+'), lambda x: x <> '' and x <> t), case when len(r) between 2 and 4 then list_filter(r, lambda x: len(x) >= 2 and x <> t) else [] end))) from {name}1)"""
+
+
+def _vectors(source: str, key: str, text: str, name: str) -> str:
+    """CTEs up to ``name`` (key, p, v): the places of the hashed word vectors of ``source`` that aren't 0."""
+    return rf"""{name}w as (select {key}, md5_number_upper(unnest(regexp_extract_all(lower({text}), '[a-z0-9]+'))) h from {source}),
+{name}n as (select {key}, cast((h >> 56) & 63 as integer) p, sum(case when (h >> 24) & 1 = 1 then 1 else -1 end) n from {name}w group by 1, 2),
+{name} as (select {key}, p, cast(cast(cast(n as float) / cast(sqrt(sum(n * n) over (partition by {key})) as float) as float) as double) v from {name}n where n <> 0)"""
+
+
 _CHUNK_META = "m as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(doc_type) doc_type, any_value(is_table) is_table from chunks group by 1)"
 _RRF = (
     "with " + _sql() + "," + _sql("context_header", "context_header is not null", "_h") + """,
@@ -413,6 +496,23 @@ select query_id, bid_id routed_bid, total from p where total > 0.1 qualify row_n
     "retrieval_metrics": "with " + _sql() + "," + _CHUNK_META + """, b as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from sc) where rank <= 5),
 r as (select q.query_id, min(rank) best from q left join (select b.query_id, b.rank, file_name from b join m using (chunk_id)) x on x.query_id = q.query_id and x.file_name = q.own_file group by 1)
 select count(*) n_queries, round(avg(case when best <= 1 then 1.0 else 0.0 end), 4) recall_1, round(avg(case when best <= 3 then 1.0 else 0.0 end), 4) recall_3, round(avg(case when best <= 5 then 1.0 else 0.0 end), 4) recall_5, round(avg(coalesce(1.0 / best, 0.0)), 4) mrr from r""",
+    "query_expansion": "with q as (select distinct output_id query_id, field_name qx from field_outputs), " + _EXPAND + " select query_id, ex expanded from xp",
+    "hybrid_search": "with " + _T.replace("{text}", "text").replace("{where}", "true") + r""",
+q as (select file_id query_id, regexp_replace(file_name, '\.[A-Za-z]+$', '') qx from source_files where file_id % 50 = 0),""" + _EXPAND + "," + _terms_of("q", "query_id", "qx", "qk") + "," + _terms_of("xp", "query_id", "ex", "ek") + r""",
+m as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(doc_type) doc_type, coalesce(any_value(page_start), any_value(page_number)) ps, coalesce(any_value(page_end), any_value(page_number)) pe, any_value(section) section from chunks group by 1),
+al as (select * from m where lower(coalesce(doc_type, '')) <> 'addendum'),
+s1 as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from (select query_id, term, count(*) qtf from ek group by 1, 2) join ts using (term) join po using (term) join dl using (chunk_id), cs group by 1, 2),
+a as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) rank from s1 join al using (chunk_id) where score > 0 qualify rank <= 20),
+""" + _vectors("(select chunk_id, tx from d where chunk_id in (select chunk_id from tk))", "chunk_id", "tx", "cv") + "," + _vectors("(select * from q where query_id in (select query_id from qk))", "query_id", "qx", "qv") + r""",
+c1 as (select query_id, chunk_id, round(sum(qv.v * cv.v), 6) score from qv join cv using (p) join al using (chunk_id) group by 1, 2),
+c2 as (select query_id, chunk_id, coalesce(score, 0.0) score from (select distinct query_id from qk) cross join (select chunk_id from al where chunk_id in (select chunk_id from tk)) left join c1 using (query_id, chunk_id)),
+b as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) rank from c2 qualify rank <= 20),
+f as (select query_id, chunk_id, a.rank ra, b.rank rb, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) rrf from a full outer join b using (query_id, chunk_id)),
+g as (select * from f qualify row_number() over (partition by query_id order by rrf desc, ra nulls last, rb nulls last, chunk_id) <= 20),
+o as (select query_id, chunk_id, count(*) n from g join (select distinct query_id, term from qk) using (query_id) join (select distinct chunk_id, term from tk) using (chunk_id, term) group by 1, 2),
+r as (select g.*, round(coalesce(n, 0) / (select count(distinct term) from qk where qk.query_id = g.query_id), 6) rr from g left join o using (query_id, chunk_id))
+select query_id, cast(row_number() over (partition by query_id order by rr desc, chunk_id) as integer) rank, chunk_id, bid_id, file_name, doc_type, round(rrf, 6) rrf_score, round(rr, 4) rerank_score,
+coalesce(file_name, '') || ' (' || coalesce('p.' || ps || case when pe <> ps then '-' || pe else '' end, 'p.?') || case when coalesce(section, '') <> '' then ' | Section: ' || section else '' end || ')' citation from r join m using (chunk_id) qualify rank <= 5""",
     "dense_topk": """with q as (select vec_id query_id, embedding e from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, round(list_dot_product(cast(e as double[]), cast(embedding as double[])), 6) score from q join embeddings on vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)

@@ -179,7 +179,7 @@ def q_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return comparison_matrix(_values(spark, d), table(spark, d, "packages"), [f.lower() for f in FIELDS])
+    return comparison_matrix(_values(spark, d), table(spark, d, "packages"), [f.lower() for f, _, _ in FIELDS])
 
 
 def q_differences(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +209,7 @@ SQL = {
     "contact_scan": f"with {_C}, {_CONTACT} " + _RANKED.format("ct", 10),
     "documentation_scan": f"with {_C}, {_DOCS} " + _RANKED.format("dt", 12),
     "evidence_union": f"with {_C}, {_CONTACT}, {_DOCS}, a as ({_RANKED.format('ct', 10)}), b as ({_RANKED.format('dt', 12)}) select bid_id, chunk_id, 0 src from a union all select bid_id, chunk_id, 1 from b where not exists (select 1 from a where a.chunk_id = b.chunk_id and a.bid_id is not distinct from b.bid_id)",
-    "comparison_matrix": f"with {_V} select p.bid_id, " + ", ".join(f"coalesce(max(case when k = '{f.lower()}' then value end), 'Not found') \"{f.lower().replace(' ', '_')}\"" for f in FIELDS) + " from packages p left join v using (bid_id) group by 1",
-    "field_differences": f"with {_V}, n as (select count(*) n from packages), f(k) as (values " + ", ".join(f"('{f.lower()}')" for f in FIELDS) + "), h as (select f.k, count(distinct value) d, count(value) c from f left join v using (k) group by 1) select k field_name, n n_packages, d + case when c < n then 1 else 0 end n_values, d + case when c < n then 1 else 0 end = 1 identical from h, n",
+    "comparison_matrix": f"with {_V} select p.bid_id, " + ", ".join(f"coalesce(max(case when k = '{f.lower()}' then value end), 'Not found') \"{f.lower().replace(' ', '_')}\"" for f, _, _ in FIELDS) + " from packages p left join v using (bid_id) group by 1",
+    "field_differences": f"with {_V}, n as (select count(*) n from packages), f(k) as (values " + ", ".join(f"('{f.lower()}')" for f, _, _ in FIELDS) + "), h as (select f.k, count(distinct value) d, count(value) c from f left join v using (k) group by 1) select k field_name, n n_packages, d + case when c < n then 1 else 0 end n_values, d + case when c < n then 1 else 0 end = 1 identical from h, n",
     "question_kinds": r"select doc_id, regexp_matches(lower(coalesce(text, '')), '" + "|".join(X.COMPARING) + r"') or regexp_matches(lower(coalesce(text, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') compares, regexp_matches(lower(coalesce(text, '')), 'addendum\s*(?:no\.?|#)?\s*(\d+)') and regexp_matches(lower(coalesce(text, '')), 'summar|what changed|what does|changes in|explain') asks_addendum from documents",
 }

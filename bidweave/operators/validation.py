@@ -267,7 +267,7 @@ _O = "o as (select * from field_outputs qualify row_number() over (partition by
 _OK = "not ((regexp_matches(lower(field_name), 'date|deadline|term of bid') and not regexp_matches(coalesce(value, ''), '" + DATE + "') and not regexp_matches(lower(coalesce(value, '')), 'year|month|day|none|n/a')) or (regexp_matches(lower(field_name), 'contact|email') and not contains(coalesce(value, ''), '@')))"
 _ABS = "lower(trim(coalesce(value, ''))) in ('none', 'null', 'not found', 'n/a', '')"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}_\s@]', ' ', 'g'), '[\s\x{{a0}}]+', ' ', 'g'))"
-_GROUPS = ", ".join(f"('{n.lower()}', '{s}')" for n, (s, _) in FIELDS.items())
+_GROUPS = ", ".join(f"('{n.lower()}', '{s}')" for n, s, _ in FIELDS)
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

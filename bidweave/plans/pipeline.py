@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.config import SETTINGS, field_definitions
-from bidweave.operators.retrieve import SparseIndex, build_index, search_within, vectors_of
+from bidweave.operators.retrieve import SparseIndex, build_index, search_within, shown_score, vectors_of
 from bidweave.operators.routing import contact_scan, document_scan, evidence
 from bidweave.operators.trace import Tracer
 from bidweave.operators.validation import completeness, supersede, validate
@@ -35,7 +35,7 @@ def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int
     hints = F.when(F.size("hints") > 2, F.slice("hints", 3, 3)).otherwise(F.col("hints")) if absence else F.slice("hints", 1, 3)
     queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), hints).alias("query"))
     names = F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name"))
-    best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank", F.when(F.col("rerank_score") > 0, F.col("rerank_score")).otherwise(F.col("rrf_score")).alias("score"))
+    best = search_within(chunks, queries, k, index, vectors=vectors, exclude_doc_type="addendum").join(names, "query_id").select(*PACKAGE, "chunk_id", "rank", shown_score().alias("score"))
     scans = contact_scan(allowed, max(2 * k, 8)).withColumn("field_name", F.lit("contact_info")).unionByName(document_scan(allowed, max(2 * k, 12)).withColumn("field_name", F.lit("Any Additional Documentation Required")))
     merged = evidence(*([] if absence else [scans]), best, key=(*PACKAGE, "chunk_id"))
     # Each passage keeps the score of the list that brought it.

@@ -23,9 +23,15 @@ class Transient(Exception):
 
 
 class Embedder(Protocol):
+    """An attribute ``query_prefix`` is put before queries, not before passages."""
+
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Reranker(Protocol):
+    def scores(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
 class Extractor(Protocol):
     def extract(self, field: str, passages: list[dict]) -> dict: ...
 
