@@ -2,7 +2,7 @@
 
 Proposals come from a provider or a table (bid_id, addendum_number, ord, field, new_value, quote, file_name, page_number, reason).
 A proposal counts if its field is known (exactly, else without regard to case), its value and quote aren't blank and the quote
-stands in a chunk of the same package and addendum. Containment is tested only between rows that share both.
+stands in a chunk of the same package and addendum, and if its value has the form of its field. Containment is tested only between rows that share both.
 Defined results: a null addendum number of a chunk is that of its file's name, else 1; of chunks with the quote the first id holds.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions import text as X
-from bidweave.operators.validation import amendment_confidence
+from bidweave.operators.validation import _OK, amendment_confidence, format_ok
 from bidweave.session import table
 
 SOURCE = "struct<file:string,page:int,quote:string,chunk_id:string>"
@@ -42,7 +42,8 @@ def accept(proposals: DataFrame, chunks: DataFrame, known: DataFrame) -> DataFra
     hit = p.join(c, ["bid_id", "number"]).where(F.col("__t").contains(F.col("__q")))
     key = [x for x in p.columns if not x.startswith("__")]
     hit = hit.groupBy(*key, "__q").agg(F.min_by(F.struct("chunk_id", "file_name", "page_number"), "chunk_id").alias("m")).select(*key, "__q", "m.*")
-    order = Window.partitionBy("bid_id", "field").orderBy("number", "ord", "chunk_id")
+    hit = hit.where(format_ok(F.col("field"), F.col("new_value")))  # the validator's gate; the quote has grounded it
+    order = Window.partitionBy("bid_id", "field").orderBy("number", "ord", "chunk_id", "new_value", *[c for c in ("change_id",) if c in key])
     sure = amendment_confidence(F.size(F.split("__q", " ")), F.col("new_value"), F.lit(1.0))
     return hit.withColumns({"confidence": sure, "old_value": F.lag("new_value").over(order), "is_final": F.lead("number").over(order).isNull()}).drop("__q")
 
@@ -154,7 +155,17 @@ def q_topics(spark: SparkSession, d: str) -> DataFrame:
 _T = "case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then text || ' {m}'" for ws, m in TOPICS) + " else coalesce(text, '') end"
 _V = r"o as (select * from field_outputs qualify row_number() over (partition by output_id order by ingested_at desc, attempt desc) = 1), v as (select bid_id, lower(regexp_replace(field_name, '^\s+|\s+$', '', 'g')) k, value from o qualify row_number() over (partition by bid_id, lower(regexp_replace(field_name, '^\s+|\s+$', '', 'g')) order by attempt desc, output_id desc) = 1)"
 QUERIES = {"accept_amendments": q_accept, "package_readiness": q_readiness, "topic_queries": q_topics}
+_norm = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+_NUMBER = r"coalesce(addendum_number, try_cast(regexp_extract(lower(file_name), 'addendum[\s_]*(?:no\.?)?[\s_#]*0*(\d+)', 1) as integer), 1)"
 SQL = {
+    "accept_amendments": f"""with k as (select distinct field_name from field_outputs),
+p as (select distinct change_id, bid_id, coalesce(addendum_number, 1) number, addendum_number, ord, trim(field) field, new_value, quote, file_name, page_number from addendum_changes where field is not null),
+f as (select p.* exclude field, field_name field from p join k on lower(p.field) = lower(field_name) qualify row_number() over (partition by change_id, p.bid_id, p.addendum_number, p.ord, p.field, p.new_value, p.quote, p.file_name, p.page_number order by (field_name = p.field) desc, field_name) = 1),
+c as (select chunk_id, any_value(bid_id) bid_id, any_value({_NUMBER}) number, {_norm("any_value(text)")} t from chunks where lower(coalesce(doc_type, '')) = 'addendum' or contains(lower(coalesce(file_name, '')), 'addendum') group by 1),
+h as (select change_id, f.bid_id, f.number, ord, field, new_value, value_, q, min(chunk_id) chunk_id from (select *, new_value value_, {_norm("quote")} q from f) f join c on c.bid_id = f.bid_id and c.number = f.number and q <> '' and contains(t, q) where trim(coalesce(new_value, '')) <> '' group by 1, 2, 3, 4, 5, 6, 7, 8),
+g as (select * from (select *, field field_name, new_value as value from h) where {_OK})
+select change_id, field, chunk_id, round(least(cast(0.80 as double) + least(cast(0.10 as double), cast(0.008 as double) * len(string_split(q, ' '))) + case when regexp_matches(new_value, '\\d') then cast(0.05 as double) else cast(0.02 as double) end + cast(0.03 as double), cast(0.98 as double)), 2) confidence,
+lead(number) over (partition by bid_id, field order by number, ord nulls first, chunk_id, new_value, change_id) is null is_final from g""",
     "topic_queries": f"select doc_id, md5({_T}) digest from documents",
     "package_readiness": f"with {_V} select bid_id, coalesce(max(case when k = 'title' then value end), max(case when k = 'solicitation_title' then value end)) title, coalesce(max(case when k = 'company_name' then value end), max(case when k = 'company name' then value end)) agency, coalesce(max(case when k = 'bid number' then value end), max(case when k = 'bid_number' then value end)) number, count(value) fields_ready from v group by 1",
 }

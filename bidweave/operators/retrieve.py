@@ -341,6 +341,16 @@ def q_topk(spark: SparkSession, d: str) -> DataFrame:
     return top_k(scores, 10).select("query_id", "rank", "chunk_id", "score")
 
 
+def q_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field's name and first hints as a query over all chunks outside addenda."""
+    definitions = field_definitions(spark)
+    asked = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), F.slice("hints", 1, 3)).alias("query"))
+    chunks = _chunks(spark, d)
+    kept = metadata_filter(chunks, exclude_doc_type="addendum").select("chunk_id")
+    best = top_k(bm25_scores(build_index(chunks), asked).join(kept, "chunk_id", "left_semi"), SETTINGS.top_k)
+    return best.join(F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name")), "query_id").select("field_name", "rank", "chunk_id", "score")
+
+
 def q_filtered(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     scores = bm25_scores(build_index(chunks), _files(spark, d))
@@ -472,6 +482,7 @@ _TOP = "select query_id, cast(rank as integer) rank, chunk_id, score from (selec
 
 QUERIES = {
     "bm25_topk": q_topk,
+    "field_search": q_fields,
     "bm25_filtered": q_filtered,
     "tokenize_terms": q_terms,
     "corpus_stats": q_corpus,
@@ -513,6 +524,10 @@ o as (select query_id, chunk_id, count(*) n from g join (select distinct query_i
 r as (select g.*, round(coalesce(n, 0) / (select count(distinct term) from qk where qk.query_id = g.query_id), 6) rr from g left join o using (query_id, chunk_id))
 select query_id, cast(row_number() over (partition by query_id order by rr desc, chunk_id) as integer) rank, chunk_id, bid_id, file_name, doc_type, round(rrf, 6) rrf_score, round(rr, 4) rerank_score,
 coalesce(file_name, '') || ' (' || coalesce('p.' || ps || case when pe <> ps then '-' || pe else '' end, 'p.?') || case when coalesce(section, '') <> '' then ' | Section: ' || section else '' end || ')' citation from r join m using (chunk_id) qualify rank <= 5""",
+    "field_search": "with " + _T.replace("{text}", "text").replace("{where}", "true") + ", q(query_id, field_name, qx) as (values " + ", ".join(f"({i}, '{n}', '{' '.join([n, *h[:3]])}')" for i, (n, _, h) in enumerate(FIELDS)) + ")," + _terms_of("q", "query_id", "qx", "qk") + """,
+al as (select chunk_id from chunks group by 1 having lower(coalesce(any_value(doc_type), '')) <> 'addendum'),
+sc as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from (select query_id, term, count(*) qtf from qk group by 1, 2) join ts using (term) join po using (term) join dl using (chunk_id), cs group by 1, 2)
+select field_name, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) rank, chunk_id, score from sc join al using (chunk_id) join q using (query_id) where score > 0 qualify rank <= 5""",
     "dense_topk": """with q as (select vec_id query_id, embedding e from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, round(list_dot_product(cast(e as double[]), cast(embedding as double[])), 6) score from q join embeddings on vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)

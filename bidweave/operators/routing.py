@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bidweave.config import CONTACT_WORDS, DOCUMENT_WORDS, FIELDS
 from bidweave.functions import text as X
+from bidweave.operators import retrieve
 from bidweave.operators.retrieve import route_by_sum
 from bidweave.operators.validation import latest
 from bidweave.session import folded, stage, table
@@ -20,8 +21,8 @@ from bidweave.session import folded, stage, table
 AGENCY_STOP = ["state", "city", "county", "department", "office", "the", "and", "district", "public", "independent", "school", "schools", "board", "education", "commission", "authority", "division", "agency", "services"]
 TITLE_STOP = ["request", "proposal", "solicitation"]
 NUMBER = r"(?i)\b(?:RFP\s*(?:NO\.?|#)?\s*|PORFP\s*(?:NO\.?|#)?\s*|PROJECT\s*(?:NO\.?|#)?\s*)?([A-Z0-9]{2,}[-_][A-Z0-9-_]{2,}|[A-Z]{2,}\d{4,}[A-Z0-9]*|[A-Z]\d{2}[A-Z]\d{6,})\b"
-#: Longest run of words of a name or number that is looked up.
-RUN = 12
+#: Names are looked up by runs of so many words; longer ones by their first words, and then compared whole.
+RUN = 6
 
 
 def catalogue(chunks: DataFrame, packages: DataFrame | None = None) -> DataFrame:
@@ -33,7 +34,9 @@ def catalogue(chunks: DataFrame, packages: DataFrame | None = None) -> DataFrame
     if packages is not None:
         for column, kind in (("solicitation_number", "number"), ("agency", "agency"), ("title", "title")):
             out = out.unionByName(packages.where(F.col(column).isNotNull() & F.col("bid_id").isNotNull()).select("bid_id", F.lit(kind).alias("kind"), F.lower(F.trim(column)).alias("value")))
-        out = out.unionByName(packages.where("bid_id is not null").select("bid_id", F.lit("id").alias("kind"), F.lower("bid_id").alias("value")))
+        ids = packages.where("bid_id is not null").select("bid_id", F.lit("id").alias("kind"), F.lower("bid_id").alias("value"))
+        apart = ids.where(F.col("value").rlike(r"^bid\d+$")).withColumn("value", F.regexp_replace("value", "^bid", "bid "))
+        out = out.unionByName(ids).unionByName(apart)
     return out.where("value <> ''").distinct()
 
 
@@ -42,21 +45,26 @@ def _key(c: Column) -> Column:
 
 
 def score_packages(questions: DataFrame, entries: DataFrame) -> DataFrame:
-    """(question_id, bid_id, score): 15 for the id, 12 per number, 10 per agency, 8 per title, 6 per file name in the question, else 4 per word of an agency and 2 per word of a title."""
-    words = F.split(_key(F.coalesce("question", F.lit(""))), " ")
+    """(question_id, bid_id, score): 15 for the id (also written apart, such as ``bid 2``), 12 per number, 10 per agency, 8 per title, 6 per file name in the question, else 4 per word of an agency and 2 per word of a title."""
+    asked = questions.select("question_id", _key(F.coalesce("question", F.lit(""))).alias("__q"))
+    words = F.split("__q", " ")
     n = F.size(words)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), n - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))))
-    asked = questions.select("question_id", F.explode(F.array_distinct(runs)).alias("key")).where("key <> ''")
+    asked = asked.select("question_id", "__q", F.explode(F.array_distinct(runs)).alias("key")).where("key <> ''")
     weight = F.when(F.col("kind") == "id", 15.0).when(F.col("kind") == "number", 12.0).when(F.col("kind") == "agency", 10.0).when(F.col("kind") == "title", 8.0).otherwise(6.0)
     keyed = entries.withColumn("key", _key(F.col("value"))).where("key <> ''")
     whole = keyed.where("kind not in ('title', 'file') or (kind = 'title' and length(value) > 6) or (kind = 'file' and length(value) > 4)").withColumn("weight", weight)
-    hits = asked.join(whole, "key").groupBy("question_id", "bid_id", "kind", "value").agg(F.max("weight").alias("weight"))
+    whole = whole.withColumnRenamed("key", "__name").withColumn("key", F.array_join(F.slice(F.split("__name", " "), 1, RUN), " "))
+    named = F.concat(F.lit(" "), "__q", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("__name"), F.lit(" ")))
+    hits = asked.join(whole, "key").where(named).groupBy("question_id", "bid_id", "kind", "value").agg(F.max("weight").alias("weight"))
     parts = keyed.where("kind in ('agency', 'title')").select("bid_id", "kind", "value", F.explode(F.array_distinct(F.split("key", " "))).alias("key"))
     agency = (F.col("kind") == "agency") & (F.length("key") > 3) & ~F.col("key").isin(AGENCY_STOP)
     title = (F.col("kind") == "title") & (F.length("key") > 4) & ~F.col("key").isin(TITLE_STOP)
     parts = parts.where(agency | title).withColumn("weight", F.when(F.col("kind") == "agency", 4.0).otherwise(2.0))
-    single = asked.join(parts, "key").groupBy("question_id", "bid_id", "kind", "value").agg(F.sum("weight").alias("weight"))
+    single = asked.drop("__q").join(parts, "key").groupBy("question_id", "bid_id", "kind", "value").agg(F.sum("weight").alias("weight"))
     single = single.join(hits.select("question_id", "bid_id", "kind", "value"), ["question_id", "bid_id", "kind", "value"], "left_anti")
+    # An id counts once, however it is written.
+    hits = hits.withColumn("value", F.when(F.col("kind") != "id", F.col("value"))).distinct()
     return hits.unionByName(single).groupBy("question_id", "bid_id").agg(F.sum("weight").alias("score"))
 
 
@@ -204,8 +212,28 @@ _DOCS = f"dt as (select bid_id, chunk_id, {_sum(DOCUMENT_WORDS)} * 1.0 + {_any([
 _RANKED = "select bid_id, chunk_id, cast(score as double) score, cast(rank as integer) rank from (select *, row_number() over (partition by bid_id order by score desc, chunk_id) rank from {}) where rank <= {}"
 _V = r"o as (select * from field_outputs qualify row_number() over (partition by output_id order by ingested_at desc, attempt desc) = 1), v as (select bid_id, lower(regexp_replace(field_name, '^\s+|\s+$', '', 'g')) k, value from o qualify row_number() over (partition by bid_id, lower(regexp_replace(field_name, '^\s+|\s+$', '', 'g')) order by attempt desc, output_id desc) = 1)"
 
+_CAT = r"""cc as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(coalesce(text, '')) t from chunks group by 1),
+nu as (select bid_id, lower(unnest(regexp_extract_all(t, '\b(?:RFP\s*(?:NO\.?|#)?\s*|PORFP\s*(?:NO\.?|#)?\s*|PROJECT\s*(?:NO\.?|#)?\s*)?([A-Z0-9]{2,}[-_][A-Z0-9_-]{2,}|[A-Z]{2,}\d{4,}[A-Z0-9]*|[A-Z]\d{2}[A-Z]\d{6,})\b', 1, 'i'))) v from cc where bid_id is not null),
+en as (select * from (select bid_id, 'file' kind, regexp_replace(lower(file_name), '\.(pdf|html|htm)', '', 'g') v from cc where bid_id is not null and file_name is not null
+  union select bid_id, 'number', v from nu where length(v) >= 4 and not starts_with(v, 'http') union select bid_id, 'number', lower(trim(solicitation_number)) from packages where solicitation_number is not null and bid_id is not null
+  union select bid_id, 'agency', lower(trim(agency)) from packages where agency is not null and bid_id is not null union select bid_id, 'title', lower(trim(title)) from packages where title is not null and bid_id is not null
+  union select bid_id, 'id', lower(bid_id) from packages where bid_id is not null union select bid_id, 'id', regexp_replace(lower(bid_id), '^bid', 'bid ') from packages where regexp_matches(lower(bid_id), '^bid\d+$')) where v <> '')"""
+_stop = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+_ROUTE = rf"""with {retrieve._sql()}, {retrieve._CHUNK_META}, {_CAT},
+k as (select *, trim(regexp_replace(v, '[^a-z0-9]+', ' ', 'g')) key from en), qq as (select query_id, qx, trim(regexp_replace(lower(coalesce(qx, '')), '[^a-z0-9]+', ' ', 'g')) qk from q),
+ht as (select query_id, bid_id, kind, v, max(case kind when 'id' then 15 when 'number' then 12 when 'agency' then 10 when 'title' then 8 else 6 end) w from qq join k on key <> '' and contains(' ' || qk || ' ', ' ' || key || ' ') where not (kind = 'title' and length(v) <= 6) and not (kind = 'file' and length(v) <= 4) group by 1, 2, 3, 4),
+pt as (select distinct bid_id, kind, v, unnest(string_split(key, ' ')) wd from k where kind in ('agency', 'title') and key <> ''),
+sg as (select query_id, bid_id, kind, v, sum(case kind when 'agency' then 4 else 2 end) w from pt join (select distinct query_id, unnest(string_split(qk, ' ')) wd from qq) using (wd) where (kind = 'agency' and length(wd) > 3 and wd not in {_stop(AGENCY_STOP)}) or (kind = 'title' and length(wd) > 4 and wd not in {_stop(TITLE_STOP)}) group by 1, 2, 3, 4),
+al as (select distinct query_id, bid_id, kind, case when kind <> 'id' then v end v, w from ht union all select * from sg where not exists (select 1 from ht where ht.query_id = sg.query_id and ht.bid_id = sg.bid_id and ht.kind = sg.kind and ht.v = sg.v)),
+be as (select query_id, bid_id from (select query_id, bid_id, sum(w) w from al group by 1, 2) qualify row_number() over (partition by query_id order by w desc, bid_id) = 1),
+b8 as (select query_id, chunk_id, score from sc qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 8),
+fb as (select query_id, bid_id from (select query_id, bid_id, round(sum(score), 4) total from b8 join m using (chunk_id) where bid_id is not null group by 1, 2) where total > 0.1 qualify row_number() over (partition by query_id order by total desc, bid_id) = 1)
+select qq.query_id question_id, case when regexp_matches(lower(coalesce(qx, '')), '{"|".join(X.COMPARING)}') or regexp_matches(lower(coalesce(qx, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') then 'COMPARISON' else coalesce(be.bid_id, fb.bid_id) end target from qq left join be using (query_id) left join fb using (query_id)"""
+
 QUERIES = {"bid_catalogue": q_catalogue, "route_questions": q_route, "contact_scan": q_contacts, "documentation_scan": q_documents, "evidence_union": q_evidence, "comparison_matrix": q_matrix, "field_differences": q_differences, "question_kinds": q_comparing}
 SQL = {
+    "bid_catalogue": f"with {_CAT} select bid_id, kind, count(*) n from en group by 1, 2",
+    "route_questions": _ROUTE,
     "contact_scan": f"with {_C}, {_CONTACT} " + _RANKED.format("ct", 10),
     "documentation_scan": f"with {_C}, {_DOCS} " + _RANKED.format("dt", 12),
     "evidence_union": f"with {_C}, {_CONTACT}, {_DOCS}, a as ({_RANKED.format('ct', 10)}), b as ({_RANKED.format('dt', 12)}) select bid_id, chunk_id, 0 src from a union all select bid_id, chunk_id, 1 from b where not exists (select 1 from a where a.chunk_id = b.chunk_id and a.bid_id is not distinct from b.bid_id)",

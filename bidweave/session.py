@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests)
-    a temporary folder is used. The files survive the loss of executors.
+    The folder is the one the session names in ``spark.checkpoint.dir``; the files survive the loss of executors. Only a session
+    on one machine (tests) gets a temporary folder where none is named; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bidweave-"))
     return df.checkpoint()
 
