@@ -347,12 +347,35 @@ def names():
         ("The Oak Street office", []),
         ("Dear Mr. Hugo Finchlow, Jr., see BRINDLEBERG, ODETTE and A. Drayberg", [("name", "Hugo Finchlow, Jr."), ("name", "BRINDLEBERG, ODETTE"), ("name", "A. Drayberg")]),
         ("Brindleberg & Corvelow Ltd and The Hugo Street Bridge", []),
+        ("Contact Dr. Jane Smithson and Mr. Łukasz Żółkowski", [("name", "Jane Smithson"), ("name", "Łukasz Żółkowski")]),
+        ("Maria Garcia met Wei Zhang at Maria Street School", [("name", "Maria Garcia"), ("name", "Wei Zhang")]),
+        ("john dot doe at example dot com, jane @ example . com", [("email", "john dot doe at example dot com"), ("email", "jane @ example . com")]),
+        ("two one four, five five five, zero one zero one", [("phone", "two one four, five five five, zero one zero one")]),
+        ("2-1-4 five five five 0101 or 214-555-OIOI", [("phone", "2-1-4 five five five 0101"), ("phone", "214-555-OIOI")]),
+        ("call double five five two one four double zero one two", [("phone", "double five five two one four double zero one two")]),
+        ("Lakeside, OH 00055\n530-555-0101, items one and two of 3 4 5", [("phone", "530-555-0101")]),
     ],
 )
 def test_items(names, text, want):
     assert [(k, text[a:b]) for k, a, b in personal.items(text, names)] == want
 
 
+def test_classifier_of_names(names):
+    """Names with no part in the lexicon are found by what stands beside them; other runs of capitalised words are not."""
+    rng = random.Random(7)
+    known = [f"{g} {h}{t}" for g in ("Amara", "Hugo", "Odette") for h in ("Brindle", "Corve", "Dray", "Quill") for t in ("berg", "combe", "stad")]
+    frames = ["The affiant, {}, states that the goods were shipped.", "Signed: {}, residing there.", "Please write to {} before noon."]
+    other = ["The Marfold Velgrove line was closed.", "Deliver near Norfold Galwicke on time.", "The Purchase Order names goods, purchase and order."]
+    texts = [rng.choice(frames).format(rng.choice(known)) + " " + rng.choice(other) for _ in range(600)]
+    assert personal.Model.fit(texts[:50], names) is None
+    own = personal.Names([], [])
+    own.model = personal.Model.fit(texts, names)
+    spans = lambda t: [t[a:b] for k, a, b in personal.items(t, own)]
+    assert spans("The affiant, Tamsin Okonkwo, states that all is well.") == ["Tamsin Okonkwo"]
+    assert spans("Please write to Ngozi Adeyemi before the end.") == ["Ngozi Adeyemi"]
+    assert spans("The Marfold Velgrove line. Deliver near Stoltham Erewhon on time.") == [] and spans("A Purchase Order") == []
+
+
 def test_redact_frame(spark):
     lexicon = spark.createDataFrame([("Hugo", "given"), ("Finchlow", "surname"), (None, "given")], "name_part string, part_kind string")
     df = spark.createDataFrame([(1, "😀 Hugo Finchlow <a@b.example>", 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, items int")
