@@ -100,17 +100,53 @@ def _nested(start: str, steps: list[tuple[str, str]]) -> str:
     return start
 
 
-SQL = {
-    "clean_whitespace": _D.format(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(t, '[\x{{200B}}\x{{FEFF}}\x{{AD}}]', '', 'g'), '[\x{{F000}}-\x{{F8FF}}]', '* ', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"),
-    "fix_hyphenation": _D.format(r"regexp_replace(t, '([a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,})', '\1\2', 'g')"),
-    "fix_fused_words": _D.format(r"regexp_replace(t, '\b(AUTHORITY|TAXATION|AFFIRMATION|VALID)I\b', '\1 I', 'g')"),
-    "rejoin_split": _D.format(_nested("t", X.SPLITS)),
-    "running_lines": r"""with p as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(coalesce(raw_text, '')) t from parsed_pages group by 1),
+def _whitespace(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({x}, '[\x{{200B}}\x{{FEFF}}\x{{AD}}]', '', 'g'), '[\x{{F000}}-\x{{F8FF}}]', '* ', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _kerning(x: str) -> str:
+    return _nested(x, [*X.KERNING, (r"\b([A-Z]{4,})I(\s+FURTHER)", "$1 I$2"), (r"\b([A-Z]{4,})I(\s*)$", "$1 I$2")])
+
+
+def _repairs(x: str) -> str:
+    """The repairs of a text before its lines are reflowed."""
+    x = _nested(x, [(r"([a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,})", "$1$2"), *X.SPLITS])
+    return _nested(_kerning(x), [(r"\b(AUTHORITY|TAXATION|AFFIRMATION|VALID)I\b", "$1 I")])
+
+
+def _reflow(source: str, name: str) -> str:
+    """CTEs up to ``name`` (page_id, s): lines of ``source`` (page_id, t) are one with the next where they are fragments."""
+    lines = r"string_split(regexp_replace(t, '\n\n?$', ''), chr(10))"
+    return rf"""{name}l as (select page_id, generate_subscripts({lines}, 1) i, unnest(list_transform({lines}, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g'))) x from {source} where t <> ''),
+{name}f as (select *, x = '' or starts_with(x, '|') or ends_with(x, '|') lone, x <> '' and not starts_with(x, '|') and not ends_with(x, '|') and len(string_split_regex(x, '{_WS}+')) <= 2 and length(x) < 22 and not ends_with(x, ':') and not regexp_matches(x, '^(?:[1-9]\.|[*\-•(#])') and not (regexp_matches(x, '\p{{Lu}}') and upper(x) = x) frag from {name}l),
+{name}g as (select *, sum(case when lone or i = 1 or not lag_ then 1 else 0 end) over (partition by page_id order by i) g from (select *, coalesce(lag(frag) over (partition by page_id order by i), false) lag_ from {name}f)),
+{name}j as (select page_id, g, string_agg(x, ' ' order by i) x from {name}g group by 1, 2),
+{name}k as (select page_id, regexp_replace(string_agg(x, chr(10) order by g), '\n{{3,}}', chr(10) || chr(10), 'g') s from {name}j group by 1),
+{name} as (select page_id, coalesce(s, '') s from (select page_id from {source}) left join {name}k using (page_id))"""
+
+
+_P = "p as (select page_id, any_value(coalesce(raw_text, '')) t from parsed_pages group by 1)"
+_LABELS = r"""le as (select page_id, case when len(string_split(t, chr(10))) > 5 then list_concat(string_split(t, chr(10))[1:5], string_split(t, chr(10))[-5:]) else string_split(t, chr(10)) end e from p),
+lb as (select page_id, coalesce(regexp_extract(list_filter(e, lambda x: regexp_matches(x, '(?i)^\s*Page\s+\d+'))[1], '(?i)^\s*Page\s+(\d+(?:\s*(?:of|\|)\s*\d+)?)', 1), '') label from le)"""
+_RUNNING = r"""p as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(coalesce(raw_text, '')) t from parsed_pages group by 1),
 l as (select page_id, bid_id, file_name, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) line_no from p),
 f as (select page_id, bid_id, file_name, line_no, trim(regexp_replace(line, '^\s+|\s+$', '', 'g')) line, row_number() over (partition by page_id order by line_no) a, count(*) over (partition by page_id) n from l where regexp_matches(line, '\S')),
 z as (select *, regexp_replace(line, '\d+', '#', 'g') norm from f where (n <= 4 and (a = 1 or a = n)) or (n > 4 and (a <= 3 or a >= n - 1))),
 s as (select bid_id, file_name, count(*) pages from p group by 1, 2),
 r as (select bid_id, file_name, norm from z join s using (bid_id, file_name) where length(norm) > 4 group by 1, 2, 3, pages having count(distinct page_id) >= greatest(2, floor(pages * 0.35))),
-x as (select z.page_id, z.line_no from z left join r using (bid_id, file_name, norm) where r.norm is not null or regexp_matches(z.line, '^\d{1,3}$') or regexp_matches(norm, '(?i)^\s*Page\s+#(?:\s*(?:of|\|)\s*#)?\s*$'))
+x as (select z.page_id, z.line_no from z left join r using (bid_id, file_name, norm) where r.norm is not null or regexp_matches(z.line, '^\d{1,3}$') or regexp_matches(norm, '(?i)^\s*Page\s+#(?:\s*(?:of|\|)\s*#)?\s*$'))"""
+
+
+SQL = {
+    "clean_whitespace": _D.format(_whitespace("t")),
+    "fix_kerning": _D.format(_kerning("t")),
+    "reflow_lines": "with " + _P + ", " + _reflow("p", "r") + " select page_id, cast(length(s) as integer) n_chars, md5(s) digest from r",
+    "clean_text": "with " + _P + ", c as (select page_id, " + _repairs("t") + " t from p), " + _reflow("c", "r") + ", w as (select page_id, " + _whitespace("s") + " s from r) select page_id, cast(length(s) as integer) n_chars, md5(s) digest from w",
+    "page_labels": "with " + _P + ", " + _LABELS + " select page_id, label from lb where label <> ''",
+    "strip_running": "with " + _RUNNING + ", d as (select page_id, line_no from x), k as (select l.page_id, string_agg(line, chr(10) order by l.line_no) t from l left join d on d.page_id = l.page_id and d.line_no = l.line_no where d.line_no is null group by 1), u as (select p.page_id, p.t raw, coalesce(k.t, '') t from p left join k using (page_id)), c as (select page_id, " + _repairs("t") + " t from u), " + _reflow("c", "rf") + ", w as (select page_id, " + _whitespace("s") + " s from rf), " + _LABELS + " select page_id, nullif(label, '') label, md5(s) digest from w left join lb using (page_id)",
+    "fix_hyphenation": _D.format(r"regexp_replace(t, '([a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,})', '\1\2', 'g')"),
+    "fix_fused_words": _D.format(r"regexp_replace(t, '\b(AUTHORITY|TAXATION|AFFIRMATION|VALID)I\b', '\1 I', 'g')"),
+    "rejoin_split": _D.format(_nested("t", X.SPLITS)),
+    "running_lines": "with " + _RUNNING + """
 select page_id, string_agg(cast(line_no as varchar), ',' order by line_no) lines from x group by 1""",
 }
