@@ -122,6 +122,24 @@ def q_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"coverage_rollup": q_status, "table_or_layout": q_tables, "interval_assign": q_intervals}
 SQL = {
+    "table_or_layout": r"""with l as (select distinct chunk_id doc, text from chunks where is_table),
+r as (select doc, unnest(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$'))) line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$')), 1) - 1 rw from l),
+i as (select doc, rw, string_split_regex(regexp_replace(line, '^\|\s*|\s*\|\s*$', '', 'g'), '\s*\|\s*') v from r),
+c as (select doc, rw, unnest(list_transform(v, lambda x: trim(x))) t, generate_subscripts(v, 1) - 1 cl from i),
+k as (select doc, rw, max(cl) last from c group by 1, 2 having max(length(t)) > 0),
+s as (select doc, count(*) n_rows, max(last) + 1 n_cols from k group by 1),
+n as (select doc, cl, count(*) n, sum(length(t)) chars, max(length(t)) longest from c join k using (doc, rw) where t <> '' group by 1, 2),
+z as (select doc, n_rows, n_cols, sum(n) n_full, sum(chars) chars, max(longest) longest, count(*) filter (where n >= greatest(1.0, n_rows * 0.25)) populated from n join s using (doc) where n_rows >= 2 group by 1, 2, 3),
+y as (select *, n_cols >= 2 and (n_cols >= 8 or 1 - n_full / (n_rows * n_cols) > 0.60) noise, chars / n_full > 120 or longest > 250 narrative from z),
+x as (select *, not noise and n_cols >= 2 and populated >= 2 and not narrative is_real from y),
+g as (select x.doc, n_cols, rk, j.cl, coalesce(t, '') t from x join (select doc, rw, row_number() over (partition by doc order by rw) rk from k) q using (doc), lateral (select unnest(range(n_cols)) cl) j left join c on c.doc = x.doc and c.rw = q.rw and c.cl = j.cl),
+h as (select g.doc, rk, g.cl, case when rk > 1 or t <> '' then t when hd.any_ then 'Field ' || (g.cl + 1) when n_cols = 2 then case g.cl when 0 then 'Item / Specification' else 'Requirement / Detail' end else 'Field ' || (g.cl + 1) end t from g join (select doc, bool_or(t <> '') any_ from g where rk = 1 group by 1) hd using (doc)),
+m as (select doc, rk, '| ' || string_agg(replace(replace(t, '|', '\|'), chr(10), ' '), ' | ' order by cl) || ' |' line from h group by 1, 2),
+md as (select m.doc, max(case when rk = 1 then line end) || chr(10) || '| ' || array_to_string(list_transform(range(any_value(n_cols)), lambda q: '---'), ' | ') || ' |' || coalesce(chr(10) || string_agg(case when rk > 1 then line end, chr(10) order by rk), '') t from m join x using (doc) group by 1),
+pr as (select doc, rw, count(*) n, string_agg(t, ': ' order by cl) two, string_agg(t, ' - ' order by cl) more from c where t <> '' group by 1, 2),
+pt as (select doc, string_agg(case when n = 2 then two else more end, chr(10) || chr(10) order by rw) t from pr join k using (doc, rw) group by 1),
+o as (select x.doc, is_real, case when is_real then md.t when noise then '' else pt.t end t from x left join md using (doc) left join pt using (doc))
+select doc, is_real is_table, cast(length(t) as integer) n_chars, md5(t) digest from o""",
     "coverage_rollup": """with p as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, coalesce(length(any_value(raw_text)), 0) ch, coalesce(any_value(is_scanned), false)::int im, coalesce(any_value(widget_count), 0) wi from parsed_pages group by 1),
 s as (select *, case when ch = 0 and im = 0 and wi = 0 then 'blank' when ch < 30 then 'scanned' when wi > 0 then 'form_widgets' else 'extractable' end st from p)
 select bid_id, file_name, count(*) n_pages, count(*) filter (where st = 'extractable') n_extractable, count(*) filter (where st = 'scanned') n_scanned, count(*) filter (where st = 'blank') n_blank, count(*) filter (where st = 'form_widgets') n_form_widgets, bool_or(st <> 'extractable') has_gaps from s group by 1, 2""",
