@@ -65,13 +65,14 @@ def q_classify(spark: SparkSession, d: str) -> DataFrame:
     return classify(files).select("file_id", "found_type", "found_confidence", "found_number", "found_date")
 
 
-def _sql() -> str:
+def type_sql(f: str) -> str:
+    """SQL of the types of ``f``, a SELECT of file_id, n (name in lower case), p (first page) and h (its start in lower case)."""
     scores = ", ".join("round(" + " + ".join(f"(contains(n, '{k}')::int * 2.0 + contains(h, '{k}')::int * 0.8)" for k in kws) + f", 1) s{i}" for i, kws in enumerate(KEYWORDS.values()))
     top = "greatest(" + ", ".join(f"s{i}" for i in range(len(KEYWORDS))) + ")"
     kind = "case " + " ".join(f"when s{i} = top then '{t}'" for i, t in enumerate(KEYWORDS)) + " end"
     num = "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, '{p}', 1), '')" for c in ("n", "substring(h, 1, 2500)") for p in NUMBERS) + ")"
     date = "coalesce(" + ", ".join(f"nullif(regexp_extract(coalesce(p, ''), '{p}', 1), '')" for p in DATES) + ")"
-    return f"""with f as (select file_id, lower(coalesce(file_name, '')) n, p, substring(lower(coalesce(p, '')), 1, 3000) h from source_files left join (select bid_id, file_name, min(raw_text) p from parsed_pages where page_number = 1 group by 1, 2) using (bid_id, file_name)),
+    return f"""with f as ({f}),
 s as (select *, {scores} from f), t as (select *, {top} top from s),
 c as (select *, least(1.0, top / 3.0) conf, contains(h, 'proposal') or contains(h, 'contract') or contains(h, 'bid') g, try_cast({num} as integer) num, trim({date}) dt, regexp_matches(n, '\\.html?$') html from t),
 k as (select *, case when conf < 0.4 and g then 'rfp' when top > 0 then {kind} else 'other' end kind, case when conf < 0.4 and g then 0.6 else conf end cf from c),
@@ -80,4 +81,6 @@ select file_id, case when html then 'bid_page' when forced then 'addendum' else
 
 
 QUERIES = {"classify_doc": q_classify}
-SQL = {"classify_doc": _sql()}
+SQL = {
+    "classify_doc": type_sql("select file_id, lower(coalesce(file_name, '')) n, p, substring(lower(coalesce(p, '')), 1, 3000) h from source_files left join (select bid_id, file_name, min(raw_text) p from parsed_pages where page_number = 1 group by 1, 2) using (bid_id, file_name)"),
+}

@@ -137,13 +137,16 @@ r as (select bid_id, file_name, norm from z join s using (bid_id, file_name) whe
 x as (select z.page_id, z.line_no from z left join r using (bid_id, file_name, norm) where r.norm is not null or regexp_matches(z.line, '^\d{1,3}$') or regexp_matches(norm, '(?i)^\s*Page\s+#(?:\s*(?:of|\|)\s*#)?\s*$'))"""
 
 
+#: CTEs up to w (page_id, s: the stripped and repaired text) and lb (page_id, label).
+STRIPPED = "with " + _RUNNING + ", d as (select page_id, line_no from x), k as (select l.page_id, string_agg(line, chr(10) order by l.line_no) t from l left join d on d.page_id = l.page_id and d.line_no = l.line_no where d.line_no is null group by 1), u as (select p.page_id, p.t raw, coalesce(k.t, '') t from p left join k using (page_id)), c as (select page_id, " + _repairs("t") + " t from u), " + _reflow("c", "rf") + ", w as (select page_id, " + _whitespace("s") + " s from rf), " + _LABELS
+
 SQL = {
     "clean_whitespace": _D.format(_whitespace("t")),
     "fix_kerning": _D.format(_kerning("t")),
     "reflow_lines": "with " + _P + ", " + _reflow("p", "r") + " select page_id, cast(length(s) as integer) n_chars, md5(s) digest from r",
     "clean_text": "with " + _P + ", c as (select page_id, " + _repairs("t") + " t from p), " + _reflow("c", "r") + ", w as (select page_id, " + _whitespace("s") + " s from r) select page_id, cast(length(s) as integer) n_chars, md5(s) digest from w",
     "page_labels": "with " + _P + ", " + _LABELS + " select page_id, label from lb where label <> ''",
-    "strip_running": "with " + _RUNNING + ", d as (select page_id, line_no from x), k as (select l.page_id, string_agg(line, chr(10) order by l.line_no) t from l left join d on d.page_id = l.page_id and d.line_no = l.line_no where d.line_no is null group by 1), u as (select p.page_id, p.t raw, coalesce(k.t, '') t from p left join k using (page_id)), c as (select page_id, " + _repairs("t") + " t from u), " + _reflow("c", "rf") + ", w as (select page_id, " + _whitespace("s") + " s from rf), " + _LABELS + " select page_id, nullif(label, '') label, md5(s) digest from w left join lb using (page_id)",
+    "strip_running": STRIPPED + " select page_id, nullif(label, '') label, md5(s) digest from w left join lb using (page_id)",
     "fix_hyphenation": _D.format(r"regexp_replace(t, '([a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,})', '\1\2', 'g')"),
     "fix_fused_words": _D.format(r"regexp_replace(t, '\b(AUTHORITY|TAXATION|AFFIRMATION|VALID)I\b', '\1 I', 'g')"),
     "rejoin_split": _D.format(_nested("t", X.SPLITS)),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidweave.operators import amendments, chunking, classify, clean, history, indexing, instants, retrieve, routing, tables, trace, validation
+from bidweave.operators import amendments, assembly, chunking, classify, clean, history, indexing, instants, retrieve, routing, tables, trace, validation
 
-_MODULES = (clean, classify, chunking, tables, retrieve, indexing, validation, routing, amendments, trace)
+_MODULES = (clean, classify, assembly, chunking, tables, retrieve, indexing, validation, routing, amendments, trace)
 
 QUERIES = {"p1_found": instants.found, "p6_found": history.found}
 SQL = {"p6_found": history.FOUND_SQL}
