@@ -22,7 +22,8 @@ def addendum_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks of addenda with ``number``, ordered by number and page."""
     own = chunks.where((F.lower(F.coalesce("doc_type", F.lit(""))) == "addendum") | F.lower(F.coalesce("file_name", F.lit(""))).contains("addendum"))
     named = F.regexp_extract(F.lower("file_name"), r"addendum[\s_]*(?:no\.?)?[\s_#]*0*(\d+)", 1).try_cast("int")
-    return own.withColumn("number", F.coalesce("addendum_number", named, F.lit(1)))
+    stated = F.col("addendum_number") if "addendum_number" in chunks.columns else F.lit(None).cast("int")
+    return own.withColumn("number", F.coalesce(stated, named, F.lit(1)))
 
 
 def match_fields(items: DataFrame, known: DataFrame, name: str = "field") -> DataFrame:
@@ -53,8 +54,17 @@ def merged_sources(new: Column, old: Column) -> Column:
     return F.concat(F.array(new), F.filter(F.coalesce(old, F.array().cast(f"array<{SOURCE}>")), lambda s: ~s["file"].eqNullSafe(new["file"])))
 
 
-def propose(chunks: DataFrame, make, fields: list[str]) -> DataFrame:
-    """Proposals of a provider (``reconcile(fields, passages) -> list of dicts``), one call per package and addendum; a failure is a row with ``error``."""
+def _of_addenda(chunks: DataFrame) -> DataFrame:
+    """(bid_id, number, passages): the passages of each addendum in order of pages. An addendum is a document, its passages fit a row."""
+    c = addendum_chunks(chunks).dropDuplicates(["chunk_id"])
+    return c.groupBy("bid_id", "number").agg(F.sort_array(F.collect_list(F.struct("page_number", "chunk_id", "file_name", "text"))).alias("passages"))
+
+
+def propose(chunks: DataFrame, make, fields: list[str], values: DataFrame | None = None) -> DataFrame:
+    """Proposals of a provider (``reconcile(fields, passages) -> list of dicts``), one call per package and addendum; a failure is a row with ``error``.
+
+    The provider is given the package's ``values`` (bid_id, field_name, value) before its addenda, as a dict of all ``fields``.
+    """
     import pandas as pd
 
     def run(batches):
@@ -62,17 +72,61 @@ def propose(chunks: DataFrame, make, fields: list[str]) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
+                held = dict.fromkeys(fields) | {x["field_name"]: x["value"] for x in (r.held if r.held is not None else [])}
                 try:
-                    for k, x in enumerate(model.reconcile(fields, list(r.passages))):
+                    for k, x in enumerate(model.reconcile(held, list(r.passages))):
                         rows.append((r.bid_id, r.number, k, x.get("field"), x.get("new_value"), x.get("quote"), x.get("file_name"), x.get("page_number"), x.get("reason"), None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((r.bid_id, r.number, 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["bid_id", "addendum_number", "ord", "field", "new_value", "quote", "file_name", "page_number", "reason", "error"])
 
-    passages = addendum_chunks(chunks).groupBy("bid_id", "number").agg(F.sort_array(F.collect_list(F.struct("page_number", "chunk_id", "file_name", "text"))).alias("passages"))
+    passages = _of_addenda(chunks)
+    if values is None:
+        passages = passages.withColumn("held", F.lit(None).cast("array<struct<field_name:string,value:string>>"))
+    else:
+        held = values.groupBy("bid_id").agg(F.collect_list(F.struct("field_name", F.col("value").cast("string").alias("value"))).alias("held"))
+        passages = passages.join(held, "bid_id", "left")
     return passages.mapInPandas(run, "bid_id string, addendum_number int, ord int, field string, new_value string, quote string, file_name string, page_number int, reason string, error string")
 
 
+SUMMARY = "bid_id string, number int, file_name string, overview string, changes array<struct<category:string,description:string,quote:string>>, error string"
+
+
+def summaries(chunks: DataFrame, make) -> DataFrame:
+    """(bid_id, number, file_name, overview, changes, error): all that each addendum changes, by a provider (``summarize(number, passages)``); a failure gives no changes and the error."""
+    import pandas as pd
+
+    def run(batches):
+        model = make()
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                passages, error = list(r.passages), None
+                try:
+                    got = model.summarize(int(r.number), passages)
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                    got = {"overview": f"Addendum changes could not be summarized: {e}"}
+                changes = [x if isinstance(x, dict) else {"description": str(x)} for x in got.get("all_changes") or []]
+                changes = [{"category": x.get("category") or x.get("section") or "General", "description": x.get("description") or "", "quote": x.get("quote") or ""} for x in changes]
+                rows.append((r.bid_id, r.number, passages[0]["file_name"], got.get("overview") or "Summary of the addendum's changes.", changes, error))
+            yield pd.DataFrame(rows, columns=["bid_id", "number", "file_name", "overview", "changes", "error"])
+
+    return _of_addenda(chunks).mapInPandas(run, SUMMARY)
+
+
+def summary_text(summary: dict | None, bid_id: str | None, number: int | None) -> str:
+    """Markdown of one addendum's summary."""
+    if summary is None:
+        return "No addendum found." if bid_id is None else f"No addendum documents found for {bid_id}."
+    lines = [f"### Addendum {number} Summary for {bid_id} ({summary['file_name']})", "", f"**Overview:** {summary['overview']}", "", "**Modifications and Clarifications:**"]
+    for n, c in enumerate(summary["changes"], 1):
+        lines.append(f"{n}. **[{c['category']}]** {c['description']}")
+        if c["quote"]:
+            lines.append(f'   - *Contiguous Quote:* "{c["quote"]}"')
+    return "\n".join(lines if summary["changes"] else [*lines, "No explicit modifications detected in this addendum."])
+
+
 #: Topics of questions with the words that a search for them adds.
 TOPICS = [
     (["product tiers", "quantities requested", "scale"], "product tier target quantity requested quantity line items total units"),

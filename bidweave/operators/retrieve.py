@@ -308,6 +308,34 @@ def route_by_sum(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return top_k(per.where("total > 0.1"), 1, "bid_id", score="total").select("query_id", "bid_id", "total")
 
 
+def relevant(target: str = "target_substring", file: str = "expected_file", page: str = "expected_page") -> Column:
+    """Whether a result (text, file_name, page_start, page_end, page_number) is what a benchmark item looks for: its text, either file name in the other, and its page in the range."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    named = low("file_name").contains(low(file)) | low(file).contains(low("file_name"))
+    first = F.coalesce(F.nullif("page_start", F.lit(0)), F.col("page_number"))
+    last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_number"))
+    return F.coalesce(low("text").contains(low(target)) & named & F.col(page).between(first, last), F.lit(False))
+
+
+def findable(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, is_findable): whether any chunk is relevant to an item (query_id, target_substring, expected_file, expected_page).
+
+    Items meet chunks by the expected file and page, so the texts compared are those of one page.
+    """
+    spans = chunks.select("file_name", "page_start", "page_end", "page_number", "text").where("file_name is not null")
+    first = F.coalesce(F.nullif("page_start", F.lit(0)), F.col("page_number"))
+    last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_number"))
+    pages = spans.withColumn("expected_page", F.explode(F.sequence(first, F.greatest(first, last))))
+    own = items.select("query_id", "target_substring", "expected_file", "expected_page")
+    hits = own.join(pages, "expected_page").where(relevant()).select("query_id").distinct().withColumn("is_findable", F.lit(True))
+    return items.select("query_id").distinct().join(hits, "query_id", "left").withColumn("is_findable", F.coalesce("is_findable", F.lit(False)))
+
+
+def report_json(measured: DataFrame, **labels: str) -> DataFrame:
+    """(report): a JSON line per row of metrics, with labels such as the mode."""
+    return measured.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in labels.items()], *[F.col(c) for c in measured.columns])).alias("report"))
+
+
 def metrics(results: DataFrame, relevant: Column, queries: DataFrame) -> DataFrame:
     """Recall at 1, 3 and 5 and mean reciprocal rank over all queries; a query without a relevant result counts 0."""
     best = results.where(relevant).groupBy("query_id").agg(F.min("rank").alias("best"))
@@ -383,6 +411,26 @@ def q_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(best, F.col("file_name") == F.col("own_file"), q)
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items from chunks: of every file whose id is divisible by 50 its first chunk's last 60 characters, every third with a letter put in."""
+    files = table(spark, d, "source_files").where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), "bid_id", "file_name")
+    own = files.join(table(spark, d, "chunks").where("length(text) > 80"), ["bid_id", "file_name"]).groupBy("query_id", "file_name").agg(F.min_by(F.struct("text", "page_number"), "chunk_id").alias("c"))
+    tail = F.substring("c.text", -60, 60)
+    return own.select("query_id", F.when(F.col("query_id") % 3 == 0, F.concat(tail, F.lit("#"))).otherwise(tail).alias("target_substring"), F.col("file_name").alias("expected_file"), F.col("c.page_number").alias("expected_page"))
+
+
+def q_findable(spark: SparkSession, d: str) -> DataFrame:
+    return findable(_items(spark, d), table(spark, d, "chunks"))
+
+
+def q_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """The items searched by their own text, judged by text, file and page."""
+    items, chunks = _items(spark, d), table(spark, d, "chunks")
+    best = top_k(bm25_scores(build_index(chunks), items.select("query_id", F.col("target_substring").alias("query"))), 5)
+    found = best.join(chunks.select("chunk_id", "text", "file_name", "page_start", "page_end", "page_number").dropDuplicates(["chunk_id"]), "chunk_id").join(items, "query_id")
+    return metrics(found, relevant(), items)
+
+
 def q_dense(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     return dense_scores(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "rank", "vec_id", "score")
@@ -469,6 +517,10 @@ def _vectors(source: str, key: str, text: str, name: str) -> str:
 {name} as (select {key}, p, cast(cast(cast(n as float) / cast(sqrt(sum(n * n) over (partition by {key})) as float) as float) as double) v from {name}n where n <> 0)"""
 
 
+_ITEMS = """fi as (select f.file_id query_id, f.file_name, arg_min({'t': text, 'p': page_number}, chunk_id) c from source_files f join chunks c using (bid_id, file_name) where f.file_id % 50 = 0 and length(text) > 80 group by 1, 2),
+it as (select query_id, right(c.t, 60) || case when query_id % 3 = 0 then '#' else '' end target_substring, file_name expected_file, c.p expected_page from fi)"""
+_RELEVANT = "contains(lower(coalesce(c.text, '')), lower(target_substring)) and (contains(lower(coalesce(c.file_name, '')), lower(expected_file)) or contains(lower(expected_file), lower(coalesce(c.file_name, '')))) and coalesce(expected_page between coalesce(nullif(c.page_start, 0), c.page_number) and coalesce(nullif(c.page_end, 0), c.page_number), false)"
+
 _CHUNK_META = "m as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(doc_type) doc_type, any_value(is_table) is_table from chunks group by 1)"
 _RRF = (
     "with " + _sql() + "," + _sql("context_header", "context_header is not null", "_h") + """,
@@ -491,6 +543,8 @@ QUERIES = {
     "route_by_score_sum": q_route,
     "retrieval_metrics": q_metrics,
     "dense_topk": q_dense,
+    "benchmark_items": q_findable,
+    "benchmark_metrics": q_benchmark,
     "query_expansion": q_expand,
     "hybrid_search": q_search,
 }
@@ -528,6 +582,13 @@ coalesce(file_name, '') || ' (' || coalesce('p.' || ps || case when pe <> ps the
 al as (select chunk_id from chunks group by 1 having lower(coalesce(any_value(doc_type), '')) <> 'addendum'),
 sc as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from (select query_id, term, count(*) qtf from qk group by 1, 2) join ts using (term) join po using (term) join dl using (chunk_id), cs group by 1, 2)
 select field_name, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) rank, chunk_id, score from sc join al using (chunk_id) join q using (query_id) where score > 0 qualify rank <= 5""",
+    "benchmark_items": f"with {_ITEMS} select query_id, coalesce(bool_or({_RELEVANT}), false) is_findable from it, chunks c group by 1",
+    "benchmark_metrics": "with " + _T.replace("{text}", "text").replace("{where}", "true") + f", {_ITEMS}, " + _terms_of("it", "query_id", "target_substring", "qk") + f""",
+sc as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score from (select query_id, term, count(*) qtf from qk group by 1, 2) join ts using (term) join po using (term) join dl using (chunk_id), cs group by 1, 2),
+b as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) rank from sc where score > 0 qualify rank <= 5),
+c as (select chunk_id, any_value(text) as text, any_value(file_name) file_name, any_value(page_start) page_start, any_value(page_end) page_end, any_value(page_number) page_number from chunks group by 1),
+r as (select it.query_id, min(rank) filter (where {_RELEVANT}) best from it left join b using (query_id) left join c using (chunk_id) group by 1)
+select count(*) n_queries, round(avg(case when best <= 1 then 1.0 else 0.0 end), 4) recall_1, round(avg(case when best <= 3 then 1.0 else 0.0 end), 4) recall_3, round(avg(case when best <= 5 then 1.0 else 0.0 end), 4) recall_5, round(avg(coalesce(1.0 / best, 0.0)), 4) mrr from r""",
     "dense_topk": """with q as (select vec_id query_id, embedding e from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, round(list_dot_product(cast(e as double[]), cast(embedding as double[])), 6) score from q join embeddings on vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)

@@ -90,6 +90,55 @@ def route_all(questions: DataFrame, scores: DataFrame, chunks: DataFrame) -> Dat
     return route(questions, scores, best.select(F.col("query_id").alias("question_id"), "bid_id"))
 
 
+def cover_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks that may tell what a package is: those of first pages, portal pages and specifications."""
+    return chunks.where((F.col("page_number") == 1) | F.col("doc_type").isin("bid_page", "specs"))
+
+
+#: Phrases that ask for an addendum's summary.
+SUMMARY_WORDS = ["what changed", "changes in", "changed in", "summary of addendum", "modifications in"]
+#: Names of agencies in running text, and how much of a covering text is read for them.
+AGENCY = r"([A-Z][A-Za-z0-9&,\.\s]{3,40}(?:School District|ISD|Treasurer|Department|State of|County|City|Commission))"
+
+
+def addendum_asked(question: Column | str) -> Column:
+    """The number of the addendum whose summary a question asks for, or null."""
+    q = F.lower(F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit("")))
+    number = F.regexp_extract(q, r"addendum\s*(?:no\.?|#)?\s*(\d+)", 1)
+    return F.when((number != "") & X.contains_any(q, SUMMARY_WORDS), number.try_cast("int"))
+
+
+def agencies(chunks: DataFrame) -> DataFrame:
+    """Entries (bid_id, kind, value): names of agencies in the covering texts of packages without a catalogue."""
+    found = cover_chunks(chunks).where("bid_id is not null").select("bid_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(AGENCY), F.lit(1)))).alias("value"))
+    return found.select("bid_id", F.lit("agency").alias("kind"), F.lower(F.trim("value")).alias("value")).distinct()
+
+
+def known_values(results: DataFrame) -> DataFrame:
+    """Entries (bid_id, kind, value) of saved results (bid_id, field_name, value): number, agency and title."""
+    kind = F.when(F.lower(F.trim("field_name")) == "bid number", "number").when(F.lower(F.trim("field_name")) == "company_name", "agency").when(F.lower(F.trim("field_name")) == "title", "title")
+    return results.select("bid_id", kind.alias("kind"), F.lower(F.trim("value")).alias("value")).where("kind is not null and bid_id is not null and value <> ''").distinct()
+
+
+def compared(scores: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(question_id, bid_id): the indexed packages that a comparison is about: those its question names if they are two or more, else one row without a package, which stands for all."""
+    named = scores.where("score > 0").join(indexed.select("bid_id").distinct(), "bid_id", "left_semi").select("question_id", "bid_id")
+    enough = named.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("question_id")
+    rest = scores.select("question_id").distinct().join(enough, "question_id", "left_anti").withColumn("bid_id", F.lit(None).cast("string"))
+    return named.join(enough, "question_id", "left_semi").unionByName(rest)
+
+
+#: Packages that come first in lists.
+FIRST_BIDS = ["Bid1", "Bid2", "Bid3"]
+
+
+def bid_order(bid: Column | str = "bid_id") -> list[Column]:
+    """Columns to order packages by: the first ones, then by name."""
+    c = F.col(bid) if isinstance(bid, str) else bid
+    place = F.array_position(F.array(*map(F.lit, FIRST_BIDS)), c)
+    return [F.when(place > 0, place).otherwise(len(FIRST_BIDS) + 1), c]
+
+
 def contact_scan(chunks: DataFrame, per_package: int = 10) -> DataFrame:
     """The chunks of each package that hold contacts: 2 for an address, 1 for a phone, 2 for a role, a half per word."""
     t = F.lower(F.coalesce("text", F.lit("")))
@@ -199,9 +248,27 @@ def q_differences(spark: SparkSession, d: str) -> DataFrame:
 def q_comparing(spark: SparkSession, d: str) -> DataFrame:
     """Questions in texts that compare packages or ask for an addendum's summary."""
     t = F.lower(F.coalesce("text", F.lit("")))
-    number = F.regexp_extract(t, r"addendum\s*(?:no\.?|#)?\s*(\d+)", 1)
-    summary = (number != "") & X.contains_any(t, ["summar", "what changed", "what does", "changes in", "explain"])
-    return table(spark, d, "documents").select("doc_id", X.is_comparison("text").alias("compares"), summary.alias("asks_addendum"))
+    return table(spark, d, "documents").select("doc_id", X.is_comparison("text").alias("compares"), addendum_asked(t).alias("asks_addendum"))
+
+
+def q_cover(spark: SparkSession, d: str) -> DataFrame:
+    return cover_chunks(table(spark, d, "chunks")).groupBy("bid_id").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+
+
+def q_agencies(spark: SparkSession, d: str) -> DataFrame:
+    return agencies(table(spark, d, "chunks")).unionByName(known_values(_values(spark, d)))
+
+
+def q_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every package in lists."""
+    packages = table(spark, d, "packages").select("bid_id")
+    return packages.select("bid_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*bid_order())).alias("place"))
+
+
+def q_compared(spark: SparkSession, d: str) -> DataFrame:
+    q, chunks = _questions(spark, d), _chunks(spark, d)
+    scores = score_packages(q, catalogue(chunks, table(spark, d, "packages")))
+    return compared(scores, chunks.where("bid_id is not null")).groupBy("question_id").agg(F.count("bid_id").alias("n_named"), F.min("bid_id").alias("first_bid"))
 
 
 _C = "c as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(doc_type) doc_type, any_value(coalesce(text, '')) t from chunks group by 1), l as (select *, lower(t) x from c where lower(coalesce(doc_type, '')) <> 'addendum')"
@@ -230,7 +297,7 @@ b8 as (select query_id, chunk_id, score from sc qualify row_number() over (parti
 fb as (select query_id, bid_id from (select query_id, bid_id, round(sum(score), 4) total from b8 join m using (chunk_id) where bid_id is not null group by 1, 2) where total > 0.1 qualify row_number() over (partition by query_id order by total desc, bid_id) = 1)
 select qq.query_id question_id, case when regexp_matches(lower(coalesce(qx, '')), '{"|".join(X.COMPARING)}') or regexp_matches(lower(coalesce(qx, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') then 'COMPARISON' else coalesce(be.bid_id, fb.bid_id) end target from qq left join be using (query_id) left join fb using (query_id)"""
 
-QUERIES = {"bid_catalogue": q_catalogue, "route_questions": q_route, "contact_scan": q_contacts, "documentation_scan": q_documents, "evidence_union": q_evidence, "comparison_matrix": q_matrix, "field_differences": q_differences, "question_kinds": q_comparing}
+QUERIES = {"bid_catalogue": q_catalogue, "route_questions": q_route, "contact_scan": q_contacts, "documentation_scan": q_documents, "evidence_union": q_evidence, "comparison_matrix": q_matrix, "field_differences": q_differences, "question_kinds": q_comparing, "cover_chunks": q_cover, "known_agencies": q_agencies, "bid_order": q_order, "compared_packages": q_compared}
 SQL = {
     "bid_catalogue": f"with {_CAT} select bid_id, kind, count(*) n from en group by 1, 2",
     "route_questions": _ROUTE,
@@ -239,5 +306,12 @@ SQL = {
     "evidence_union": f"with {_C}, {_CONTACT}, {_DOCS}, a as ({_RANKED.format('ct', 10)}), b as ({_RANKED.format('dt', 12)}) select bid_id, chunk_id, 0 src from a union all select bid_id, chunk_id, 1 from b where not exists (select 1 from a where a.chunk_id = b.chunk_id and a.bid_id is not distinct from b.bid_id)",
     "comparison_matrix": f"with {_V} select p.bid_id, " + ", ".join(f"coalesce(max(case when k = '{f.lower()}' then value end), 'Not found') \"{f.lower().replace(' ', '_')}\"" for f, _, _ in FIELDS) + " from packages p left join v using (bid_id) group by 1",
     "field_differences": f"with {_V}, n as (select count(*) n from packages), f(k) as (values " + ", ".join(f"('{f.lower()}')" for f, _, _ in FIELDS) + "), h as (select f.k, count(distinct value) d, count(value) c from f left join v using (k) group by 1) select k field_name, n n_packages, d + case when c < n then 1 else 0 end n_values, d + case when c < n then 1 else 0 end = 1 identical from h, n",
-    "question_kinds": r"select doc_id, regexp_matches(lower(coalesce(text, '')), '" + "|".join(X.COMPARING) + r"') or regexp_matches(lower(coalesce(text, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') compares, regexp_matches(lower(coalesce(text, '')), 'addendum\s*(?:no\.?|#)?\s*(\d+)') and regexp_matches(lower(coalesce(text, '')), 'summar|what changed|what does|changes in|explain') asks_addendum from documents",
+    "question_kinds": r"select doc_id, regexp_matches(lower(coalesce(text, '')), '" + "|".join(X.COMPARING) + r"') or regexp_matches(lower(coalesce(text, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') compares, case when regexp_matches(lower(coalesce(text, '')), '" + "|".join(SUMMARY_WORDS) + r"') then try_cast(nullif(regexp_extract(lower(coalesce(text, '')), 'addendum\s*(?:no\.?|#)?\s*(\d+)', 1), '') as integer) end asks_addendum from documents",
+    "cover_chunks": "select bid_id, count(distinct chunk_id) n_chunks from chunks where page_number = 1 or doc_type in ('bid_page', 'specs') group by 1",
+    "known_agencies": f"with {_V} select distinct bid_id, 'agency' kind, lower(trim(x)) as value from (select bid_id, unnest(regexp_extract_all(coalesce(text, ''), '([A-Z][A-Za-z0-9&,\\.\\s]{{3,40}}(?:School District|ISD|Treasurer|Department|State of|County|City|Commission))', 1)) x from chunks where (page_number = 1 or doc_type in ('bid_page', 'specs')) and bid_id is not null) union all select distinct bid_id, case k when 'bid number' then 'number' when 'company_name' then 'agency' else 'title' end, lower(trim(value)) from v where k in ('bid number', 'company_name', 'title') and bid_id is not null and lower(trim(value)) <> ''",
+    "bid_order": "select bid_id, cast(row_number() over (order by case bid_id when 'Bid1' then 1 when 'Bid2' then 2 when 'Bid3' then 3 else 4 end, bid_id) as integer) place from packages",
+    "compared_packages": _ROUTE.split("be as (")[0] + """nm as (select query_id, bid_id from (select query_id, bid_id, sum(w) w from al group by 1, 2) where w > 0 and bid_id in (select bid_id from cc)),
+en2 as (select query_id from nm group by 1 having count(*) >= 2),
+o as (select * from nm where query_id in (select query_id from en2) union all select query_id, null from (select distinct query_id from al where query_id not in (select query_id from en2)))
+select query_id question_id, count(bid_id) n_named, min(bid_id) first_bid from o group by 1""",
 }

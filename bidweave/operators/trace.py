@@ -25,6 +25,10 @@ class Tracer:
     def step(self, agent: str, **given: object) -> _Step:
         return _Step(self, agent, given)
 
+    def save(self, spark: SparkSession, path: str, bid_id: str | None = None) -> None:
+        """Adds the steps to the JSON trace at ``path``, under the package's folder if one is named."""
+        self.frame(spark).coalesce(1).write.mode("append").json(f"{path}/bid_id={bid_id}" if bid_id else path)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         cols = [c.split(" ")[0] for c in ("step_id", "timestamp", "agent", "input", "tool_calls", "output", "tokens", "prompt_tokens", "completion_tokens", "latency_ms")]
         return spark.createDataFrame([tuple(s[c] for c in cols) for s in self.steps], SCHEMA)

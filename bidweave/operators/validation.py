@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bidweave.config import FIELDS, field_definitions
 from bidweave.functions import text as X
 from bidweave.operators.history import numbered
+from bidweave.plans.providers import LEAD
 from bidweave.session import folded, stage, table
 
 #: Dates that a date field may state.
@@ -75,10 +76,6 @@ def ground(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     return o.join(matched, "output_id", "left").withColumn("is_grounded", F.col("tier").isNotNull())
 
 
-#: How many characters of a value corroborate it in a passage.
-LEAD = 20
-
-
 def lead(value: Column | str) -> Column:
     return F.substring(F.lower(F.trim(value)), 1, LEAD)
 

@@ -11,8 +11,9 @@ from bidweave.config import SETTINGS, field_definitions
 from bidweave.operators.retrieve import SparseIndex, build_index, search_within, shown_score, vectors_of
 from bidweave.operators.routing import contact_scan, document_scan, evidence
 from bidweave.operators.trace import Tracer
-from bidweave.operators.validation import completeness, supersede, validate
-from bidweave.plans.providers import PatternExtractor, extract
+from bidweave.operators.amendments import SOURCE, accept, merged_sources, propose
+from bidweave.operators.validation import completeness, finalize, supersede, validate
+from bidweave.plans.providers import PatternExtractor, PatternReconciler, extract
 from bidweave.session import stage
 
 PACKAGE = ["bid_id", "field_name"]
@@ -47,8 +48,12 @@ def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int
     return wanted.join(rows, PACKAGE, "left")
 
 
-def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFrame | None = None, changes: DataFrame | None = None, files: DataFrame | None = None, retries: int = SETTINGS.max_retries) -> Result:
-    """Every step is a plan over all packages; between the bounded retries results are written to cut the lineage."""
+def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFrame | None = None, changes: DataFrame | None = None, files: DataFrame | None = None, retries: int = SETTINGS.max_retries, make_reconciler=PatternReconciler) -> Result:
+    """Every step is a plan over all packages; between the bounded retries results are written to cut the lineage.
+
+    Amendments are the recorded ``changes`` where they are given, else those that ``make_reconciler`` proposes and the addenda's
+    quotes and the validator's gate accept; an amended field's source is the addendum, before its older ones.
+    """
     spark, tracer = chunks.sparkSession, Tracer()
     definitions = definitions if definitions is not None else field_definitions(spark)
     with tracer.step("retrieval"):
@@ -57,6 +62,7 @@ def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFra
     with tracer.step("extraction"):
         found = stage(extract(passages, make_extractor))
     known = chunks.select("chunk_id", "bid_id", "file_name", "page_number", "text")
+    names = [r[0] for r in definitions.select("field_name").collect()]
 
     def confirmed(x: DataFrame) -> DataFrame:
         """Fields that weren't found are searched again by other hints; an error there counts, it isn't absence."""
@@ -83,11 +89,24 @@ def run(chunks: DataFrame, make_extractor=PatternExtractor, definitions: DataFra
             again = confirmed(stage(extract(gather(chunks, definitions, index, 8, failed, vectors), make_extractor)))
             found = stage(found.join(failed, PACKAGE, "left_anti").unionByName(again))
             checked = judged(found)
-    accepted = None
-    if changes is not None and files is not None:
-        with tracer.step("reconciliation"):
+    with tracer.step("reconciliation"):
+        if changes is not None and files is not None:
             accepted = stage(supersede(changes, files))
-            last = accepted.where("is_final").select("bid_id", F.col("field").alias("__f"), F.col("new_value").alias("__v"))
-            checked = checked.withColumn("__f", F.lower(F.trim("field_name"))).join(last, ["bid_id", "__f"], "left")
-            checked = checked.withColumns({"value": F.coalesce("__v", "value"), "amended": F.col("__v").isNotNull()}).drop("__f", "__v")
-    return Result(checked, completeness(checked), accepted, tracer)
+            last = accepted.where("is_final").select("bid_id", F.col("field").alias("__f"), F.col("new_value").alias("__v"), F.lit(None).cast(SOURCE).alias("__s"), F.lit(None).cast("double").alias("__c"))
+        else:
+            values = checked.select("bid_id", "field_name", "value")
+            proposed = stage(propose(chunks, make_reconciler, names, values))
+            accepted = stage(accept(proposed.where("error is null").drop("error"), chunks, definitions))
+            source = F.struct(F.col("file_name").alias("file"), F.col("page_number").alias("page"), "quote", "chunk_id")
+            last = accepted.where("is_final").select("bid_id", F.lower(F.trim("field")).alias("__f"), F.col("new_value").alias("__v"), source.cast(SOURCE).alias("__s"), F.col("confidence").alias("__c"))
+        checked = checked.withColumn("__f", F.lower(F.trim("field_name"))).join(last, ["bid_id", "__f"], "left")
+        amended = F.col("__v").isNotNull()
+        sources = F.when(amended & F.col("__s").isNotNull(), merged_sources(F.col("__s"), F.col("sources"))).otherwise(F.col("sources"))
+        proven = amended & F.col("__s").isNotNull()
+        kept = {"value": F.coalesce("__v", "value"), "amended": amended, "sources": sources, "computed_confidence": F.coalesce("__c", "computed_confidence")}
+        # An amendment that its addendum proves has passed; it is neither absent nor failed any more.
+        kept |= {"bucket": F.when(proven, "passed").otherwise(F.col("bucket")), "status": F.when(proven, "FOUND").otherwise(F.col("status")), "is_valid": F.col("is_valid") | proven, "issue": F.when(~proven, F.col("issue"))}
+        checked = stage(checked.withColumns(kept).drop("__f", "__v", "__s", "__c"))
+    with tracer.step("finalizer"):
+        final = finalize(checked.withColumn("sources", F.when(F.col("amended") & (F.coalesce(F.size("sources"), F.lit(-1)) <= 0), F.array(F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("quote"), F.lit(None).cast("string").alias("chunk_id")))).otherwise(F.col("sources"))), "computed_confidence")
+    return Result(final, completeness(checked), accepted, tracer)

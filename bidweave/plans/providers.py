@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: how many characters of a value corroborate it in a passage.
+LEAD = 20
+
+
 class Transient(Exception):
     """A failure that may pass; ``status`` is the service's code, 0 for the network."""
 
@@ -73,6 +78,101 @@ class PatternExtractor:
         return {"value": None, "status": "NOT_FOUND", "quote": None, "file": None, "page": None, "chunk_id": None}
 
 
+#: The keys of a structured reply and their types.
+REPLY = {"value": (str, type(None)), "status": (str,), "reason": (str, type(None)), "quote": (str, type(None)), "file_name": (str, type(None)), "page_number": (int, type(None)), "chunk_id": (str, type(None))}
+
+
+def parse_reply(text: str | None) -> dict | None:
+    """A structured reply, also inside a code fence or other words; None where it isn't one."""
+    raw = re.sub(r"^\s*```[a-z]*\s*|\s*```\s*$", "", text or "")
+    try:
+        got = json.loads(raw)
+    except ValueError:
+        inner = re.search(r"\{.*\}", raw, re.DOTALL)
+        try:
+            got = json.loads(inner[0]) if inner else None
+        except ValueError:
+            return None
+    if not isinstance(got, dict) or got.get("status") not in ("FOUND", "NOT_FOUND"):
+        return None
+    got = {k: got.get(k) for k in REPLY}
+    if isinstance(got["page_number"], str) and got["page_number"].isdigit():
+        got["page_number"] = int(got["page_number"])
+    return got if all(isinstance(got[k], kinds) for k, kinds in REPLY.items()) else None
+
+
+def repair_prompt(prompt: str, reply: str) -> str:
+    return f"The reply below isn't valid JSON with the keys {', '.join(REPLY)}.\n{reply}\n\nAnswer again, with the JSON only.\n\n{prompt}"
+
+
+class ReplyExtractor:
+    """Fields by a language model: ``call(prompt)`` gives its text; a reply that isn't valid is asked for once more."""
+
+    def __init__(self, call: Callable[[str], str], prompt: Callable[[str, list[dict]], str]):
+        self.call, self.prompt = call, prompt
+
+    def extract(self, field: str, passages: list[dict]) -> dict:
+        asked = self.prompt(field, passages)
+        reply = self.call(asked)
+        got = parse_reply(reply) or parse_reply(self.call(repair_prompt(asked, reply)))
+        if got is None or got["status"] != "FOUND" or not got["value"] or not got["quote"] or not got["file_name"]:
+            return {"value": None, "status": "NOT_FOUND", "quote": None, "file": None, "page": None, "chunk_id": None}
+        return {"value": got["value"], "status": "FOUND", "quote": got["quote"], "file": got["file_name"], "page": got["page_number"], "chunk_id": got["chunk_id"]}
+
+
+class Reconciler(Protocol):
+    def reconcile(self, fields: dict[str, str | None], passages: list[dict]) -> list[dict]: ...
+
+
+class Summarizer(Protocol):
+    def summarize(self, number: int | None, passages: list[dict]) -> dict: ...
+
+
+class Answerer(Protocol):
+    """May also have ``synthesize(values)``: for a comparison, a dict of field to summary."""
+
+    def answer(self, question: str, passages: list[dict]) -> dict: ...
+
+
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
+_CHANGES = re.compile(r"(?i)\b(?:chang|amend|extend|revis|replac|delet|clarif|supersed|new|now)\w*")
+
+
+class PatternReconciler:
+    """Changes written as ``field is changed to value`` or ``new field: value``."""
+
+    def reconcile(self, fields: dict[str, str | None], passages: list[dict]) -> list[dict]:
+        out = []
+        for p in passages:
+            for f in fields:
+                m = re.search(rf"(?im)^.*\b(?:new\s+{re.escape(f)}\s*(?:is|:)|{re.escape(f)}\s+(?:is|has been)\s+(?:changed|extended|revised)\s+to)\s*:?\s*([^\n]+?)\.?$", p["text"] or "")
+                if m:
+                    out.append({"field": f, "new_value": m[1].strip(), "quote": m[0].strip(), "file_name": p["file_name"], "page_number": p["page_number"], "reason": None})
+        return out
+
+
+class PatternSummarizer:
+    """The sentences of an addendum that speak of changes."""
+
+    def summarize(self, number: int | None, passages: list[dict]) -> dict:
+        found = [(s.strip(), p) for p in passages for s in _SENTENCE.findall((p["text"] or "").partition("\n")[2] or p["text"] or "") if _CHANGES.search(s)]
+        return {"overview": f"{len(found)} statements of changes.", "all_changes": [{"category": "General", "description": s, "quote": s} for s, _ in found]}
+
+
+class PatternAnswerer:
+    """The sentence of the passages that has most words of the question."""
+
+    def answer(self, question: str, passages: list[dict]) -> dict:
+        asked = set(re.findall(r"[a-z0-9]{3,}", question.lower()))
+        best = max(((len(asked & set(re.findall(r"[a-z0-9]{3,}", s.lower()))), -n, s.strip(), p) for n, p in enumerate(passages) for s in _SENTENCE.findall(p["text"] or "")), key=lambda x: x[:2], default=(0,))
+        if not best[0]:
+            return {"answer": NOT_FOUND, "citations": []}
+        return {"answer": best[2], "citations": [{"file": best[3]["file_name"], "page": best[3]["page_number"], "quote": best[2]}]}
+
+
+NOT_FOUND = "Not found in documents."
+
+
 def wait_for(error: Transient, attempt: int) -> float:
     """Seconds before the next attempt."""
     if error.status == 429:
@@ -120,7 +220,10 @@ def embed(df: DataFrame, text: str = "text", make: Callable[[], Embedder] = Hash
 
 
 def extract(evidence: DataFrame, make: Callable[[], Extractor] = PatternExtractor, per_minute: float | None = None) -> DataFrame:
-    """(bid_id, field_name, value, status, sources, error, retrieval_score, retrieval_rank) from evidence rows (bid_id, field_name, passages); no evidence is NOT_FOUND without a call."""
+    """(bid_id, field_name, value, status, sources, error, retrieval_score, retrieval_rank, corroborated) from evidence rows (bid_id, field_name, passages); no evidence is NOT_FOUND without a call.
+
+    ``corroborated`` is the number of the passages with the start of the value.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, limit = make(), Limiter(per_minute) if per_minute else None
@@ -135,8 +238,10 @@ def extract(evidence: DataFrame, make: Callable[[], Extractor] = PatternExtracto
                 if x["status"] == "FOUND" and not src:
                     x["value"], x["status"] = None, "NOT_FOUND"  # a value without a citation is none
                 cited = next(((p.get("score"), n) for n, p in enumerate(passages) if src and p["chunk_id"] == x.get("chunk_id")), (None, None))
-                rows.append((r.bid_id, r.field_name, x["value"], x["status"], src, x.get("error"), *cited))
-            out = pd.DataFrame(rows, columns=["bid_id", "field_name", "value", "status", "sources", "error", "retrieval_score", "retrieval_rank"])
+                start = (x["value"] or "").strip(" ").lower()[:LEAD]
+                agree = sum(start in (p["text"] or "").lower() for p in passages) if start else 0
+                rows.append((r.bid_id, r.field_name, x["value"], x["status"], src, x.get("error"), *cited, agree))
+            out = pd.DataFrame(rows, columns=["bid_id", "field_name", "value", "status", "sources", "error", "retrieval_score", "retrieval_rank", "corroborated"])
             yield out.astype({"retrieval_score": "float64", "retrieval_rank": "Int32"})
 
-    return evidence.mapInPandas(run, "bid_id string, field_name string, value string, status string, sources array<struct<file:string,page:int,quote:string,chunk_id:string>>, error string, retrieval_score double, retrieval_rank int")
+    return evidence.mapInPandas(run, "bid_id string, field_name string, value string, status string, sources array<struct<file:string,page:int,quote:string,chunk_id:string>>, error string, retrieval_score double, retrieval_rank int, corroborated long")

@@ -20,7 +20,7 @@ _MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 #: Labels of the two dates, by priority.
 PUBLISHED = ["Publication", "Publication Date", "Published", "Posted Date", "Issue Date"]
 CLOSING = ["Closing Date", "Due Date", "Bid Due Date", "Close Date"]
-SCHEMA = "text string, pairs map<string,string>, tables array<string>, contact string, published_date string, closing_date string, error string"
+SCHEMA = "text string, sections string, pairs map<string,string>, tables array<string>, contact string, published_date string, closing_date string, error string"
 
 
 class Node:
@@ -170,8 +170,27 @@ def scope_items(text: str) -> list[str]:
     return out
 
 
+#: The sections of an assembled page, and the keys whose value is its scope.
+DETAILS, SCOPE, ITEMS = "### Portal Bid Details & Schedule", "### Scope & Description", "### Portal Specifications & Line Items"
+SCOPE_KEYS = ["Description", "Scope of Work"]
+
+
+def sections(root: Node, pairs: dict[str, str], tables: list[str]) -> str:
+    """A page in labeled sections: its pairs as a list, its scope (else the text of an element whose class names a description), its tables."""
+    low = {k.lower(): v for k, v in pairs.items()}
+    scope = next((low[k.lower()] for k in SCOPE_KEYS if low.get(k.lower())), None)
+    if not scope:
+        scope = next((n.text() for n in root.walk() if "description" in n.attrs.get("class", "").lower() and n.text()), None)
+    out = ["\n".join([DETAILS, *(f"- **{k}**: {v}" for k, v in pairs.items() if k not in SCOPE_KEYS)])]
+    if scope:
+        out.append(SCOPE + "\n" + "\n".join(scope_items(scope)))
+    if tables:
+        out.append("\n\n".join([ITEMS, *tables]))
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(out)).strip()
+
+
 def parse(html: str | None) -> dict:
-    empty = {"text": "", "pairs": {}, "tables": [], "contact": "", "published_date": None, "closing_date": None, "error": None}
+    empty = {"text": "", "sections": "", "pairs": {}, "tables": [], "contact": "", "published_date": None, "closing_date": None, "error": None}
     if not html:
         return empty
     try:
@@ -182,7 +201,7 @@ def parse(html: str | None) -> dict:
         who = contact(root, pairs)
         kept = {k: v for k, v in pairs.items() if k.lower() not in {n.lower() for n in PUBLISHED + CLOSING} and (not who or (k not in who and v not in who))}
         tables = [t for n in root.walk() if n.tag == "table" and (t := table_markdown(n))]
-        return empty | {"text": root.text("\n"), "pairs": kept, "tables": tables, "contact": who, "published_date": pick(PUBLISHED), "closing_date": pick(CLOSING)}
+        return empty | {"text": root.text("\n"), "sections": sections(root, ({"Contact Info": who} if who else {}) | kept, tables), "pairs": kept, "tables": tables, "contact": who, "published_date": pick(PUBLISHED), "closing_date": pick(CLOSING)}
     except Exception as e:  # noqa: BLE001
         return empty | {"error": f"{type(e).__name__}: {e}"}
 
