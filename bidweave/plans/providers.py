@@ -135,6 +135,7 @@ class Answerer(Protocol):
 
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
+_ASKING = {"the", "what", "which", "who", "when", "where", "how", "are", "was", "for", "and", "this", "that", "with", "does", "did", "has", "have"}
 _CHANGES = re.compile(r"(?i)\b(?:chang|amend|extend|revis|replac|delet|clarif|supersed|new|now)\w*")
 
 
@@ -163,7 +164,7 @@ class PatternAnswerer:
     """The sentence of the passages that has most words of the question."""
 
     def answer(self, question: str, passages: list[dict]) -> dict:
-        asked = set(re.findall(r"[a-z0-9]{3,}", question.lower()))
+        asked = set(re.findall(r"[a-z0-9]{3,}", question.lower())) - _ASKING
         best = max(((len(asked & set(re.findall(r"[a-z0-9]{3,}", s.lower()))), -n, s.strip(), p) for n, p in enumerate(passages) for s in _SENTENCE.findall(p["text"] or "")), key=lambda x: x[:2], default=(0,))
         if not best[0]:
             return {"answer": NOT_FOUND, "citations": []}

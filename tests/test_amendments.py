@@ -9,16 +9,17 @@ PROPOSED = "bid_id string, addendum_number int, ord int, field string, new_value
 
 def test_accept(spark):
     rows = [
-        ("B", 2, 1, "due date", "May 12", "due date is now May 12", None, None, None),
-        ("B", 1, 1, "Due Date", "May 9", "due date is now may 9", None, None, None),
+        ("B", 2, 1, "due date", "May 12, 2025", "due date is now May 12", None, None, None),
+        ("B", 1, 1, "Due Date", "May 9, 2025", "due date is now may 9", None, None, None),
         ("B", 1, 2, "Due Date", "May 1", "made up", None, None, None),
+        ("B", 1, 6, "Due Date", "soon", "due date", None, None, None),
         ("B", 1, 3, None, "x", "due date", None, None, None),
         ("B", 1, 4, "Unknown", "x", "due date", None, None, None),
         ("B", 1, 5, "Due Date", " ", "due date", None, None, None),
     ]
     known = spark.createDataFrame([("Due Date",), ("Title",)], "field_name string")
     got = A.accept(spark.createDataFrame(rows, PROPOSED), spark.createDataFrame(CHUNKS, SCHEMA), known).orderBy("number").collect()
-    assert [(r.number, r.new_value, r.old_value, r.is_final, r.chunk_id) for r in got] == [(1, "May 9", None, False, "c1"), (2, "May 12", "May 9", True, "c2")]
+    assert [(r.number, r.new_value, r.old_value, r.is_final, r.chunk_id) for r in got] == [(1, "May 9, 2025", None, False, "c1"), (2, "May 12, 2025", "May 9, 2025", True, "c2")]
     assert 0.8 < got[0].confidence <= 0.98 and got[0].field == got[1].field == "Due Date"
 
 
@@ -34,6 +35,24 @@ def test_propose(spark):
     assert got[1].new_value == "May 9" and got[2].error == "RuntimeError: down"
 
 
+class Writer:
+    def summarize(self, number, passages):
+        if number == 2:
+            raise RuntimeError("down")
+        return {"overview": "", "all_changes": [{"section": "Schedule", "description": "later", "quote": "May 9"}, "other"]}
+
+
+def test_summaries(spark):
+    chunks = spark.createDataFrame(CHUNKS, SCHEMA)
+    got = {r.number: r.asDict(recursive=True) for r in A.summaries(chunks, Writer).collect()}
+    assert got[1]["overview"] and [(c["category"], c["quote"]) for c in got[1]["changes"]] == [("Schedule", "May 9"), ("General", "")]
+    assert got[2]["error"] == "RuntimeError: down" and got[2]["changes"] == []
+    text = A.summary_text(got[1], "B", 1)
+    assert text.startswith("### Addendum 1 Summary for B (Addendum 1.pdf)") and '1. **[Schedule]** later' in text
+    assert A.summary_text(None, None, 3) == "No addendum found." and "No explicit" in A.summary_text(got[2], "B", 2)
+    assert A.summaries(chunks.limit(0), Writer).collect() == []
+
+
 def test_small_parts(spark):
     df = spark.createDataFrame([("[Bid1] Big File.pdf", "Which forms?", 0.4)], "file_name string, question string, score double")
     on, strong = A.shown("dense_only")

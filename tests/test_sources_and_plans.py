@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidweave import api
-from bidweave.operators import retrieve
+from bidweave.operators import assembly, chunking, indexing, retrieve, routing, trace, validation
 from bidweave.plans import pipeline, providers
-from bidweave.sources import files, html
+from bidweave.sources import files, html, pdf
 from bidweave.streaming import index_stream
 
 ROOT = Path(__file__).parents[1]
@@ -107,7 +107,7 @@ def test_facade(spark):
     chunks = spark.createDataFrame(CHUNKS, SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string"), "addendum_number": F.lit(None).cast("int"), "is_table": F.lit(False)})
     packages = spark.createDataFrame([("Bid1", "RFP-1-23", "Oak Desks", "Oak County", 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
     row = api.ask(spark, chunks, packages, "title of RFP-1-23").first()
-    assert row.routed_bid == "Bid1" and row.bid_id == "Bid1" and api.health() == {"status": "ok"}
+    assert row.routed_bid == "Bid1" and row.bid_id == "Bid1" and api.health()["status"] == "ok"
     assert providers.embed(chunks.select("text").limit(1)).first().embedding is not None
 
 
@@ -142,6 +142,172 @@ def test_stream(spark, tmp_path):
     index_stream.watch(spark, str(src), idx, to_chunks, schema).awaitTermination()
     assert {r.text for r in index_stream.current(spark, idx, "chunks", schema).collect()} == {"one", "two"}
     assert index_stream.current(spark, idx, "manifest", "path string").count() == 2
+    before = indexing.read_version(spark, idx)
+    assert index_stream.merge(spark, idx, None, None, to_chunks, schema, before["batch"]) == before  # run again
+    (src / "a.txt").unlink()
+    (src / "c.txt").write_text("three")
+    index_stream.watch(spark, str(src), idx, to_chunks, schema).awaitTermination()
+    assert {r.text for r in index_stream.current(spark, idx, "chunks", schema).collect()} == {"two", "three"}
+    (src / "b.txt").unlink()
+    v = index_stream.sweep(spark, str(src), idx, schema)
+    assert (v["files"], v["added"], v["removed"]) == (1, 0, 1)
+    assert {r.text for r in index_stream.current(spark, idx, "chunks", schema).collect()} == {"three"}
+    assert index_stream.index_folder(spark, str(src), idx, to_chunks, schema)["files"] == 0
+    v = index_stream.index_folder(spark, str(src), idx, to_chunks, schema, force=True)
+    assert (v["files"], v["added"], v["removed"]) == (1, 1, 1)
+    assert {r.text for r in index_stream.current(spark, idx, "chunks", schema).collect()} == {"three"}
+
+
+def test_amendments_of_the_run(spark):
+    """The provider's proposals are proven by the addenda and pass the validator's gate before they hold."""
+    rows = [("c1", "Due Date: May 1, 2025\nmore", "B", "a.pdf", "rfp", 1), ("a1", "New Due Date: May 9, 2025\nNew Title: Lamps", "B", "Addendum 1.pdf", "addendum", 1), ("a2", "New Due Date: soon", "B", "Addendum 2.pdf", "addendum", 1)]
+    definitions = spark.createDataFrame([(0, "Due Date", ["deadline"]), (1, "Title", ["title"])], "field_ord int, field_name string, hints array<string>")
+    out = pipeline.run(spark.createDataFrame(rows, SCHEMA), definitions=definitions)
+    got = {r.field_name: r for r in out.fields.collect()}
+    assert got["Due Date"].value == "May 9, 2025" and got["Due Date"].amended and [s.file for s in got["Due Date"].sources] == ["Addendum 1.pdf", "a.pdf"]
+    assert (got["Title"].value, got["Title"].bucket, got["Title"].status) == ("Lamps", "passed", "FOUND")
+    assert out.changes.count() == 2 and out.tracer.steps[-1]["agent"] == "finalizer"
+
+
+def test_grounding_stays_in_the_package(spark):
+    """One file name in two packages: a quote of one is not proven by the other."""
+    chunks = spark.createDataFrame([("x1", "the bond is ten per cent", "A", "RFP.pdf", "rfp", 1), ("y1", "no such words", "B", "RFP.pdf", "rfp", 1), (None, "the bond is ten per cent", "B", None, None, None)], SCHEMA)
+    rows = [(1, "A", "The bond is", "RFP.pdf", 1, None), (2, "B", "The bond is ten", "RFP.pdf", 1, "x1"), (3, "A", "the BOND", "other.pdf", 9, "zz"), (4, None, "the bond", "RFP.pdf", 1, "x1"), (5, "A", " ", "RFP.pdf", 1, "x1"), (6, "A", None, None, None, None)]
+    outputs = spark.createDataFrame([(i, b, "Bid Bond", "ten", "FOUND", [(f, p, q, c)]) for i, b, q, f, p, c in rows], "output_id long, bid_id string, field_name string, value string, status string, sources array<struct<file:string,page:int,quote:string,chunk_id:string>>")
+    got = {r.output_id: (r.is_grounded, r.tier, r.matched_chunk) for r in validation.ground(outputs, chunks).collect()}
+    assert got[1] == (True, 2, "x1") and got[3] == (True, 4, "x1") and got[2][1] == 4 and got[2][2] is None
+    assert not any(got[i][0] for i in (4, 5, 6))
+    assert validation.ground(outputs.limit(0), chunks).collect() == [] and validation.ground(outputs, chunks.limit(0)).where("is_grounded").count() == 0
+
+
+def test_structured_replies():
+    good = '{"value": "x", "status": "FOUND", "quote": "q", "file_name": "f", "page_number": "3"}'
+    assert providers.parse_reply(f"```json\n{good}\n```")["page_number"] == 3 and providers.parse_reply(f"So: {good}.")["value"] == "x"
+    assert [providers.parse_reply(x) for x in (None, "", "no", "[1]", '{"status": "MAYBE"}', '{"status": "FOUND", "value": 3}')] == [None] * 6
+    asked = []
+
+    def call(prompt):
+        asked.append(prompt)
+        return "broken" if len(asked) == 1 else good
+
+    got = providers.ReplyExtractor(call, lambda f, p: f"ask {f}").extract("Title", [{}])
+    assert got == {"value": "x", "status": "FOUND", "quote": "q", "file": "f", "page": 3, "chunk_id": None} and len(asked) == 2 and "broken" in asked[1]
+    assert providers.ReplyExtractor(lambda p: "never", lambda f, p: "").extract("Title", [{}])["status"] == "NOT_FOUND"
+    assert providers.ReplyExtractor(lambda p: good.replace('"q"', "null"), lambda f, p: "").extract("Title", [{}])["value"] is None
+
+
+class Pages:
+    def pages(self, content):
+        if content == b"bad":
+            raise ValueError("corrupt")
+        return [{"text": "long enough text of a page, by far"}, {"text": "", "drawings": 0}, {"text": "ab", "images": 1}, {"text": "", "drawings": 30, "widgets": [{"name": "n", "value": " v ", "type": "t"}, {"name": "m", "value": "", "type": "t"}]}]
+
+
+class Seen:
+    def recognize(self, page):
+        return ("seen", "ocr_success") if page.get("images") else pdf.UNAVAILABLE
+
+
+def test_pdf_pages(spark):
+    df = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad")), ("c", None)], "path string, content binary")
+    rows = {(r.path, r.page_number): r for r in pdf.read_pdfs(df, Pages, Seen).collect()}
+    assert [rows["a", n].status for n in (1, 2, 3, 4)] == ["extractable", "blank", "scanned (image)", "non-extractable (vector outlines)"]
+    assert rows["a", 3].text == "seen" and rows["a", 3].ocr_status == "ocr_success" and rows["a", 4].text == "### Form Fields (Page 4)\n- **n**: v" and rows["a", 4].ocr_status == pdf.UNAVAILABLE[1]
+    assert rows["b", None].error == "ValueError: corrupt" and rows["b", None].doc_type == "other"
+    assert pdf.read_pdfs(df.limit(0), Pages, Seen).collect() == []
+    report = files.coverage_json(pdf.read_pdfs(df.where("path = 'a'"), Pages, Seen).withColumns({"bid_id": F.lit("B"), "file_name": F.lit("a b.pdf")})).first()
+    assert report.name == "B_a_b_coverage.json" and '"non_extractable_pages":[4]' in report.report and '"form_widget_pages":[4]' in report.report
+
+
+def test_assembly(spark):
+    pages = spark.createDataFrame([(n, "b", "specs.pdf", n, f"Head line of file\nbody {w} text\nPage {n} of 3") for n, w in enumerate(("one", "two", "three"), 1)] + [(9, "b", "x.pdf", 1, None)], "page_id long, bid_id string, file_name string, page_number int, raw_text string")
+    tables = spark.createDataFrame([(2, ["| a |\n|---|", "| b |"])], "page_id long, tables array<string>")
+    got = {r.page_id: r for r in assembly.assemble(pages, tables).collect()}
+    assert got[1].cleaned_text == "body one text" and got[1].page_label == "1 of 3" and got[9].cleaned_text == ""
+    assert got[2].cleaned_text == f"body two text\n\n{chunking.TABLE_MARKER}\n\n| a |\n|---|\n\n| b |"
+    typed = assembly.by_name(spark.createDataFrame([("a_Affidavit.pdf",), ("specs.pdf",), (None,)], "file_name string"))
+    assert {r.file_name: (r.name_type, r.skip_tables) for r in typed.collect()} == {"a_Affidavit.pdf": ("affidavit", True), "specs.pdf": ("specs", False), None: ("other", False)}
+    docs = typed.withColumn("doc", F.coalesce("file_name", F.lit("")))
+    cell = lambda doc, r, c, t: (doc, 1, 1, r, c, t)
+    cells = [cell(d, r, c, f"{'ab'[c]}{r}") for d in ("a_Affidavit.pdf", "") for r in range(3) for c in range(2)]
+    words = [("specs.pdf", 1, 200.0, 40.0 * k, 260.0, 40.0 * k + 10, f"ABC-{k}00") for k in range(1, 6)] + [("specs.pdf", 1, 10.0, 40.0 * k, 60.0, 40.0 * k + 10, f"item{k}") for k in range(1, 6)]
+    found = assembly.page_tables(docs, spark.createDataFrame(cells, "doc string, page int, tbl int, row int, col int, text string"), spark.createDataFrame(words, "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string"))
+    assert {r.doc: r.text.split("\n")[2] for r in found.collect()} == {"": "| a1 | b1 |", "specs.pdf": "| ABC-100 | item1 |"}
+
+
+def test_html_sections():
+    got = html.parse(PAGE.replace("</dl>", "<dt>Scope of Work</dt><dd>1. Desk 2. Chair</dd></dl>"))["sections"]
+    assert got.startswith(html.DETAILS) and f"{html.SCOPE}\n1. Desk\n2. Chair" in got and got.endswith(f"{html.ITEMS}\n\n| Item | Qty |\n| --- | --- |\n| Desk\\|A | 4 |")
+    assert html.parse("<p>x</p>")["sections"] == html.DETAILS and html.parse(None)["sections"] == ""
+
+
+def test_folders_and_saved_results(spark, tmp_path):
+    for name in ("Bid2", "bid1", "other", "third/solicitations"):
+        (tmp_path / name).mkdir(parents=True)
+    assert files.discover(str(tmp_path)) == ["Bid2", "bid1", "third"]
+    with pytest.raises(FileNotFoundError):
+        files.scan_folder(spark, f"file://{tmp_path}/none")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(len(made),)], "n int")
+
+    get = lambda **k: files.cached(spark, str(tmp_path / "saved"), "n int", make, **k).first().n
+    assert [get(), get(), get(force=True)] == [1, 1, 2]
+    t = trace.Tracer()
+    with t.step("x"):
+        pass
+    t.save(spark, str(tmp_path / "trace"), "B")
+    t.save(spark, str(tmp_path / "trace"), "B")
+    assert spark.read.json(str(tmp_path / "trace")).count() == 2
+
+
+def test_routing_parts(spark):
+    q = spark.createDataFrame([(1, "compare bid 2 and Bid3"), (2, "what changed in addendum no. 4?"), (3, None), (4, "a name of very many words that goes on and on for more than twelve of them")], "question_id long, question string")
+    entries = spark.createDataFrame([("Bid2", "id", "bid 2"), ("Bid2", "id", "bid2"), ("Bid3", "id", "bid3"), ("Bid9", "title", "A Name of very-many words that goes on and on for more than twelve of them")], "bid_id string, kind string, value string")
+    scores = routing.score_packages(q, entries)
+    got = {(r.question_id, r.bid_id): r.score for r in scores.collect()}
+    assert got[1, "Bid2"] == got[1, "Bid3"] == 15 and got[4, "Bid9"] == 8
+    indexed = spark.createDataFrame([("Bid2",), ("Bid3",), ("Bid9",)], "bid_id string")
+    assert {(r.question_id, r.bid_id) for r in routing.compared(scores, indexed).collect()} == {(1, "Bid2"), (1, "Bid3"), (4, None)}
+    assert [r.n for r in q.orderBy("question_id").select(routing.addendum_asked("question").alias("n")).collect()] == [None, 4, None, None]
+    order = spark.createDataFrame([(b,) for b in ("a", "Bid3", "Bid1", "z", "Bid2")], "bid_id string").orderBy(*routing.bid_order())
+    assert [r.bid_id for r in order.collect()] == ["Bid1", "Bid2", "Bid3", "a", "z"]
+    chunks = spark.createDataFrame([("c", "Issued by the Oak School District", "B", "f", "rfp", 1), ("d", "Elm City", "B", "f", "rfp", 2)], SCHEMA)
+    assert [r.value for r in routing.agencies(chunks).collect()] == ["issued by the oak school district"]
+
+
+def test_relevance_and_findable_items(spark):
+    chunks = spark.createDataFrame([("The Bond text", "Big File.pdf", 2, 4, 2), ("other", None, None, None, None)], "text string, file_name string, page_start int, page_end int, page_number int")
+    items = spark.createDataFrame([(1, "bond", "file.pdf", 3), (2, "bond", "file.pdf", 5), (3, "bond", "My Big File.pdf", 4), (4, "none", "Big File.pdf", 3), (5, None, None, None)], "query_id int, target_substring string, expected_file string, expected_page int")
+    assert {r.query_id: r.is_findable for r in retrieve.findable(items, chunks).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+    assert retrieve.report_json(spark.createDataFrame([(0.5,)], "mrr double"), mode="hybrid").first().report == '{"mode":"hybrid","mrr":0.5}'
+
+
+def test_answers_and_service(spark, tmp_path):
+    chunks = spark.createDataFrame([*CHUNKS, ("c5", "head\nThe closing date is changed to May 9.", "Bid1", "Addendum 2.pdf", "addendum", 1)], SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string"), "addendum_number": F.lit(None).cast("int"), "is_table": F.lit(False)})
+    packages = spark.createDataFrame([("Bid1", "RFP-1-23", "Oak Desks", "Oak County", 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
+    got = api.answer(spark, chunks, packages, "what is the title of RFP-1-23")
+    assert got["answer"] == "Title: Desks" and got["citations"][0]["file"] == "a.pdf" and got["target_bid"] == "Bid1"
+    got = api.answer(spark, chunks, packages, "what changed in addendum 2")
+    assert got["target_bid"] == "Bid1" and "changed to May 9" in got["answer"] and got["is_addendum_summary"]
+    assert api.answer(spark, chunks.limit(0), packages, "zzz")["answer"] == providers.NOT_FOUND
+    assert api.compared_query("compare the warranty of all bids", []).startswith("warranty") and api.compared_query("compare Bid1 and Bid2 desks", ["Bid1", "Bid2"]) == "desks"
+    values = spark.createDataFrame([("Bid1", "title", "Desks"), ("Bid2", "title", "Lamps")], "bid_id string, field_name string, value string")
+
+    class Provider:
+        def synthesize(self, rows):
+            return {"title": "they differ"}
+
+    api.save_comparison(values, ["Bid2", "Bid1"], ["title"], str(tmp_path / "c"), Provider())
+    assert "they differ" in (tmp_path / "c" / "comparison.json").read_text() and "| Field | Bid1 | Bid2 |" in (tmp_path / "c" / "comparison.md").read_text()
+    chunks.write.parquet(str(tmp_path / "chunks.parquet"))
+    packages.write.parquet(str(tmp_path / "packages.parquet"))
+    service = api.Service(spark, str(tmp_path))
+    assert service.call("GET", "/health") == (200, api.health()) and service.call("GET", "/none")[0] == 404 and service.call("POST", "/search", {"nothing": 1})[0] == 422
+    status, rows = service.call("POST", "/search", {"query": "lamps", "mode": "bm25_only"})
+    assert status == 200 and rows[0]["chunk_id"] == "c3" and service.call("POST", "/compare", {"bids": ["Bid1"]})[0] == 500
 
 
 def test_contract():
