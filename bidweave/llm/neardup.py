@@ -329,3 +329,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", F.concat(F.coalesce("file_name", F.lit("")), F.lit(" "), F.col("text")).alias("content"))
     pairs = similar_pairs(chunks, "chunk_id", "content")
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+#: All pairs by a join of the runs of three words.
+FOUND_SQL = """with c as (select chunk_id, any_value(regexp_extract_all(lower(coalesce(file_name, '') || ' ' || text), '[a-z0-9]+')) w from chunks where text is not null group by 1),
+s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from c),
+n as (select chunk_id, count(*) n from s group by 1),
+p as (select a.chunk_id x, b.chunk_id y, count(*) k from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
+select x chunk_id_a, y chunk_id_b from p join n on n.chunk_id = x join n m on m.chunk_id = y where k >= 0.5 * (n.n + m.n - k)"""

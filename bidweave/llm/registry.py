@@ -20,6 +20,7 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": neardup.FOUND_SQL,
     "p3_found": split.FOUND_SQL,
     "p4_found": boilerplate.FOUND_SQL,
     "p4_clean": boilerplate.CLEAN_SQL,
