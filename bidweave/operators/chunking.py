@@ -283,6 +283,7 @@ def q_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"chunk_pack": q_pack, "chunk_document": q_document, "count_tokens": q_tokens, "merge_small": q_merge, "near_copies": q_copies, "heading_lines": q_headings, "drop_blank_forms": q_unfilled, "split_tables": q_tables}
 SQL = {
     "chunk_pack": chunking_sql.pack(HEADINGS, TABLE_MARKER),
+    "chunk_document": chunking_sql.document(HEADINGS, TABLE_MARKER),
     "heading_lines": chunking_sql.heading_lines(HEADINGS),
     "split_tables": chunking_sql.SPLIT_TABLES,
     "near_copies": chunking_sql.NEAR_COPIES,

@@ -52,11 +52,17 @@ def clip(x: str, size: int, least: int) -> str:
     return f"case when length({x}) > {size} then trim(case when {at} > 0 and {size} - {at} > {least} then left({head}, {size} - {at}) else {head} end) else {x} end"
 
 
-def pack(headings: list[str], marker: str) -> str:
+def _id(page_suffix: str, text: str) -> str:
+    """SQL of a chunk id over bid_id, file_name and page_number."""
+    return rf"coalesce(bid_id, '') || '_' || regexp_replace(regexp_replace(regexp_replace(coalesce(file_name, ''), '(.)\.[^.]*$', '\1'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_p' || coalesce(cast(page_number as varchar), '') || '_' || {page_suffix} || '_' || substring(md5(concat_ws('_', coalesce(bid_id, ''), coalesce(file_name, ''), coalesce(cast(page_number as varchar), ''), {page_suffix}, substring({text}, 1, 100))), 1, 8)"
+
+
+def _packed(headings: list[str], marker: str, tabled: bool) -> str:
+    """CTEs up to n5, the chunks of all pages, with the tables of chunks put on their pages or without."""
     kinds = " ".join(f"when '{k}' then '{v}'" for k, v in TYPE_LABELS.items())
     return rf"""with recursive
 pg as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(doc_type) doc_type, any_value(page_number) page_number, any_value(cleaned_text) t from parsed_pages group by 1),
-ct as (select bid_id, file_name, page_number, string_agg(md, chr(10) || chr(10) order by md) md from (select distinct bid_id, file_name, page_number, regexp_replace(text, '^[^\n]*\n', '') md from chunks where is_table) group by 1, 2, 3),
+ct as (select bid_id, file_name, page_number, string_agg(md, chr(10) || chr(10) order by md) md from (select distinct bid_id, file_name, page_number, regexp_replace(text, '^[^\n]*\n', '') md from chunks where is_table and {str(tabled).lower()}) group by 1, 2, 3),
 fs as (select bid_id, file_name, any_value(addendum_number) addendum_number from source_files group by 1, 2),
 d as (select pg.* exclude t, addendum_number, case when md is not null then coalesce(t, '') || chr(10) || chr(10) || '{marker}' || chr(10) || chr(10) || md else coalesce(t, '') end t from pg left join ct using (bid_id, file_name, page_number) left join fs using (bid_id, file_name)),
 c as (select *, case when contains(t, '{marker}') then left(t, instr(t, '{marker}') - 1) else t end prose, case when contains(t, '{marker}') then substring(t, instr(t, '{marker}') + {len(marker)}) else '' end rest from d),
@@ -89,8 +95,22 @@ u as (select page_id, o, is_table, suffix, section, body from b union all select
 n1 as (select u.*, m.* exclude page_id, row_number() over (partition by bid_id, file_name, page_number, page_id order by o) - 1 seq, regexp_replace(regexp_replace(coalesce(file_name, ''), '(.)\.[^.]*$', '\1'), '[_\-]+', ' ', 'g') ti from u join m using (page_id)),
 n2 as (select *, trim(regexp_replace(regexp_replace(trim(ti), '(?i)\b(?:SOURCING\s*\d+|Bid\s+Information|\{{\d+\}}|BidNet\s+Direct)\b', '', 'g'), '\s+', ' ', 'g')) tt, coalesce(nullif(trim(coalesce(section, '')), ''), 'General') ss from n1),
 n3 as (select *, '[' || concat_ws(' | ', coalesce(bid_id, ''), case lower(coalesce(doc_type, '')) when 'addendum' then case when addendum_number > 0 then 'Addendum ' || addendum_number else 'Addendum' end {kinds} else 'RFP' end, {clip('tt', 42, 20)}, 'p.' || page_number, 'Section: ' || {clip('ss', 35, 15)}) || ']' || chr(10) || body text from n2),
-n4 as (select *, coalesce(bid_id, '') || '_' || regexp_replace(regexp_replace(regexp_replace(coalesce(file_name, ''), '(.)\.[^.]*$', '\1'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_p' || coalesce(cast(page_number as varchar), '') || '_' || suffix || '_' || substring(md5(concat_ws('_', coalesce(bid_id, ''), coalesce(file_name, ''), coalesce(cast(page_number as varchar), ''), suffix, substring(text, 1, 100))), 1, 8) id0 from n3)
-select page_id, cast(seq as integer) seq, is_table, section, id0 || case when row_number() over w > 1 then '_' || row_number() over w else '' end chunk_id, {tokens('text')} n_tokens, md5(text) digest from n4 window w as (partition by id0 order by page_id, seq)"""
+n4 as (select *, {_id('suffix', 'text')} id0 from n3),
+n5 as (select *, id0 || case when row_number() over w > 1 then '_' || row_number() over w else '' end chunk_id from n4 window w as (partition by id0 order by page_id, seq))"""
+
+
+def pack(headings: list[str], marker: str) -> str:
+    return _packed(headings, marker, True) + f" select page_id, cast(seq as integer) seq, is_table, section, chunk_id, {tokens('text')} n_tokens, md5(text) digest from n5"
+
+
+def document(headings: list[str], marker: str) -> str:
+    """Packed, near-copies left out, small chunks merged, blank forms left out."""
+    return _packed(headings, marker, False) + rf""", {_kept("n5", "seq, chunk_id", "text")},
+k1 as (select *, case when contains(text, chr(10)) then regexp_replace(text, '^[^\n]*\n', '') else text end bd from n5 where chunk_id in (select chunk_id from kp where kept)),
+k2 as (select *, len(list_filter(string_split_regex(bd, '[{_W}]+'), lambda x: x <> '')) < {SETTINGS.min_chunk_words} and not coalesce(is_table, false) and row_number() over v > 1 small from k1 window v as (partition by bid_id, file_name, page_number order by seq)),
+k3 as (select *, sum(case when small then 0 else 1 end) over (partition by bid_id, file_name, page_number order by seq) island from k2),
+k4 as (select bid_id, file_name, page_number, island, count(*) n, arg_min(chunk_id, seq) first_, string_agg(case when small then bd else text end, chr(10) || chr(10) order by seq) t from k3 group by 1, 2, 3, 4)
+select bid_id, file_name, page_number, cast(island as bigint) seq, case when n > 1 then {_id("'merged'", "t")} else first_ end chunk_id, cast(n as integer) n_parts, md5(t) digest from k4 where len(regexp_extract_all(t, '(?i)\[unfilled/blank\]')) < 5"""
 
 
 def heading_lines(headings: list[str]) -> str:
@@ -99,9 +119,13 @@ def heading_lines(headings: list[str]) -> str:
 
 SPLIT_TABLES = "with recursive t as (select chunk_id id, any_value(regexp_replace(text, '^[^\\n]*\\n', '')) md from chunks where is_table group by 1), " + tables("t", "p") + " select id chunk_id, cast(part as integer) part, cast(length(piece) as integer) n_chars from p"
 
-NEAR_COPIES = rf"""with recursive c as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(page_number) page_number, any_value(text) t from chunks group by 1),
-w as (select *, list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(t, ''), '^\[[^\n]*\]\n', '')), '[{_L}]+'), lambda x: length(x) >= 3)) w, row_number() over (partition by bid_id, file_name, page_number order by chunk_id) i from c where file_name is not null and page_number is not null),
-r as (select bid_id, file_name, page_number, i, chunk_id, true kept, [w] k from w where i = 1
-  union all select w.bid_id, w.file_name, w.page_number, w.i, w.chunk_id, x.kept, case when x.kept then list_append(r.k, w.w) else r.k end from r join w on w.bid_id is not distinct from r.bid_id and w.file_name = r.file_name and w.page_number = r.page_number and w.i = r.i + 1,
-    lateral (select not coalesce(list_bool_or(list_transform(r.k, lambda q: len(q) > 0 and len(w.w) > 0 and len(list_intersect(q, w.w)) / least(len(q), len(w.w)) > {SETTINGS.near_dup_overlap})), false) kept) x)
-select chunk_id, kept from r union all select chunk_id, true from c where file_name is null or page_number is null"""
+def _kept(source: str, order: str, text: str) -> str:
+    """CTEs up to kp (chunk_id, kept): the greedy choice among the chunks of each page of ``source``."""
+    return rf"""kw as (select *, list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce({text}, ''), '^\[[^\n]*\]\n', '')), '[{_L}]+'), lambda x: length(x) >= 3)) w, row_number() over (partition by bid_id, file_name, page_number order by {order}) i from {source} where file_name is not null and page_number is not null),
+kr as (select bid_id, file_name, page_number, i, chunk_id, true kept, [w] k from kw where i = 1
+  union all select w.bid_id, w.file_name, w.page_number, w.i, w.chunk_id, x.kept, case when x.kept then list_append(r.k, w.w) else r.k end from kr r join kw w on w.bid_id is not distinct from r.bid_id and w.file_name = r.file_name and w.page_number = r.page_number and w.i = r.i + 1,
+    lateral (select not coalesce(list_bool_or(list_transform(r.k, lambda q: len(q) > 0 and len(w.w) > 0 and len(list_intersect(q, w.w)) / least(len(q), len(w.w)) > {SETTINGS.near_dup_overlap})), false) kept) x),
+kp as (select chunk_id, kept from kr union all select chunk_id, true from {source} where file_name is null or page_number is null)"""
+
+
+NEAR_COPIES = f"with recursive c as (select chunk_id, any_value(bid_id) bid_id, any_value(file_name) file_name, any_value(page_number) page_number, any_value(text) t from chunks group by 1), {_kept('c', 'chunk_id', 't')} select chunk_id, kept from kp"
