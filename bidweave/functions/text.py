@@ -17,6 +17,9 @@ def _or_empty(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+# The patterns in the cleaners, in page captions and in context headers are fixed values.
+
+
 def normalize_whitespace(x: Column | str) -> Column:
     s = F.regexp_replace(_or_empty(x), r"[\x{200B}\x{FEFF}\x{AD}]", "")
     s = F.regexp_replace(s, r"[\x{F000}-\x{F8FF}]", "* ")

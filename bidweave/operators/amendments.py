@@ -182,12 +182,6 @@ def deltas(base: DataFrame, variant: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).select(F.round(F.col("m1") - F.col("m0"), 4).alias("delta_mrr"), F.round(F.col("r1") - F.col("r0"), 4).alias("delta_recall_5"), ((F.col("m1") > F.col("m0")) & (F.col("r1") >= F.col("r0"))).alias("keep"))
 
 
-def prompt(field: str, description: str, passages: list[dict]) -> str:
-    """Text that asks a language model for one field."""
-    body = "\n\n".join(f"[{n}] {p['file_name']} p.{p['page_number']} ({p['chunk_id']})\n{p['text']}" for n, p in enumerate(passages, 1))
-    return f"Field: {field}\n{description}\n\nPassages:\n{body}\n\nAnswer as JSON with value, status, reason, quote, file_name, page_number, chunk_id. Quote word for word."
-
-
 def q_accept(spark: SparkSession, d: str) -> DataFrame:
     """Recorded changes as proposals, proven by the addendum's chunks."""
     chunks = table(spark, d, "chunks").select("chunk_id", "bid_id", "file_name", "doc_type", "addendum_number", "page_number", "text")

@@ -82,7 +82,7 @@ def joined(parts: Column, span: Column) -> Column:
 
 
 def heading(line: Column) -> Column:
-    """The heading that a line is, or null. Title case follows white space only."""
+    """The heading that a line is, or null. Title case follows white space only. The patterns and limits are fixed values."""
     s = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
     digits = F.regexp_count(s, F.lit(r"\d"))
     reject = (s == "") | s.startswith("|") | s.endswith("|") | s.rlike(r"(?i)\bEND\s+OF\s+(?:ADDENDUM|SOLICITATION|DOCUMENT|SECTION|FILE|PROPOSAL)\b")

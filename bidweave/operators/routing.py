@@ -20,13 +20,14 @@ from bidweave.session import folded, stage, table
 #: Words too common in names of agencies and titles.
 AGENCY_STOP = ["state", "city", "county", "department", "office", "the", "and", "district", "public", "independent", "school", "schools", "board", "education", "commission", "authority", "division", "agency", "services"]
 TITLE_STOP = ["request", "proposal", "solicitation"]
+#: Fixed value: how solicitation numbers are written.
 NUMBER = r"(?i)\b(?:RFP\s*(?:NO\.?|#)?\s*|PORFP\s*(?:NO\.?|#)?\s*|PROJECT\s*(?:NO\.?|#)?\s*)?([A-Z0-9]{2,}[-_][A-Z0-9-_]{2,}|[A-Z]{2,}\d{4,}[A-Z0-9]*|[A-Z]\d{2}[A-Z]\d{6,})\b"
 #: Names are looked up by runs of so many words; longer ones by their first words, and then compared whole.
 RUN = 6
 
 
-def catalogue(chunks: DataFrame, packages: DataFrame | None = None) -> DataFrame:
-    """(bid_id, kind, value): file names and solicitation numbers from chunks; agencies, titles and numbers from the package table."""
+def catalogue(chunks: DataFrame, packages: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """(bid_id, kind, value): file names and solicitation numbers from chunks; agencies, titles and numbers from the package table and from saved results (bid_id, field_name, value); without a package table also agencies from covering texts."""
     c = chunks.where("bid_id is not null").select("bid_id", F.lower("file_name").alias("file_name"), "text")
     files = c.where("file_name is not null").select("bid_id", F.lit("file").alias("kind"), F.regexp_replace("file_name", r"\.(pdf|html|htm)", "").alias("value"))
     numbers = c.select("bid_id", F.lit("number").alias("kind"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NUMBER), F.lit(1)), F.lower))).alias("value"))
@@ -37,6 +38,10 @@ def catalogue(chunks: DataFrame, packages: DataFrame | None = None) -> DataFrame
         ids = packages.where("bid_id is not null").select("bid_id", F.lit("id").alias("kind"), F.lower("bid_id").alias("value"))
         apart = ids.where(F.col("value").rlike(r"^bid\d+$")).withColumn("value", F.regexp_replace("value", "^bid", "bid "))
         out = out.unionByName(ids).unionByName(apart)
+    elif {"page_number", "doc_type"} <= set(chunks.columns):
+        out = out.unionByName(agencies(chunks))
+    if results is not None:
+        out = out.unionByName(known_values(results))
     return out.where("value <> ''").distinct()
 
 

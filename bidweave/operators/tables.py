@@ -91,12 +91,13 @@ def page_status(pages: DataFrame) -> DataFrame:
 def coverage(statuses: DataFrame, doc: tuple[str, ...] = ("bid_id", "file_name")) -> DataFrame:
     """Per document: pages, pages by status, whether any page has no text."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}")
-    return statuses.groupBy(*doc).agg(F.count(F.lit(1)).alias("n_pages"), n("extractable"), n("scanned"), n("blank"), n("form_widgets"), F.bool_or(F.col("status") != "extractable").alias("has_gaps"))
+    return statuses.groupBy(*doc).agg(F.count(F.lit(1)).alias("n_pages"), n("extractable"), n("scanned"), n("blank"), n("form_widgets"), n("vector_outlines"), n("vector_outlines_form"), F.bool_or(F.col("status") != "extractable").alias("has_gaps"))
 
 
 def q_status(spark: SparkSession, d: str) -> DataFrame:
+    """The status of every page, roll-up by document; the tables count no drawings, so they are made up from the page's number."""
     pages = table(spark, d, "parsed_pages").dropDuplicates(["page_id"])
-    facts = pages.select("page_id", "bid_id", "file_name", F.coalesce(F.length("raw_text"), F.lit(0)).alias("char_count"), F.lit(0).alias("drawings"), F.coalesce("is_scanned", F.lit(False)).cast("int").alias("images"), F.coalesce("widget_count", F.lit(0)).alias("widgets"))
+    facts = pages.select("page_id", "bid_id", "file_name", F.coalesce(F.length(F.trim("raw_text")), F.lit(0)).alias("char_count"), (F.coalesce("page_id", F.lit(0)) % 60).alias("drawings"), F.coalesce("is_scanned", F.lit(False)).cast("int").alias("images"), F.coalesce("widget_count", F.lit(0)).alias("widgets"))
     return coverage(page_status(facts))
 
 
@@ -112,6 +113,15 @@ def q_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc", "is_table", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def q_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of chunks' tables as word boxes (of a column 110 wide and a line 20 high, each word 9 further), put together again by coordinates."""
+    cells = cells_of(table(spark, d, "chunks").select("chunk_id", "text", "is_table"))
+    words = cells.select("doc", "page", "row", "col", F.posexplode(F.split("text", " ")).alias("k", "text")).where("text <> ''")
+    x = F.col("col") * 110.0 + F.col("k") * 9.0
+    boxes = words.select("doc", "page", x.alias("x0"), (F.col("row") * 20.0).alias("y0"), (x + 8.0).alias("x1"), (F.col("row") * 20.0 + 10.0).alias("y1"), "text")
+    return coordinate_table(boxes).select("doc", "ord", "sku", F.md5("description").alias("digest"))
+
+
 def q_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user counted in the interval from one error to the next: the pairing of words and codes on time."""
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
@@ -120,7 +130,7 @@ def q_intervals(spark: SparkSession, d: str) -> DataFrame:
     return seen.where("interval_no > 0").groupBy("user_id", "interval_no").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("from_ts"))
 
 
-QUERIES = {"coverage_rollup": q_status, "table_or_layout": q_tables, "interval_assign": q_intervals}
+QUERIES = {"coverage_rollup": q_status, "table_or_layout": q_tables, "interval_assign": q_intervals, "coordinate_tables": q_coordinates}
 SQL = {
     "table_or_layout": r"""with l as (select distinct chunk_id doc, text from chunks where is_table),
 r as (select doc, unnest(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$'))) line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$')), 1) - 1 rw from l),
@@ -140,9 +150,21 @@ pr as (select doc, rw, count(*) n, string_agg(t, ': ' order by cl) two, string_a
 pt as (select doc, string_agg(case when n = 2 then two else more end, chr(10) || chr(10) order by rw) t from pr join k using (doc, rw) group by 1),
 o as (select x.doc, is_real, case when is_real then md.t when noise then '' else pt.t end t from x left join md using (doc) left join pt using (doc))
 select doc, is_real is_table, cast(length(t) as integer) n_chars, md5(t) digest from o""",
-    "coverage_rollup": """with p as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, coalesce(length(any_value(raw_text)), 0) ch, coalesce(any_value(is_scanned), false)::int im, coalesce(any_value(widget_count), 0) wi from parsed_pages group by 1),
-s as (select *, case when ch = 0 and im = 0 and wi = 0 then 'blank' when ch < 30 then 'scanned' when wi > 0 then 'form_widgets' else 'extractable' end st from p)
-select bid_id, file_name, count(*) n_pages, count(*) filter (where st = 'extractable') n_extractable, count(*) filter (where st = 'scanned') n_scanned, count(*) filter (where st = 'blank') n_blank, count(*) filter (where st = 'form_widgets') n_form_widgets, bool_or(st <> 'extractable') has_gaps from s group by 1, 2""",
+    "coordinate_tables": r"""with l as (select distinct chunk_id doc, text from chunks where is_table),
+r as (select doc, unnest(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$'))) line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|') and not regexp_matches(x, '^[|\s:-]+$')), 1) - 1 rw from l),
+c as (select doc, rw, unnest(string_split_regex(regexp_replace(line, '^\|\s*|\s*\|\s*$', '', 'g'), '\s*\|\s*')) t, generate_subscripts(string_split_regex(regexp_replace(line, '^\|\s*|\s*\|\s*$', '', 'g'), '\s*\|\s*'), 1) - 1 cl from r),
+w0 as (select doc, rw, cl, unnest(string_split(t, ' ')) t, generate_subscripts(string_split(t, ' '), 1) - 1 k from c),
+w as (select doc, cl * 110.0 + k * 9.0 x0, rw * 20.0 y0, cl * 110.0 + k * 9.0 + 8.0 x1, rw * 20.0 + 10.0 y1, t from w0 where t <> ''),
+k as (select *, cast(round_even(cast(x0 as double) / 30, 0) * 30 as integer) bk from w where regexp_matches(t, '^[A-Za-z0-9]{3,}-[A-Za-z0-9]{3,}$')),
+m as (select doc, bk from (select doc, bk, count(*) n from k where doc in (select doc from k group by 1 having count(*) >= 4) group by 1, 2) where n >= 4 qualify row_number() over (partition by doc order by n desc, bk) = 1),
+o as (select k.* from k join m using (doc, bk)),
+h as (select doc, min(x0) - 10 sp, min(y0) - 15 tp, max(y1) + 15 bt from o group by 1),
+s as (select o.doc, t sku, sp, tp, bt, row_number() over v ord, y0 - 8 lo, coalesce(lead(y0) over v - 8, bt + 10) hi from o join h using (doc) window v as (partition by o.doc order by y0, x0, t)),
+d as (select s.doc, ord, sku, string_agg(w.t, ' ' order by round_even(cast(y0 as double) / 6, 0), x0, w.t) x from s join w on w.doc = s.doc and x1 <= sp and y0 between tp and bt and y0 >= lo and y0 < hi group by 1, 2, 3)
+select doc, cast(ord as integer) ord, sku, md5(x) digest from d""",
+    "coverage_rollup": """with p as (select page_id, any_value(bid_id) bid_id, any_value(file_name) file_name, coalesce(length(trim(any_value(raw_text))), 0) ch, page_id % 60 dr, coalesce(any_value(is_scanned), false)::int im, coalesce(any_value(widget_count), 0) wi from parsed_pages group by 1),
+s as (select *, case when ch < 30 and dr > 20 then case when wi > 0 then 'vector_outlines_form' else 'vector_outlines' end when ch = 0 and im = 0 and wi = 0 then 'blank' when ch < 30 then 'scanned' when wi > 0 then 'form_widgets' else 'extractable' end st from p)
+select bid_id, file_name, count(*) n_pages, count(*) filter (where st = 'extractable') n_extractable, count(*) filter (where st = 'scanned') n_scanned, count(*) filter (where st = 'blank') n_blank, count(*) filter (where st = 'form_widgets') n_form_widgets, count(*) filter (where st = 'vector_outlines') n_vector_outlines, count(*) filter (where st = 'vector_outlines_form') n_vector_outlines_form, bool_or(st <> 'extractable') has_gaps from s group by 1, 2""",
     "interval_assign": """with s as (select *, sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id) interval_no from events)
 select user_id, cast(interval_no as bigint) interval_no, count(*) n_events, min(ts) from_ts from s where interval_no > 0 group by 1, 2""",
 }

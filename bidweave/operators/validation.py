@@ -90,7 +90,7 @@ def corroborated(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def confidence(retrieval: Column, rank: Column, grounded: Column, page_state: Column, fmt: Column, quote: Column, value: Column, corroborated: Column, secondary: Column | None = None) -> Column:
-    """Weighted confidence in [0, 1]: 0.25 retrieval + 0.45 validation + 0.30 agreement; a third or less where anything failed.
+    """Weighted confidence in [0, 1]: 0.25 retrieval + 0.45 validation + 0.30 agreement; a third or less where anything failed. All factors are fixed values.
 
     ``page_state``: 2 the matched page is the cited one, 1 a page is cited, 0 none.
     """

@@ -101,6 +101,12 @@ def parse_reply(text: str | None) -> dict | None:
     return got if all(isinstance(got[k], kinds) for k, kinds in REPLY.items()) else None
 
 
+def prompt(field: str, passages: list[dict], description: str = "") -> str:
+    """Text that asks a language model for one field."""
+    body = "\n\n".join(f"[{n}] {p['file_name']} p.{p['page_number']} ({p['chunk_id']})\n{p['text']}" for n, p in enumerate(passages, 1))
+    return f"Field: {field}\n{description}\n\nPassages:\n{body}\n\nAnswer as JSON with value, status, reason, quote, file_name, page_number, chunk_id. Quote word for word."
+
+
 def repair_prompt(prompt: str, reply: str) -> str:
     return f"The reply below isn't valid JSON with the keys {', '.join(REPLY)}.\n{reply}\n\nAnswer again, with the JSON only.\n\n{prompt}"
 
@@ -108,7 +114,7 @@ def repair_prompt(prompt: str, reply: str) -> str:
 class ReplyExtractor:
     """Fields by a language model: ``call(prompt)`` gives its text; a reply that isn't valid is asked for once more."""
 
-    def __init__(self, call: Callable[[str], str], prompt: Callable[[str, list[dict]], str]):
+    def __init__(self, call: Callable[[str], str], prompt: Callable[[str, list[dict]], str] = prompt):
         self.call, self.prompt = call, prompt
 
     def extract(self, field: str, passages: list[dict]) -> dict:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from bidweave.operators import amendments as A
+from bidweave.plans.providers import prompt
 
 CHUNKS = [("c1", "B", "Addendum 1.pdf", "addendum", None, 1, "The DUE date is\nnow May 9."), ("c2", "B", "x.pdf", "addendum", 2, 1, "The due date is now May 12."), ("c3", "B", "rfp.pdf", "rfp", None, 1, "made up")]
 SCHEMA = "chunk_id string, bid_id string, file_name string, doc_type string, addendum_number int, page_number int, text string"
@@ -63,4 +64,4 @@ def test_small_parts(spark):
     assert [s.file for s in df.select(A.merged_sources(src, old).alias("s")).first().s] == ["a", "b"]
     a, b = (spark.createDataFrame([v], "mrr double, recall_5 double") for v in ((0.5, 0.8), (0.6, 0.8)))
     assert A.deltas(a, b).first().keep and not A.deltas(b, a).first().keep
-    assert "Quote word for word" in A.prompt("Title", "d", [{"file_name": "f", "page_number": 1, "chunk_id": "c", "text": "t"}])
+    assert "Quote word for word" in prompt("Title", [{"file_name": "f", "page_number": 1, "chunk_id": "c", "text": "t"}], "d")
