@@ -104,11 +104,15 @@ def top_k(scores: DataFrame, k: int, key: str = "chunk_id", by: str | list[str]
 
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, key: str = "vec_id", within: str | None = None) -> DataFrame:
+#: Bytes of queries that one scan of the vectors answers, and queries of one matrix product.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int | None = None, key: str = "vec_id", within: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k most similar vectors of each query (query_id, embedding); vectors and queries by the same ``vec_id`` apart.
 
-    With ``within`` (kept as a column) the k most similar of each group. Queries go in blocks of bounded size against all
-    rows; each task keeps k rows per query and group before anything is shuffled.
+    With ``within`` (kept as a column) the k most similar of each group. Queries go in blocks of ``QUERY_BYTES`` (or ``block``
+    queries) against all rows, a scan each; a task keeps k rows per query and group before anything is shuffled.
     """
     out = None
     chunk: list = []
@@ -119,7 +123,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
 
     def against(rows: list) -> DataFrame:
         ids = array([r[0] for r in rows], "query_id")
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
+        matrix = np.array([r[1] for r in rows], dtype=np.float32 if queries.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,12 +131,16 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
             v = array(pdf[key].to_list(), key)
             order = np.argsort(v, kind="stable")
             v = v[order]
-            s = np.round(m @ np.stack(pdf["embedding"].to_numpy())[order].astype(np.float64).T, 6)
-            if key == "vec_id":
-                s[q[:, None] == v[None, :]] = -np.inf
-            n = min(k, len(v))
-            best = np.argsort(-s, axis=1, kind="stable")[:, :n]  # ties: smaller id first
-            return pd.DataFrame({"query_id": np.repeat(q, n), key: v[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+            rows = np.stack(pdf["embedding"].to_numpy())[order].astype(np.float64).T
+            n, out = min(k, len(v)), []
+            for lo in range(0, len(q), QUERY_BLOCK):
+                own = q[lo : lo + QUERY_BLOCK]
+                s = np.round(m[lo : lo + QUERY_BLOCK].astype(np.float64) @ rows, 6)
+                if key == "vec_id":
+                    s[own[:, None] == v[None, :]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :n]  # ties: smaller id first
+                out.append(pd.DataFrame({"query_id": np.repeat(own, n), key: v[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
+            return pd.concat(out)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -149,7 +157,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
 
     for row in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator():
         chunk.append(row)
-        if len(chunk) == block:
+        if len(chunk) == (block or max(QUERY_BLOCK, QUERY_BYTES // (4 * max(1, len(row["embedding"]))))):
             part = against(chunk)
             out, chunk = part if out is None else out.unionByName(part), []
     if chunk or out is None:
