@@ -71,6 +71,8 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 
 
 _DOC = ["bid_id", "file_name", "text_field"]
+#: Documents with more forms than this find misread ones by shared parts instead of comparing all of fitting length.
+MANY_FORMS = 2000
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -119,13 +121,47 @@ def edge_headers(edges: DataFrame) -> DataFrame:
     n = F.length("form")
     allowed = F.when(n <= 8, 1).otherwise(F.least(F.greatest(F.lit(2), F.floor(n / 8)), F.lit(5))).cast("int")
     # Forms within the allowed distance differ by no more in length.
-    single = forms.where("pages = 1").withColumn("allowed", allowed).withColumn("length", F.explode(F.sequence(n - F.col("allowed"), n + F.col("allowed"))))
-    heads = forms.select(*_DOC, n.alias("length"), F.col("form").alias("head"))
-    fuzzy = single.join(heads, [*_DOC, "length"]).where(F.levenshtein("form", "head", 5).between(1, F.col("allowed"))).select(*_DOC, "form")
+    forms = stage(forms.withColumn("allowed", allowed))
+    large = stage(forms.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_FORMS).select(*_DOC))
+    few = forms if large.isEmpty() else forms.join(large, _DOC, "left_anti")
+    single = few.where("pages = 1").withColumn("length", F.explode(F.sequence(n - F.col("allowed"), n + F.col("allowed"))))
+    heads = few.select(*_DOC, n.alias("length"), F.col("form").alias("head"))
+    near = lambda x: x.where(F.levenshtein("form", "head", 5).between(1, F.col("allowed"))).select(*_DOC, "form")
+    fuzzy = near(single.join(heads, [*_DOC, "length"]))
+    if few is not forms:
+        fuzzy = fuzzy.unionByName(near(sharing_parts(forms.join(large, _DOC, "left_semi"))))
     running = forms.where("pages >= 2").select(*_DOC, "form").unionByName(fuzzy).distinct()
     return rows.join(running, [*_DOC, "form"]).groupBy("page_id", "text_field").agg(F.collect_set("line_no").alias("header_lines"))
 
 
+def sharing_parts(forms: DataFrame) -> DataFrame:
+    """(document, form, allowed, head): pairs of forms, the first on one page, of which the second has a part of the first at about its place.
+
+    A form that may have d misreadings is cut into d + 1 parts; any form within that distance has one of them unchanged, shifted by
+    d letters at most, so no pair within the distance is lost.
+    """
+    at = lambda n, i, d: F.floor(i * n / (d + 1)).cast("int")
+    n, d = F.length("form"), F.col("allowed")
+    own = F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(n.alias("n"), i.alias("i"), F.substr("form", at(n, i, d) + 1, at(n, i + 1, d) - at(n, i, d)).alias("part")))
+    parts = forms.where("pages = 1").select(*_DOC, "form", "allowed", F.explode(own).alias("k")).select(*_DOC, "form", "allowed", "k.*")
+
+    def of_length(m: Column) -> Column:
+        most = F.when(m <= 8, 1).otherwise(F.least(F.greatest(F.lit(2), F.floor(m / 8)), F.lit(5))).cast("int")
+        fits = F.abs(m - n) <= most
+
+        def places(i: Column) -> Column:
+            size = at(m, i + 1, most) - at(m, i, most)
+            lo, hi = F.greatest(F.lit(0), at(m, i, most) - most), F.least(n - size, at(m, i, most) + most)
+            shifts = F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+            return F.array_distinct(F.transform(shifts, lambda p: F.struct(m.alias("n"), i.alias("i"), F.substr("form", p + 1, size).alias("part"))))
+
+        return F.when(fits, F.flatten(F.transform(F.sequence(F.lit(0), most), places))).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>"))
+
+    lengths = F.sequence(F.greatest(F.lit(4), n - 5), n + 5)
+    heads = forms.select(*_DOC, F.col("form").alias("head"), F.explode(F.flatten(F.transform(lengths, of_length))).alias("k")).select(*_DOC, "head", "k.*")
+    return parts.join(heads, [*_DOC, "n", "i", "part"]).where("form <> head").select(*_DOC, "form", "allowed", "head").distinct()
+
+
 def undone(low: str) -> Iterator[list[str]]:
     """What a form in lower case can be a misreading of: first by one usual confusion, then by two."""
     seen, ring = {low}, [low]

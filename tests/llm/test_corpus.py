@@ -310,6 +310,26 @@ def test_running_lines_without_a_right_copy(spark):
     assert {r.page_id: r.header_lines for r in got} == {p: [1] for p in range(4)}
 
 
+def test_forms_of_large_documents(spark, monkeypatch):
+    """Forms that share parts are those that a comparison of all finds."""
+    rng = random.Random(11)
+    forms = set()
+    while len(forms) < 260:
+        base = "".join(rng.choice("abcdeflmnotu") for _ in range(rng.choice([4, 6, 8, 9, 15, 23, 24, 31, 39, 40, 60])))
+        forms.add(base)
+        for _ in range(3):
+            x = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                k = rng.randrange(len(x))
+                x[k : k + 1] = rng.choice([["z"], [], [x[k], "q"]])
+            forms.add("".join(x))
+    rows = [(i, "b", "f", "raw_text", i, x, None) for i, x in enumerate(sorted(f for f in forms if len(f) >= 4))]
+    edges = spark.createDataFrame(rows, "page_id long, bid_id string, file_name string, text_field string, line_no int, form string, ahead int")
+    want = sorted(r.page_id for r in scans.edge_headers(edges).collect())
+    monkeypatch.setattr(scans, "MANY_FORMS", 10)
+    assert sorted(r.page_id for r in scans.edge_headers(edges).collect()) == want and 100 < len(want) < len(rows)
+
+
 def test_page_number_sequences(spark):
     assert not scans._is_page_no("Page 12 of 20", 3) and scans._is_page_no("Page 3 of 20", 3) and scans._is_page_no("iii", 3)
     assert scans._is_page_no("Page 12 of 20", 3, [9]) and scans._is_page_no("Page 12", None)
