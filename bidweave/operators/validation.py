@@ -50,7 +50,8 @@ def _of(chunks: DataFrame, keys: DataFrame) -> DataFrame:
 def ground(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Outputs with ``is_grounded``, ``matched_chunk``, ``matched_page`` and ``tier`` (1 the cited chunk, 2 its page, 3 its file, 4 the package).
 
-    Quotes meet the chunks of their cited file and their cited chunk in equi-joins within the package; only those that none of these has meet the whole package.
+    Quotes meet the chunks of their cited file and their cited chunk in equi-joins within the package; only those that none of these has
+    meet the rest of the package, by runs of three words.
     """
     src = F.get("sources", F.lit(0))
     o = outputs.withColumns({"quote": src["quote"], "cited_file": src["file"], "cited_page": src["page"], "cited_chunk": src["chunk_id"]})
@@ -68,10 +69,24 @@ def ground(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
         found = quotes.join(forms(_of(c, quotes.select(*keys))), keys).where(inside)
         return found.select("output_id", "chunk_id", "page_number", tier.alias("tier"))
 
+    def in_package(quotes: DataFrame) -> DataFrame:
+        """Chunks of the package with the quote. A quote of five words or more meets only the chunks that have its second to fourth word in a row; few are shorter."""
+        words = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))
+        both = F.array_distinct(F.filter(F.array("q1", "q2"), lambda q: q != ""))
+        runs = F.transform(both, lambda q: F.concat_ws(" ", F.slice(words(q), 2, 3)))
+        quotes = quotes.withColumns({"runs": runs, "long": F.forall(both, lambda q: F.size(words(q)) >= 5)})
+        short, long = quotes.where("not long").drop("runs", "long"), quotes.where("long").select("bid_id", "output_id", "q1", "q2", "runs")
+        asked_runs = long.select("bid_id", "output_id", F.explode("runs").alias("run"))
+        three = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
+        own = forms(_of(c, long.select("bid_id"))).select("bid_id", "chunk_id", F.explode(F.array_distinct(F.concat(three(words(F.col("t1"))), three(words(F.coalesce("t2", F.lit(""))))))).alias("run"))
+        pairs = stage(own.join(asked_runs, ["bid_id", "run"]).select("bid_id", "chunk_id", "output_id").distinct())
+        found = forms(_of(c, pairs.select("bid_id", "chunk_id"))).join(pairs, ["bid_id", "chunk_id"]).join(long.select("output_id", "q1", "q2"), "output_id").where(inside)
+        return tried(["bid_id"], F.lit(4), short).unionByName(found.select("output_id", "chunk_id", "page_number", F.lit(4).alias("tier")))
+
     by_file = F.when(F.col("cited_chunk_id") == F.col("chunk_id"), 1).when(F.col("cited_page") == F.col("page_number"), 2).otherwise(3)
     first = stage(best(tried(["bid_id", "file_name"], by_file, asked).unionByName(tried(["bid_id", "chunk_id"], F.lit(1), asked))))
     rest = stage(asked.join(first.select("output_id"), "output_id", "left_anti"))
-    hits = first if rest.isEmpty() else first.unionByName(best(tried(["bid_id"], F.lit(4), rest)))
+    hits = first if rest.isEmpty() else first.unionByName(best(in_package(rest)))
     matched = hits.select("output_id", F.col("chunk_id").alias("matched_chunk"), F.col("page_number").alias("matched_page"), "tier")
     return o.join(matched, "output_id", "left").withColumn("is_grounded", F.col("tier").isNotNull())
 

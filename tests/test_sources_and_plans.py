@@ -177,6 +177,10 @@ def test_grounding_stays_in_the_package(spark):
     got = {r.output_id: (r.is_grounded, r.tier, r.matched_chunk) for r in validation.ground(outputs, chunks).collect()}
     assert got[1] == (True, 2, "x1") and got[3] == (True, 4, "x1") and got[2][1] == 4 and got[2][2] is None
     assert not any(got[i][0] for i in (4, 5, 6))
+    long = spark.createDataFrame([("z1", "x |One two| three  FOUR, five\nsix* seven", "A", "z.pdf", "rfp", 1), ("z2", "one two three four", "A", "z.pdf", "rfp", 2), ("z3", "one two three four five six", "B", "z.pdf", "rfp", 2)], SCHEMA)
+    quotes = [("two three four, five six", "z1"), ("one two three four, five six seven", "z1"), ("ne two three four, five si", "z1"), ("one two three four five", None), ("one two three four", "z1"), ("two three four", "z1")]
+    outputs = spark.createDataFrame([(i, "A", "Bid Bond", "ten", "FOUND", [("none.pdf", 1, q, None)]) for i, (q, _) in enumerate(quotes)], outputs.schema)
+    assert {r.output_id: r.matched_chunk for r in validation.ground(outputs, long).collect()} == {i: want for i, (_, want) in enumerate(quotes)}
     assert validation.ground(outputs.limit(0), chunks).collect() == [] and validation.ground(outputs, chunks.limit(0)).where("is_grounded").count() == 0
 
 
