@@ -170,7 +170,7 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     """Adds ``utc_us`` and ``wall_kind`` (``offset``, ``unique``, ``ambiguous``, ``skipped``, ``count``) to each row of ``cells``.
 
     ``labels`` (label, zone_id) is a small table that does not grow. An offset counts before a label or name.
-    No row is dropped or repeated. Only the zones and years that occur are built, in a first pass over the cells. Columns of ``cells`` with
+    No row is dropped or repeated. Only the zones and years that occur are built. Columns of ``cells`` with
     the names of the added ones are replaced.
     """
     # The given row travels whole, so that none of its names can clash with those used here.
@@ -193,6 +193,8 @@ def to_instants(cells: DataFrame, labels: DataFrame, text: str = "value", defaul
     zone = F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("__label"), F.col("default_zone"))
     df = df.withColumn("__zone", zone).withColumn("__shift", F.coalesce("__shift", offset_seconds(F.col("__zone"))))
     df = df.withColumns({"zone_key": F.lower("__zone"), "wall_year": F.when(F.col("__shift").isNull(), F.expr("cast(extract(year from date_add(date'1970-01-01', cast(floor(wall_us / 86400000000) as int))) as int)"))})
+    # Read once: the first pass over the cells is written and gives the zones and years that occur.
+    df = stage(df.select("given", "wall_us", "epoch_us", "__shift", "zone_key", "wall_year"))
     years = stage(zone_intervals(df.select("zone_key", "wall_year").where("zone_key is not null and wall_year is not null").distinct()))
     df = df.join(F.broadcast(years) if years.count() <= BROADCAST_YEARS else years, ["zone_key", "wall_year"], "left")
     hits = F.expr("filter(spans, s -> wall_us >= s.from_us and wall_us < s.to_us)")
