@@ -142,13 +142,13 @@ def chunk_pages(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
     order = Window.partitionBy(*doc).orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__before", F.last("__last", ignorenulls=True).over(order)).withColumn("__active", F.coalesce("__first", "__before"))
     df = df.withColumn("__p", packed(F.col("__n"), F.col("__h"), F.col("__active"), F.coalesce("__active", "__prose", F.lit("General"))))
-    prose = F.transform("__p", lambda p, i: F.struct((i + 100_000).alias("seq"), F.lit(False).alias("is_table"), F.concat(F.lit("c"), i.cast("string")).alias("suffix"), p["section"].alias("section"), joined(F.col("__segs"), p).alias("body")))
+    prose = F.transform("__p", lambda p, i: F.struct(F.struct(F.lit(1).alias("a"), i.alias("b"), F.lit(0).alias("c")).alias("seq"), F.lit(False).alias("is_table"), F.concat(F.lit("c"), i.cast("string")).alias("suffix"), p["section"].alias("section"), joined(F.col("__segs"), p).alias("body")))
     title = F.coalesce("__any", "__before", F.when(F.col("doc_type") == "specs", "Specifications").otherwise(F.concat(F.lit("Table (p."), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(")"))))
 
     def parts(md: Column, i: Column) -> Column:
         pieces = split_table(md)
         name = F.concat(F.lit("tbl_"), i.cast("string"))
-        return F.transform(pieces, lambda t, k: F.struct((i * 1000 + k).alias("seq"), F.lit(True).alias("is_table"), F.when(F.size(pieces) > 1, F.concat(name, F.lit("_part"), k.cast("string"))).otherwise(name).alias("suffix"), title.alias("section"), t.alias("body")))
+        return F.transform(pieces, lambda t, k: F.struct(F.struct(F.lit(0).alias("a"), i.alias("b"), k.alias("c")).alias("seq"), F.lit(True).alias("is_table"), F.when(F.size(pieces) > 1, F.concat(name, F.lit("_part"), k.cast("string"))).otherwise(name).alias("suffix"), title.alias("section"), t.alias("body")))
 
     kept = [c for c in pages.columns if c not in (text, "seq", "is_table", "section", "context_header", "chunk_id", "text")]
     df = df.select(*kept, F.explode(F.concat(F.flatten(F.transform("__md", parts)), prose)).alias("c")).select(*kept, "c.*")

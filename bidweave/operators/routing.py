@@ -265,9 +265,8 @@ def q_agencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_order(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every package in lists."""
-    packages = table(spark, d, "packages").select("bid_id")
-    return packages.select("bid_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*bid_order())).alias("place"))
+    """The packages in the order of lists, with the first part of their place."""
+    return table(spark, d, "packages").select("bid_id", bid_order()[0].cast("int").alias("place")).orderBy(*bid_order())
 
 
 def q_compared(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +313,7 @@ SQL = {
     "question_kinds": r"select doc_id, regexp_matches(lower(coalesce(text, '')), '" + "|".join(X.COMPARING) + r"') or regexp_matches(lower(coalesce(text, '')), '\bbetween\s+([a-z0-9_]+)\s+and\s+([a-z0-9_]+)\b') compares, case when regexp_matches(lower(coalesce(text, '')), '" + "|".join(SUMMARY_WORDS) + r"') then try_cast(nullif(regexp_extract(lower(coalesce(text, '')), 'addendum\s*(?:no\.?|#)?\s*(\d+)', 1), '') as integer) end asks_addendum from documents",
     "cover_chunks": "select bid_id, count(distinct chunk_id) n_chunks from chunks where page_number = 1 or doc_type in ('bid_page', 'specs') group by 1",
     "known_agencies": f"with {_V} select distinct bid_id, 'agency' kind, lower(trim(x)) as value from (select bid_id, unnest(regexp_extract_all(coalesce(text, ''), '([A-Z][A-Za-z0-9&,\\.\\s]{{3,40}}(?:School District|ISD|Treasurer|Department|State of|County|City|Commission))', 1)) x from chunks where (page_number = 1 or doc_type in ('bid_page', 'specs')) and bid_id is not null) union all select distinct bid_id, case k when 'bid number' then 'number' when 'company_name' then 'agency' else 'title' end, lower(trim(value)) from v where k in ('bid number', 'company_name', 'title') and bid_id is not null and lower(trim(value)) <> ''",
-    "bid_order": "select bid_id, cast(row_number() over (order by case bid_id when 'Bid1' then 1 when 'Bid2' then 2 when 'Bid3' then 3 else 4 end, bid_id) as integer) place from packages",
+    "bid_order": "select bid_id, case bid_id when 'Bid1' then 1 when 'Bid2' then 2 when 'Bid3' then 3 else 4 end place from packages",
     "compared_packages": _ROUTE.split("be as (")[0] + """nm as (select query_id, bid_id from (select query_id, bid_id, sum(w) w from al group by 1, 2) where w > 0 and bid_id in (select bid_id from cc)),
 en2 as (select query_id from nm group by 1 having count(*) >= 2),
 o as (select * from nm where query_id in (select query_id from en2) union all select query_id, null from (select distinct query_id from al where query_id not in (select query_id from en2)))
