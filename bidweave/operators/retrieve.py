@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from bidweave.config import FIELDS, SETTINGS, field_definitions
 from bidweave.functions import text as X
 from bidweave.plans.providers import Embedder, HashEmbedder, Reranker, embed
-from bidweave.session import spread, stage, table
+from bidweave.session import spread, stage, table, unique, write_out
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -61,8 +61,8 @@ def build_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
 
     Only partial counts by term are shuffled, never the postings.
     """
-    docs = spread(chunks.select("chunk_id", text).dropDuplicates(["chunk_id"])).select("chunk_id", X.terms(text).alias("terms"))
-    rows = stage(docs.mapInArrow(_counted, "chunk_id string, dl int, terms array<string>, tfs array<int>"))
+    docs = spread(unique(chunks.select("chunk_id", text), "chunk_id")).select("chunk_id", X.terms(text).alias("terms"))
+    rows = write_out(docs.mapInArrow(_counted, "chunk_id string, dl int, terms array<string>, tfs array<int>"))
     base = stage(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -168,15 +168,20 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, block: int | No
 
 def vectors_of(chunks: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
     """(chunk_id, embedding): each chunk with terms once, by the provider."""
-    docs = chunks.select("chunk_id", "text").where(F.size(X.terms("text")) > 0).dropDuplicates(["chunk_id"])
+    docs = unique(chunks.select("chunk_id", "text"), "chunk_id").where(F.lower("text").rlike("[a-z0-9]"))
     return embed(docs, "text", make).select("chunk_id", "embedding")
 
 
+def _embedded(chunks: DataFrame, make: Callable[[], Embedder], columns: list[str]) -> DataFrame:
+    """The given columns and ``embedding`` of unique chunks with terms."""
+    return embed(chunks.where(F.lower("text").rlike("[a-z0-9]")).select(*columns, "text"), "text", make).drop("text")
+
+
 def dense_list(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, make: Callable[[], Embedder] = HashEmbedder, vectors: DataFrame | None = None, within: str | None = None, **filters) -> DataFrame:
     """(query_id, chunk_id, score, rank): the candidates of each query (query_id, query) by cosine; filtered before they are ranked."""
-    allowed = metadata_filter(chunks.dropDuplicates(["chunk_id"]), **filters)
+    allowed = metadata_filter(unique(chunks, "chunk_id"), **filters)
     columns = ["chunk_id", *([within] if within else [])]
-    rows = vectors.join(allowed.select(columns), "chunk_id") if vectors is not None else vectors_of(allowed, make) if not within else vectors_of(allowed, make).join(allowed.select(columns), "chunk_id")
+    rows = vectors.join(allowed.select(columns), "chunk_id") if vectors is not None else _embedded(allowed, make, columns)
     # Models that are trained so put words before a query, never before a passage.
     ahead = getattr(make(), "query_prefix", "")
     asked = queries.where(F.size(X.terms("query")) > 0)
@@ -254,6 +259,8 @@ def pool_size(k: int | None) -> int:
     return max(SETTINGS.candidate_pool, 2 * (k or SETTINGS.top_k))
 
 
+#: Candidates of all queries are broadcast up to this number (some 20 MB), beyond it joined by a shuffle.
+BROADCAST_RESULTS = 200_000
 MODES = ("bm25_only", "dense_only", "hybrid_norerank", "hybrid")
 
 
@@ -267,7 +274,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
         raise ValueError(f"mode must be one of {MODES}")
     pool = pool_size(k)
     index = index or build_index(chunks)
-    known = chunks.dropDuplicates(["chunk_id"])
+    known = unique(chunks, "chunk_id")
     allowed = metadata_filter(known, **filters).select("chunk_id")
     asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query")) if expand_query else queries
     sparse = top_k(bm25_scores(index, asked).join(allowed, "chunk_id", "left_semi"), pool)
@@ -279,8 +286,11 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
         ranked = dense.join(allowed, "chunk_id", "left_semi").select("query_id", "chunk_id", F.col("score").alias("rrf_score"), "rank")
     else:
         ranked = fuse(sparse, dense.join(allowed, "chunk_id", "left_semi"), weights=weights).where(F.col("rank") <= pool).select("query_id", "chunk_id", "rrf_score", "rank")
+    # A few candidates of each query: texts are read for them, not shuffled.
+    ranked = stage(ranked)
+    ranked = F.broadcast(ranked) if ranked.count() <= BROADCAST_RESULTS else ranked
     cols = ["chunk_id", "text", "file_name", "page_number", "page_start", "page_end", "section", "bid_id", "doc_type"]
-    out = ranked.join(known.select(*cols), "chunk_id").join(queries, "query_id")
+    out = known.select(*cols).join(ranked, "chunk_id").join(queries, "query_id")
     if mode == "hybrid":
         out = rerank(out, overlap_score() if make_reranker is None else model_score(make_reranker), k or SETTINGS.top_k)
     else:
@@ -296,7 +306,7 @@ def projected(found: DataFrame) -> DataFrame:
 
 def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, index: SparseIndex | None = None, make: Callable[[], Embedder] = HashEmbedder, vectors: DataFrame | None = None, **filters) -> DataFrame:
     """(bid_id, query_id, chunk_id, rank, rrf_score, rerank_score): the hybrid search of every query in each package on its own."""
-    known = chunks.where("bid_id is not null").dropDuplicates(["chunk_id"])
+    known = unique(chunks.where("bid_id is not null"), "chunk_id")
     allowed = metadata_filter(known, **filters)
     slot = F.struct("bid_id", "query_id").alias("query_id")
     asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query"))

@@ -14,7 +14,7 @@ from bidweave.operators.trace import Tracer
 from bidweave.operators.amendments import SOURCE, accept, merged_sources, propose
 from bidweave.operators.validation import completeness, finalize, supersede, validate
 from bidweave.plans.providers import PatternExtractor, PatternReconciler, extract
-from bidweave.session import stage
+from bidweave.session import stage, unique
 
 PACKAGE = ["bid_id", "field_name"]
 
@@ -31,7 +31,7 @@ def gather(chunks: DataFrame, definitions: DataFrame, index: SparseIndex, k: int
 
     With ``absence`` the search that confirms an absence: by the third to fifth hints (fields of one or two hints: by those), without scans.
     """
-    known = chunks.where("bid_id is not null").dropDuplicates(["chunk_id"])
+    known = unique(chunks.where("bid_id is not null"), "chunk_id")
     allowed = known.where("lower(coalesce(doc_type, '')) <> 'addendum'")
     hints = F.when(F.size("hints") > 2, F.slice("hints", 3, 3)).otherwise(F.col("hints")) if absence else F.slice("hints", 1, 3)
     queries = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), hints).alias("query"))

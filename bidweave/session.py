@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,29 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def write_out(df: DataFrame) -> DataFrame:
+    """Like ``stage``, as a compressed table in the checkpoint folder: for wide rows that several passes read."""
+    stage(df.sparkSession.range(0))  # names the folder
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys that come again are broadcast up to this number (some 30 MB), beyond it joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key, null included. Keys are counted first, so that only rows whose key comes again are shuffled."""
+    again = stage(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"))
+    n = again.count()
+    if not n:
+        return df
+    side = F.broadcast(again) if n <= BROADCAST_KEYS else again
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(side, same, "left_anti").unionByName(df.join(side, same, "left_semi").dropDuplicates([key]))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out anew if the scan gives fewer than half as many tasks as there are cores (one small file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bidweave.config import SETTINGS, field_definitions
 from bidweave.functions import text as X
+from bidweave import session
 from bidweave.operators import chunking, classify, clean, indexing, retrieve, routing, tables, trace, validation
 
 
@@ -109,6 +110,15 @@ def test_packing_matches_loop(spark):
     assert [r.bodies for r in got] == [pack(t or "", 120, 30) for t in texts]
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_unique(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_KEYS", limit)
+    df = spark.createDataFrame([(k, "x") for k in ["a", "b", "b", None, None, "c", "c", "c"]], "k string, v string")
+    assert sorted(str(r.k) for r in session.unique(df, "k").collect()) == ["None", "a", "b", "c"]
+    assert session.unique(df.limit(0), "k").collect() == [] and session.unique(df.where("k = 'a'"), "k").count() == 1
+    assert session.write_out(df).count() == 8 and session.write_out(df.limit(0)).columns == ["k", "v"]
+
+
 PAGE = "page_id int, bid_id string, file_name string, doc_type string, addendum_number int, page_number int, cleaned_text string"
 
 
