@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bidweave.config import FIELDS, SETTINGS, field_definitions
 from bidweave.functions import text as X
@@ -29,7 +30,7 @@ BROADCAST_TERMS = 1_000_000
 
 
 class SparseIndex(NamedTuple):
-    """``rows`` (chunk_id, dl, terms, tfs: a row for each chunk), ``term_stats`` (term, df, idf), ``corpus`` (one row: n, avgdl, avg_idf, vocabulary)."""
+    """``rows`` (chunk_id, dl, terms, tfs and the chunks' ``METADATA``: a row for each chunk), ``term_stats`` (term, df, idf), ``corpus`` (one row: n, avgdl, avg_idf, vocabulary)."""
 
     rows: DataFrame
     term_stats: DataFrame
@@ -41,6 +42,10 @@ class SparseIndex(NamedTuple):
         return self.rows.select("chunk_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).toDF("chunk_id", "dl", "term", "tf")
 
 
+#: Columns of chunks that an index keeps, so that filters need no join.
+METADATA = ("bid_id", "doc_type", "addendum_number", "is_table")
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's distinct terms with their counts, on Arrow arrays as they are."""
     for b in batches:
@@ -53,7 +58,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
         terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(word)))
         tfs = pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(sizes.astype(np.int32)), terms, tfs], ["chunk_id", "dl", "terms", "tfs"])
+        more = [c for c in b.schema.names if c not in ("chunk_id", "terms")]
+        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(sizes.astype(np.int32)), terms, tfs, *(b.column(c) for c in more)], ["chunk_id", "dl", "terms", "tfs", *more])
 
 
 def build_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
@@ -61,8 +67,10 @@ def build_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
 
     Only partial counts by term are shuffled, never the postings.
     """
-    docs = spread(unique(chunks.select("chunk_id", text), "chunk_id")).select("chunk_id", X.terms(text).alias("terms"))
-    rows = write_out(docs.mapInArrow(_counted, "chunk_id string, dl int, terms array<string>, tfs array<int>"))
+    kept = [c for c in METADATA if c in chunks.columns and c != text]
+    docs = spread(unique(chunks.select("chunk_id", text, *kept), "chunk_id")).select("chunk_id", X.terms(text).alias("terms"), *kept)
+    added = "chunk_id string, dl int, terms array<string>, tfs array<int>"
+    rows = write_out(docs.mapInArrow(_counted, ", ".join([added, *(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in kept)])))
     base = stage(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -83,6 +91,71 @@ def bm25_scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
+#: Scores that a task holds at once.
+SCORES_AT_ONCE = 4_000_000
+
+
+def bm25_top(index: SparseIndex, queries: DataFrame, k: int, within: str | None = None, **filters) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of each query, with ``within`` of each of its groups; as ``top_k`` over ``bm25_scores``, filtered before.
+
+    Every chunk's scores are summed in its row, and a task gives on only what can be among the k best, so that no score matrix is
+    shuffled. More query terms than can be broadcast go by the postings instead.
+    """
+    rows = metadata_filter(index.rows, **filters)
+    wanted = queries.select("query_id", F.explode(X.terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = stage(wanted.join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    by = ["query_id", within] if within else ["query_id"]
+    if wanted.count() > BROADCAST_TERMS:
+        scores = bm25_scores(index, queries).join(rows.select("chunk_id", *by[1:]), "chunk_id")
+        return top_k(scores, k, by=by)
+    asked = wanted.toPandas()  # at most BROADCAST_TERMS rows
+    avgdl = index.corpus.select("avgdl").first()["avgdl"] or 1.0
+    ids, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True) if len(asked) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    order = np.argsort(asked["term"].to_numpy(), kind="stable")
+    names, first = np.unique(asked["term"].to_numpy()[order], return_index=True) if len(asked) else ([], np.empty(0, np.int64))
+    ends = np.append(first, len(order)).astype(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(names)}, ends, query[order], asked["weight"].to_numpy()[order], ids))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double" + (f", {within} {index.rows.schema[within].dataType.simpleString()}" if within else "")
+
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ends, query, weight, ids = sent.value
+        step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+        for whole in batches:
+            for lo in range(0, len(whole) if len(ids) else 0, step):
+                b = whole.slice(lo, step)
+                lists = b.column("terms")
+                words = lists.flatten().dictionary_encode()
+                known = np.array([place.get(t, -1) for t in words.dictionary.to_pylist()], np.int64)
+                offsets = lists.offsets.to_numpy()
+                term = known[words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.empty(0, np.int64)
+                at = np.flatnonzero(term >= 0)
+                if not len(at):
+                    continue
+                row = np.repeat(np.arange(len(b)), np.diff(offsets))[at]
+                term, tf = term[at], b.column("tfs").flatten().to_numpy()[at].astype(np.float64)
+                dl = b.column("dl").to_numpy()[row]
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                # Every posting meets the queries that have its term.
+                n = ends[term + 1] - ends[term]
+                own = np.repeat(ends[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                scores = np.bincount(np.repeat(row, n) * len(ids) + query[own], weights=np.repeat(part, n) * weight[own], minlength=len(b) * len(ids)).reshape(len(b), len(ids))
+                scores = np.round(scores, 6)
+                group = pd.factorize(b.column(within).to_pandas(), use_na_sentinel=False)[0] if within else np.zeros(len(b), np.int64)
+                for g in range(group.max() + 1):
+                    members = np.flatnonzero(group == g)
+                    s = scores[members]
+                    least = np.partition(s, len(members) - k, axis=0)[len(members) - k] if len(members) > k else np.zeros(len(ids))
+                    r, q = np.nonzero((s > 0) & (s >= least))
+                    places = pa.array(members[r])
+                    columns = [pa.array(ids[q].tolist(), kind), b.column("chunk_id").take(places), pa.array(s[r, q])]
+                    yield pa.RecordBatch.from_arrays([*columns, *(b.column(c).take(places) for c in by[1:])], ["query_id", "chunk_id", "score", *by[1:]])
+
+    found = rows.select("chunk_id", "dl", "terms", "tfs", *by[1:]).where("chunk_id is not null").mapInArrow(run, schema)
+    return top_k(found, k, by=by)
+
+
 def metadata_filter(df: DataFrame, bid_id: str | None = None, doc_type: str | None = None, exclude_doc_type: str | None = None, addendum_number: int | None = None, is_table: bool | None = None) -> DataFrame:
     """Package without regard to case, type exactly, excluded type without regard to case; null numbers never match."""
     if bid_id:
@@ -277,7 +350,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k, mode:
     known = unique(chunks, "chunk_id")
     allowed = metadata_filter(known, **filters).select("chunk_id")
     asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query")) if expand_query else queries
-    sparse = top_k(bm25_scores(index, asked).join(allowed, "chunk_id", "left_semi"), pool)
+    sparse = bm25_top(index, asked, pool, **filters)
     if mode != "bm25_only" and dense is None:
         dense = dense_list(spread(known), queries, k, make, **filters)
     if mode == "bm25_only":
@@ -310,8 +383,7 @@ def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k
     allowed = metadata_filter(known, **filters)
     slot = F.struct("bid_id", "query_id").alias("query_id")
     asked = expand(queries, expansion_terms(chunks.sparkSession)).select("query_id", F.col("expanded").alias("query"))
-    scores = bm25_scores(index or build_index(chunks), asked).join(allowed.select("chunk_id", "bid_id"), "chunk_id")
-    sparse = top_k(scores.select(slot, "chunk_id", "score"), pool_size(k))
+    sparse = bm25_top(index or build_index(chunks), asked, pool_size(k), "bid_id", **filters).where("bid_id is not null").select(slot, "chunk_id", "score", "rank")
     dense = dense_list(known, queries, k, make, vectors, "bid_id", **filters).select(slot, "chunk_id", "rank")
     fused = fuse(sparse, dense).where(F.col("rank") <= pool_size(k)).select("query_id.*", "chunk_id", "rrf_score")
     pairs = fused.join(known.select("chunk_id", "text"), "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
@@ -321,7 +393,7 @@ def search_within(chunks: DataFrame, queries: DataFrame, k: int = SETTINGS.top_k
 
 def route_by_sum(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, bid_id, total): the package with the highest sum of a query's eight best scores."""
-    best = top_k(bm25_scores(build_index(chunks), queries), 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null").distinct(), "chunk_id")
+    best = bm25_top(build_index(chunks), queries, 8).join(chunks.select("chunk_id", "bid_id").where("bid_id is not null").distinct(), "chunk_id")
     per = best.groupBy("query_id", "bid_id").agg(F.round(F.sum("score"), 4).alias("total"))
     return top_k(per.where("total > 0.1"), 1, "bid_id", score="total").select("query_id", "bid_id", "total")
 
@@ -383,8 +455,7 @@ def q_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_topk(spark: SparkSession, d: str) -> DataFrame:
-    scores = bm25_scores(build_index(_chunks(spark, d)), _files(spark, d))
-    return top_k(scores, 10).select("query_id", "rank", "chunk_id", "score")
+    return bm25_top(build_index(_chunks(spark, d)), _files(spark, d), 10).select("query_id", "rank", "chunk_id", "score")
 
 
 def q_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -392,22 +463,19 @@ def q_fields(spark: SparkSession, d: str) -> DataFrame:
     definitions = field_definitions(spark)
     asked = definitions.select(F.col("field_ord").alias("query_id"), F.concat_ws(" ", F.array("field_name"), F.slice("hints", 1, 3)).alias("query"))
     chunks = _chunks(spark, d)
-    kept = metadata_filter(chunks, exclude_doc_type="addendum").select("chunk_id")
-    best = top_k(bm25_scores(build_index(chunks), asked).join(kept, "chunk_id", "left_semi"), SETTINGS.top_k)
+    best = bm25_top(build_index(chunks), asked, SETTINGS.top_k, exclude_doc_type="addendum")
     return best.join(F.broadcast(definitions.select(F.col("field_ord").alias("query_id"), "field_name")), "query_id").select("field_name", "rank", "chunk_id", "score")
 
 
 def q_filtered(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    scores = bm25_scores(build_index(chunks), _files(spark, d))
-    kept = metadata_filter(chunks, exclude_doc_type="addendum", is_table=False).select("chunk_id")
-    return top_k(scores.join(kept, "chunk_id", "left_semi"), 10).select("query_id", "rank", "chunk_id", "score")
+    return bm25_top(build_index(chunks), _files(spark, d), 10, exclude_doc_type="addendum", is_table=False).select("query_id", "rank", "chunk_id", "score")
 
 
 def _two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks, q = _chunks(spark, d), _files(spark, d)
-    a = top_k(bm25_scores(build_index(chunks), q), 20)
-    b = top_k(bm25_scores(build_index(chunks.where("context_header is not null"), "context_header"), q), 20)
+    a = bm25_top(build_index(chunks), q, 20)
+    b = bm25_top(build_index(chunks.where("context_header is not null"), "context_header"), q, 20)
     return a, b
 
 
@@ -425,7 +493,7 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
 
 def q_metrics(spark: SparkSession, d: str) -> DataFrame:
     chunks, q = _chunks(spark, d), _files(spark, d)
-    best = top_k(bm25_scores(build_index(chunks), q), 5).join(chunks.select("chunk_id", "file_name").distinct(), "chunk_id").join(q.select("query_id", "own_file"), "query_id")
+    best = bm25_top(build_index(chunks), q, 5).join(chunks.select("chunk_id", "file_name").distinct(), "chunk_id").join(q.select("query_id", "own_file"), "query_id")
     return metrics(best, F.col("file_name") == F.col("own_file"), q)
 
 
@@ -444,7 +512,7 @@ def q_findable(spark: SparkSession, d: str) -> DataFrame:
 def q_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """The items searched by their own text, judged by text, file and page."""
     items, chunks = _items(spark, d), table(spark, d, "chunks")
-    best = top_k(bm25_scores(build_index(chunks), items.select("query_id", F.col("target_substring").alias("query"))), 5)
+    best = bm25_top(build_index(chunks), items.select("query_id", F.col("target_substring").alias("query")), 5)
     found = best.join(chunks.select("chunk_id", "text", "file_name", "page_start", "page_end", "page_number").dropDuplicates(["chunk_id"]), "chunk_id").join(items, "query_id")
     return metrics(found, relevant(), items)
 

@@ -119,6 +119,28 @@ def test_unique(spark, monkeypatch, limit):
     assert session.write_out(df).count() == 8 and session.write_out(df.limit(0)).columns == ["k", "v"]
 
 
+@pytest.mark.parametrize(("most", "terms"), [(10**6, 10**6), (7, 10**6), (10**6, 0)])
+def test_best_by_row_are_the_best_of_all(spark, monkeypatch, most, terms):
+    """Scores summed in rows and cut per task give what all scores ranked give, with ties, filters and groups."""
+    monkeypatch.setattr(retrieve, "SCORES_AT_ONCE", most)
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", terms)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(12)] + ["ja-20", "x1y"]
+    rows = [(f"c{i:03}", " ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))), rng.choice(["Bid1", "bid1", "Bid2", None]), rng.choice(["rfp", "addendum", None])) for i in range(160)]
+    rows += [*rows[:10], ("zz", None, "Bid1", "rfp")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, bid_id string, doc_type string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=3))) for i in range(9)] + [(10, ""), (11, None), (12, "unknown")], "query_id long, query string")
+    index = retrieve.build_index(chunks)
+    scores = retrieve.bm25_scores(index, queries)
+    meta = chunks.select("chunk_id", "bid_id", "doc_type").distinct()
+    got = lambda df, *c: sorted(map(repr, df.select("query_id", "chunk_id", "score", "rank", *c).collect()))
+    assert got(retrieve.bm25_top(index, queries, 4)) == got(retrieve.top_k(scores, 4))
+    kept = retrieve.metadata_filter(meta, bid_id="BID1", exclude_doc_type="addendum")
+    assert got(retrieve.bm25_top(index, queries, 4, bid_id="BID1", exclude_doc_type="addendum")) == got(retrieve.top_k(scores.join(kept, "chunk_id"), 4))
+    assert got(retrieve.bm25_top(index, queries, 2, "bid_id"), "bid_id") == got(retrieve.top_k(scores.join(meta, "chunk_id"), 2, by=["query_id", "bid_id"]), "bid_id")
+    assert retrieve.bm25_top(index, queries.limit(0), 4).collect() == [] and retrieve.bm25_top(retrieve.build_index(chunks.limit(0)), queries, 4).collect() == []
+
+
 PAGE = "page_id int, bid_id string, file_name string, doc_type string, addendum_number int, page_number int, cleaned_text string"
 
 
