@@ -380,6 +380,16 @@ def test_items(names, text, want):
     assert [(k, text[a:b]) for k, a, b in personal.items(text, names)] == want
 
 
+def test_long_monotonous_texts(names):
+    """No pattern takes more than proportional time on long texts of one kind."""
+    import time
+
+    for part in ("dot ", "Mr. ", "Mr. Ab B. ", "a at ", "a@", "one two ", "1 ", "Ab ", "x"):
+        began = time.time()
+        personal.items(part * (100_000 // len(part)), names)
+        assert time.time() - began < 8, part
+
+
 def test_classifier_of_names(names):
     """Names with no part in the lexicon are found by what stands beside them; other runs of capitalised words are not."""
     rng = random.Random(7)
