@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -14,25 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The context's folder for written stages, below the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; the files survive the loss of executors. Only a session
-    on one machine (tests) gets a temporary folder where none is named; on a cluster that is an error.
+    Only a session on one machine (tests) gets a temporary folder where none is named; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bidweave-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the shared folder; the files survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def write_out(df: DataFrame) -> DataFrame:
-    """Like ``stage``, as a compressed table in the checkpoint folder: for wide rows that several passes read."""
-    stage(df.sparkSession.range(0))  # names the folder
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid4().hex}"
+    """Like ``stage``, as a compressed table in the shared folder: for wide rows that several passes read. It stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
