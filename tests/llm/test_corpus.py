@@ -406,6 +406,33 @@ def test_classifier_of_names(names):
     assert spans("The Marfold Velgrove line. Deliver near Stoltham Erewhon on time.") == [] and spans("A Purchase Order") == []
 
 
+def test_classifier_learns_from_all_texts(spark):
+    """Few texts among many hold names, the only evidence on one word is in a long text; the rows' order and number of parts change nothing."""
+    known = [f"{g} {h}{t}" for g in ("Amara", "Hugo", "Odette") for h in ("Brindle", "Corve", "Dray", "Quill") for t in ("berg", "combe", "stad")]
+    lexicon = spark.createDataFrame([(w, "given") for w in ("Amara", "Hugo", "Odette")] + [(w.split()[1], "surname") for w in known[:12]], "name_part string, part_kind string")
+    texts = [f"The affiant, {known[k % 36]}, states that lot {k} was shipped." if k % 12 == 0 else f"The Marfold Velgrove line was closed on day {k}." for k in range(3000)]
+    texts += ["The affiant, Tamsin Okonkwo, states that all is well.", "The affiant, Tarred Gravel, states that all is well.", "x " * 15_000 + "tarred"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    given, surnames = ["Amara", "Hugo", "Odette"], [w.split()[1] for w in known[:12]]
+    model = personal.Model.fit(texts, personal.Names(given, surnames))
+    for parts in (1, 7):
+        told = personal.seen(df.orderBy(F.xxhash64("doc_id")).repartition(parts), given, surnames, "text")
+        got, _ = personal.trained(told, given, surnames, "text", ["doc_id"])
+        assert (got.common, got.weights, got.least) == (model.common, model.weights, model.least) and "tarred" in got.common
+    got = {r.doc_id: r.redacted for r in personal.redact(df, lexicon).where("doc_id >= 3000").select("doc_id", "redacted").collect()}
+    assert got == {3000: "The affiant, [NAME], states that all is well.", 3001: texts[3001], 3002: texts[3002]}
+
+
+def test_items_are_not_sought_twice(names):
+    """Gates that spare a pattern spare none of its matches."""
+    rng = random.Random(11)
+    parts = ["214", "2OO", "55S", "OIOI", "0lO1", "(2l4)", "555", "-", " ", ".", ") ", "x", "5 of", "a@b.org", "\n", "@site.example", "x@", "\t"]
+    for _ in range(3000):
+        s = "".join(rng.choices(parts, k=8))
+        assert not personal._LETTERED.search(s) or personal._LETTER.search(s) or all(m[0] == m[0].translate(personal._TO_DIGITS) for m in personal._LETTERED.finditer(s))
+        assert not personal._BREAK_AT.search(s) or personal._BREAK.search(s)
+
+
 def test_redact_frame(spark):
     lexicon = spark.createDataFrame([("Hugo", "given"), ("Finchlow", "surname"), (None, "given")], "name_part string, part_kind string")
     df = spark.createDataFrame([(1, "😀 Hugo Finchlow <a@b.example>", 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, items int")
