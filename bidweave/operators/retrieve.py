@@ -407,18 +407,65 @@ def relevant(target: str = "target_substring", file: str = "expected_file", page
     return F.coalesce(low("text").contains(low(target)) & named & F.col(page).between(first, last), F.lit(False))
 
 
+#: Lengths of the pieces by which names meet; a name takes the first that isn't longer than itself.
+PIECES = (8, 4, 2, 1, 0)
+#: Names whose pieces are broadcast (some 20 MB), and items; beyond that both are joined by a shuffle.
+BROADCAST_NAMES, BROADCAST_ITEMS = 10_000, 200_000
+
+
+def _pieces(name: str, n: int) -> Column:
+    """The distinct pieces of length ``n`` of a name, hashed; none of a shorter name."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1)))
+    found = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.lit(n), F.col(name).substr(i, F.lit(n)))))
+    return F.when(F.length(name) >= n, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): each ``name`` of the first table with all names of the second that it is part of.
+
+    A name meets only those that have its rarest piece; one with a piece that none of them has is part of none.
+    """
+    size = F.coalesce(*[F.when(F.length("name") >= n, n) for n in PIECES])
+    used = [r.n for r in inner.select(size.alias("n")).distinct().collect()]
+    own = inner.select(F.col("name").alias("inner"), F.explode(F.coalesce(*[F.when(size == n, _pieces("name", n)) for n in PIECES])).alias("piece"))
+    every = outer.select(F.col("name").alias("outer"), F.explode(F.concat(F.array().cast("array<bigint>"), *[_pieces("name", n) for n in used])).alias("piece"))
+    few, few_outer = inner.count() <= BROADCAST_NAMES, outer.count() <= BROADCAST_NAMES
+    asked = every.join(F.broadcast(own.select("piece").distinct()), "piece", "left_semi") if few else every
+    counts = asked.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.join(F.broadcast(counts) if few or few_outer else counts, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = stage(counted.groupBy("inner").agg(F.min_by("piece", "n").alias("piece"), F.min("n").alias("n")).where("n > 0").select("inner", "piece"))
+    side = F.broadcast(rarest) if rarest.count() <= BROADCAST_ITEMS else rarest
+    return every.join(side, "piece").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+def _to_compare(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Items beside the chunks whose texts must be compared with theirs: one file name is in the other, and the page is near.
+
+    Distinct names meet first. A chunk lies in the one or two blocks of 2^level pages that its range touches, where 2^level is
+    above the difference of its pages; an item looks in its page's block of every level that the file has.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    first = F.coalesce(F.nullif("page_start", F.lit(0)), F.col("page_number")).cast("bigint")
+    last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_number")).cast("bigint")
+    level = F.when(last > first, F.length(F.bin(last - first))).otherwise(0)
+    spans = chunks.where(first <= last).select("file_name", "page_start", "page_end", "page_number", "text", low("file_name").alias("name"), level.alias("level"), first.alias("first"), last.alias("last"))
+    own = items.where("expected_page is not null").withColumn("asked", low("expected_file"))
+    names, asked = stage(spans.groupBy("name").agg(F.collect_set("level").alias("levels"))), stage(own.select(F.col("asked").alias("name")).distinct())
+    pairs = _contained(asked, names).toDF("asked", "name").unionByName(_contained(names, asked).toDF("name", "asked")).distinct()
+    wanted = own.join(pairs, "asked").join(names, "name").withColumn("level", F.explode("levels"))
+    wanted = stage(wanted.withColumn("block", F.expr("shiftright(cast(expected_page as bigint), level)")).drop("asked", "levels"))
+    spans = spans.withColumn("block", F.explode(F.expr("array_distinct(array(shiftright(first, level), shiftright(last, level)))"))).drop("first", "last")
+    return spans.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ITEMS else wanted, ["name", "level", "block"])
+
+
 def findable(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, is_findable): whether any chunk is relevant to an item (query_id, target_substring, expected_file, expected_page).
 
-    Items meet chunks by the expected file and page, so the texts compared are those of one page.
+    Items meet chunks by file name and page, so the texts compared are those of one page of the files meant.
     """
-    spans = chunks.select("file_name", "page_start", "page_end", "page_number", "text").where("file_name is not null")
-    first = F.coalesce(F.nullif("page_start", F.lit(0)), F.col("page_number"))
-    last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_number"))
-    pages = spans.withColumn("expected_page", F.explode(F.sequence(first, F.greatest(first, last))))
-    own = items.select("query_id", "target_substring", "expected_file", "expected_page")
-    hits = own.join(pages, "expected_page").where(relevant()).select("query_id").distinct().withColumn("is_findable", F.lit(True))
-    return items.select("query_id").distinct().join(hits, "query_id", "left").withColumn("is_findable", F.coalesce("is_findable", F.lit(False)))
+    own = stage(items.select("query_id", "target_substring", "expected_file", "expected_page"))
+    hits = _to_compare(own, chunks).where(relevant()).select("query_id").distinct().withColumn("is_findable", F.lit(True))
+    return own.select("query_id").distinct().join(hits, "query_id", "left").withColumn("is_findable", F.coalesce("is_findable", F.lit(False)))
 
 
 def report_json(measured: DataFrame, **labels: str) -> DataFrame:
@@ -500,7 +547,8 @@ def q_metrics(spark: SparkSession, d: str) -> DataFrame:
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items from chunks: of every file whose id is divisible by 50 its first chunk's last 60 characters, every third with a letter put in."""
     files = table(spark, d, "source_files").where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), "bid_id", "file_name")
-    own = files.join(table(spark, d, "chunks").where("length(text) > 80"), ["bid_id", "file_name"]).groupBy("query_id", "file_name").agg(F.min_by(F.struct("text", "page_number"), "chunk_id").alias("c"))
+    side = F.broadcast(files) if files.count() <= BROADCAST_ITEMS else files
+    own = table(spark, d, "chunks").where("length(text) > 80").join(side, ["bid_id", "file_name"]).groupBy("query_id", "file_name").agg(F.min_by(F.struct("text", "page_number"), "chunk_id").alias("c"))
     tail = F.substring("c.text", -60, 60)
     return own.select("query_id", F.when(F.col("query_id") % 3 == 0, F.concat(tail, F.lit("#"))).otherwise(tail).alias("target_substring"), F.col("file_name").alias("expected_file"), F.col("c.page_number").alias("expected_page"))
 

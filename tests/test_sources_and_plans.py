@@ -289,6 +289,28 @@ def test_relevance_and_findable_items(spark):
     assert retrieve.report_json(spark.createDataFrame([(0.5,)], "mrr double"), mode="hybrid").first().report == '{"mode":"hybrid","mrr":0.5}'
 
 
+def test_findable_items_meet_only_files_of_their_name(spark):
+    names = ["a.pdf", "Big a.pdf", "big A.pdf copy", "f", "", None, "Request 00012.pdf", "00012", "pdf", "Request"]
+    spans = [(2, 4, 3), (0, 0, 3), (None, None, 3), (None, 4, 2), (5, None, 9), (1, 2_000_000_000, 1), (4, 2, 3), (None, None, None), (2, None, 2)]
+    rows = [(t, n, *s) for i, n in enumerate(names) for j, s in enumerate(spans) for t in ["The Bond", None, f"word {i} {j}"]]
+    asked = [(t, f, p) for t in ["bond", "word 1", "WORD 3 5", "word 5", "none"] for f in [*names[:5], "A Request 00012.pdf", "x", "a"] for p in (1, 3, 4, 1_999_999_999, None)]
+    chunks = spark.createDataFrame(rows, "text string, file_name string, page_start int, page_end int, page_number int")
+    items = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "query_id int, target_substring string, expected_file string, expected_page int")
+
+    def fits(target, file, page):
+        for text, name, start, end, number in rows:
+            first, last, name = start or number, end or number, (name or "").lower()
+            if None not in (page, first, last) and first <= page <= last and target.lower() in (text or "").lower() and (name in file.lower() or file.lower() in name):
+                return True
+        return False
+
+    assert {r.query_id: r.is_findable for r in retrieve.findable(items, chunks).collect()} == {i: fits(*a) for i, a in enumerate(asked)}
+    files = spark.range(300).select(F.concat(F.lit("Notice "), "id", F.lit(" of 2025.pdf")).alias("file_name"), F.lit("text").alias("text"), *[F.lit(1).alias(c) for c in ("page_start", "page_end", "page_number")])
+    own = files.select(F.col("file_name").alias("query_id"), F.lit("text").alias("target_substring"), F.col("file_name").alias("expected_file"), F.lit(1).alias("expected_page"))
+    assert retrieve._to_compare(own, files).count() == 300
+    assert retrieve.findable(own.limit(0), files).count() == 0 and not any(r.is_findable for r in retrieve.findable(own, files.limit(0)).collect())
+
+
 def test_answers_and_service(spark, tmp_path):
     chunks = spark.createDataFrame([*CHUNKS, ("c5", "head\nThe closing date is changed to May 9.", "Bid1", "Addendum 2.pdf", "addendum", 1)], SCHEMA).withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number"), "section": F.lit(None).cast("string"), "addendum_number": F.lit(None).cast("int"), "is_table": F.lit(False)})
     packages = spark.createDataFrame([("Bid1", "RFP-1-23", "Oak Desks", "Oak County", 1)], "bid_id string, solicitation_number string, title string, agency string, portal_id int")
